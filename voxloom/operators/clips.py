@@ -53,23 +53,29 @@ def concat_splits(clips: DataFrame) -> DataFrame:
     return in_split(clips, "all")
 
 
-def source_view(clips: DataFrame) -> DataFrame:
+def id_column(clips: DataFrame) -> str:
+    """The column that tells clips apart: clip_id, or id where there is none by that name."""
+    return "clip_id" if "clip_id" in clips.columns else "id"
+
+
+def source_view(clips: DataFrame, measure: bool = True) -> DataFrame:
     """Source columns under their standard names: clip_id, subset, split, audio, text, length.
 
-    ``id`` serves as clip_id where there is none by that name. It must be set and unique
-    within a subset: it fixes the random order.
+    clip_id must be set and unique within a subset: it fixes the random order. Without a
+    duration column clips are measured on their samples, or count as 0 if not to be
+    measured.
     """
     if "audio" not in clips.columns:
         raise ValueError(f"clips have no 'audio' column (found {clips.columns})")
     transcript, recorded = text_column(clips.columns), duration_column(clips.columns)
     if recorded:
         length = F.coalesce(F.col(recorded).cast("double"), F.lit(0.0))
-    elif has_samples(clips.schema["audio"].dataType):
+    elif measure and has_samples(clips.schema["audio"].dataType):
         length = waveform_length(F.col("audio.array"), F.col("audio.sampling_rate"))
     else:
         length = F.lit(0.0)
     return clips.select(
-        F.col("clip_id" if "clip_id" in clips.columns else "id").cast("string").alias("clip_id"),
+        F.col(id_column(clips)).cast("string").alias("clip_id"),
         "subset",
         split_name(F.col("split")).alias("split"),
         "audio",

@@ -20,16 +20,17 @@ def rows_up_to(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
     return df.limit(limit + 1).count()
 
 
-def local_copy(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The same rows as a local relation, or None when there are more than ``limit``.
+def settle(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """A small table computed once and kept as a local relation, with its number of rows.
 
-    A selection that is used several times is then computed once, and Catalyst
-    knows its exact size.
+    A selection that is used several times is then not derived again, and Catalyst knows
+    its exact size. A table of more than ``limit`` rows is returned as it is, with
+    ``limit + 1``.
     """
     rows = df.limit(limit + 1).toArrow()
     if rows.num_rows > limit:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+        return df, limit + 1
+    return df.sparkSession.createDataFrame(rows, schema=df.schema), rows.num_rows
 
 
 def local_table(df_or_spark, columns: dict[str, list], schema) -> DataFrame:

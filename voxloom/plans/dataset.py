@@ -7,22 +7,14 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.columns import seconds, ticks
 from voxloom.operators.clips import (
-    apply_schema, clip_window, clip_window_stream, drop_digit_text, source_view, standardise,
+    apply_schema, clip_window, clip_window_stream, drop_digit_text, id_column, source_view, standardise,
 )
-from voxloom.operators.joins import LITERAL_NAMES, attach, local_copy, rows_up_to
+from voxloom.operators.joins import LITERAL_NAMES, attach, settle
 from voxloom.operators.sampling import check_caps, draw
 from voxloom.schemas import STANDARD_COLUMNS
 from voxloom.sources.clips import in_split
 
 
-def settle(selection: DataFrame) -> tuple[DataFrame, int]:
-    """A selection and a bound on its rows. A small one is computed here, once."""
-    small = local_copy(selection)
-    if small is not None:
-        return small, small.count()
-    return selection, rows_up_to(selection)
-
-
 def of_selection(clips: DataFrame, selection: DataFrame, rows: int) -> DataFrame:
     """Clips of the selected subsets only.
 
@@ -31,7 +23,7 @@ def of_selection(clips: DataFrame, selection: DataFrame, rows: int) -> DataFrame
     if rows <= LITERAL_NAMES:
         names = [row.subset for row in selection.select("subset").distinct().collect()]
         return clips.where(F.col("subset").isin(names))
-    return attach(clips, selection.select("subset").distinct(), "subset", rows, "text")
+    return attach(clips, selection.select("subset").distinct(), "subset", rows, id_column(clips))
 
 
 def build_dataset(
@@ -68,7 +60,7 @@ def build_dataset(
     window = clip_window_stream if as_stream else clip_window
     usable = drop_digit_text(window(wanted, min_clip_seconds, max_clip_seconds))
     drawn = draw(
-        source_view(usable), per_language=per_language, max_seconds=max_seconds,
+        source_view(usable, measure=not as_stream), per_language=per_language, max_seconds=max_seconds,
         ordered_splits=as_stream, seed=seed, languages=rows,
     )
     built = standardise(drawn, selection, rows)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 
 from voxloom.operators.catalog import filter_catalog
 from voxloom.operators.clips import apply_schema
+from voxloom.operators.joins import settle
 from voxloom.operators.ranking import name_list, pick_languages, select_top
-from voxloom.plans.dataset import build_dataset, build_summary, settle
+from voxloom.plans.dataset import build_dataset, build_summary
 from voxloom.plans.estimate import even_budget, plan_samples, plan_totals, shortfall
 from voxloom.schemas import MANIFEST_FILES, STANDARD_COLUMNS
 from voxloom.sinks.datasets import read_dataset, write_dataset, write_manifest_csv, write_parquet

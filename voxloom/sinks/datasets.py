@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxloom.sources.clips import read_keyed
+
 # Text survives a round trip with these: quotes, commas, line breaks, outer blanks,
 # and null told apart from empty.
 CSV_OPTIONS = {
@@ -27,7 +29,7 @@ def write_dataset(clips: DataFrame, path: str) -> None:
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_keyed(spark, path)
 
 
 def write_parquet(clips: DataFrame, path: str) -> None:

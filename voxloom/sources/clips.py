@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions.columns import check_split
 from voxloom.schemas import DURATION_NAMES, SPLIT_ALIASES, TEXT_NAMES
@@ -33,11 +34,21 @@ def in_split(clips: DataFrame, split: str) -> DataFrame:
     return clips.where(F.col("split").isin([name for names in wanted for name in names]))
 
 
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table whose partition folders hold text keys.
+
+    Folder names like ``subset=007`` would otherwise be read as numbers.
+    """
+    found = spark.read.parquet(path).schema
+    keys = [T.StructField(f.name, T.StringType()) if f.name in ("subset", "split") else f for f in found]
+    return spark.read.schema(T.StructType(keys)).parquet(path)
+
+
 def read_clips(
     spark: SparkSession, path: str, *, subsets: Iterable[str] | None = None, split: str = "all"
 ) -> DataFrame:
     """Clips of some subsets (all without a list) and one split or all of them."""
-    clips = in_split(spark.read.parquet(path), split)
+    clips = in_split(read_keyed(spark, path), split)
     if subsets is not None:
         clips = clips.where(F.col("subset").isin(list(subsets)))
     return clips
