@@ -10,39 +10,43 @@ from voxloom.operators.sampling import HELPERS, slot_of, with_sample_order
 
 
 def _export_order(clips: DataFrame, seed: int, ordered_splits: bool) -> tuple[DataFrame, list[str]]:
-    """Clips with the columns an export is ordered by: selection, then draw order."""
-    ordered = with_sample_order(clips, seed, ordered_splits)
-    if "position" not in clips.columns:
-        ordered = ordered.withColumn("position", F.lit(0).cast("bigint"))
-    return ordered, ["position", *HELPERS]
+    """Clips with the columns an export is ordered by: selection, if there is one, then draw order."""
+    groups = (["position"] if "position" in clips.columns else []) + (["_rank"] if ordered_splits else [])
+    return with_sample_order(clips, seed, ordered_splits), groups
 
 
 def number_clips(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = False) -> DataFrame:
     """Add ``idx``, the 0-based place of a clip in the whole export.
 
     A row number over all clips would sort them in one task. Instead clips are numbered
-    within slots of the draw order (at most 65536 per language, all of equal share),
-    and the starts of the slots come from counts: first within a language, then over the
-    languages, of which there is one row each.
+    within slots of the draw order, of at most SLOT_ROWS clips each, and the starts of the
+    slots come from counts: first within a language, then over the languages, of which
+    there is one row each.
     """
-    ordered, _ = _export_order(clips, seed, ordered_splits)
-    slot = ["position", "_rank", "_slot"]
-    ordered = ordered.withColumn("_slot", slot_of(F.col("_key")))
-
-    counts = ordered.groupBy(*slot).agg(F.count("*").alias("_n"))
-    in_language = Window.partitionBy("position").orderBy("_rank", "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slot_starts = counts.withColumn("_slot_start", F.coalesce(F.sum("_n").over(in_language), F.lit(0))).drop("_n")
-    over_languages = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    language_starts = counts.groupBy("position").agg(F.sum("_n").alias("_n")).select(
-        "position", F.coalesce(F.sum("_n").over(over_languages), F.lit(0)).alias("_language_start")
-    )
-    starts = slot_starts.join(language_starts, "position").select(
-        *slot, (F.col("_slot_start") + F.col("_language_start")).alias("_start")
-    )
+    ordered, groups = _export_order(clips, seed, ordered_splits)
+    ordered = ordered.withColumn("_slot", slot_of(F.col("_key"), clips.count()))
+    slot = [*groups, "_slot"]
+
+    def running(column: str, window):
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(before), F.lit(0))
+
+    starts = ordered.groupBy(*slot).agg(F.count("*").alias("_n"))
+    if "position" in groups:
+        in_language = Window.partitionBy("position").orderBy(*slot)
+        languages = starts.groupBy("position").agg(F.sum("_n").alias("_n")).select(
+            "position", running("_n", Window.orderBy("position")).alias("_language_start")
+        )
+        starts = starts.withColumn("_start", running("_n", in_language)).join(languages, "position").select(
+            *slot, (F.col("_start") + F.col("_language_start")).alias("_start")
+        )
+    else:
+        starts = starts.select(*slot, running("_n", Window.orderBy(*slot)).alias("_start"))
+
     in_slot = Window.partitionBy(*slot).orderBy("_key", "_id")
     numbered = ordered.withColumn("_row", F.row_number().over(in_slot)).join(starts, slot)
-    gone = [*HELPERS, "_slot", "_row", "_start"] + ([] if "position" in clips.columns else ["position"])
-    return numbered.withColumn("idx", (F.col("_start") + F.col("_row") - 1).cast("bigint")).drop(*gone)
+    idx = (F.col("_start") + F.col("_row") - 1).cast("bigint")
+    return numbered.withColumn("idx", idx).drop(*HELPERS, "_slot", "_row", "_start")
 
 
 def speaker_ids(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = False) -> DataFrame:
@@ -51,10 +55,10 @@ def speaker_ids(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fals
     The first place of each speaker is a partial minimum; only the speakers themselves,
     one row each, are put in order.
     """
-    ordered, order = _export_order(clips, seed, ordered_splits)
+    ordered, groups = _export_order(clips, seed, ordered_splits)
     subset = F.col("subset") if "subset" in clips.columns else F.lit(None).cast("string")
     firsts = ordered.groupBy(speaker_label(F.col("language"), subset).alias("speaker")).agg(
-        F.min(F.struct(*order)).alias("_first")
+        F.min(F.struct(*groups, "_key", "_id")).alias("_first")
     )
     sid = F.row_number().over(Window.orderBy("_first")) - 1
     return firsts.select("speaker", sid.cast("bigint").alias("sid"))

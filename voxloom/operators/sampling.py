@@ -10,9 +10,9 @@ clip. So it is found in three passes over narrow columns and never sorts a langu
    rank the clips of that slot alone to find the last clip;
 3. filter the clip table by that last clip.
 
-Slots hold equal shares of a language, whatever its size: one with a third of all clips
-gets its end slot ranked over 1/65536 of them. Audio is read in pass 3 only and is never
-shuffled.
+Slots hold equal shares of a language, and there are so many of them that one stays
+within SLOT_ROWS clips even if the language holds a third of the table. Audio is read in
+pass 3 only and is never shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.columns import TICKS_PER_SECOND, sample_key, seconds, split_rank, ticks
-from voxloom.operators.joins import attach, rows_up_to
+from voxloom.operators.joins import attach
 
-SLOT_DIGITS = 4
+# Clips of one language a single task may have to sort.
+SLOT_ROWS = 1 << 20
 HELPERS = ["_rank", "_key", "_id"]
 
 
@@ -49,8 +50,22 @@ def with_sample_order(clips: DataFrame, seed: int = 42, ordered_splits: bool = F
     })
 
 
-def slot_of(key: Column) -> Column:
-    return F.substring(key, 1, SLOT_DIGITS)
+def group_sizes(clips: DataFrame) -> tuple[int, int]:
+    """How many subsets there are and how many clips the largest has: partial counts of one column."""
+    sizes = clips.groupBy("subset").count().agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
+    return sizes[0], sizes[1]
+
+
+def slot_digits(largest: int) -> int:
+    """Hex digits a slot is named by, for at most SLOT_ROWS of ``largest`` clips in each.
+
+    Two at least. Needless digits would make the partial counts as many as the clips.
+    """
+    return max(2, math.ceil(math.log(max(largest, 1) / SLOT_ROWS, 16)))
+
+
+def slot_of(key: Column, largest: int) -> Column:
+    return F.substring(key, 1, slot_digits(largest))
 
 
 def _place() -> Column:
@@ -60,6 +75,7 @@ def _place() -> Column:
 def draw_ends(
     ordered: DataFrame,
     languages: int,
+    largest: int,
     *,
     per_language: int | None = None,
     max_seconds: float | None = None,
@@ -68,9 +84,10 @@ def draw_ends(
 ) -> DataFrame:
     """Last place of the draw for each language: (subset, _end). A language without clips has no row.
 
-    ``ordered`` has subset, length and the columns of ``with_sample_order``; ``languages``
-    bounds how many subsets are in it. ``taken`` (subset, taken_clips, taken_ticks) holds
-    what earlier draws have used up.
+    ``ordered`` has subset, length and the columns of ``with_sample_order``. ``languages``
+    is an upper bound on its subsets and ``largest`` about the clips of the largest; that
+    one only sizes the slots. ``taken`` (subset, taken_clips, taken_ticks) holds what
+    earlier draws have used up.
     """
     check_caps(per_language, max_seconds)
     tick_cap = None if max_seconds is None else round(max_seconds * TICKS_PER_SECOND)
@@ -84,8 +101,9 @@ def draw_ends(
             fits = fits & (ticks_before < tick_cap)
         return fits
 
-    lines = ordered.select("subset", *HELPERS, slot_of(F.col("_key")).alias("_slot"), ticks(F.col("length")).alias("_ticks"))
-
+    lines = ordered.select(
+        "subset", *HELPERS, slot_of(F.col("_key"), largest).alias("_slot"), ticks(F.col("length")).alias("_ticks")
+    )
     slots = lines.groupBy("subset", "_rank", "_slot").agg(F.count("*").alias("_n"), F.sum("_ticks").alias("_t"))
     earlier = Window.partitionBy("subset").orderBy("_rank", "_slot").rowsBetween(Window.unboundedPreceding, -1)
     before_n = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
@@ -131,6 +149,7 @@ def draw(
     ordered_splits: bool = False,
     seed: int = 42,
     languages: int | None = None,
+    largest: int | None = None,
     taken: DataFrame | None = None,
 ) -> DataFrame:
     """Clips of a capped draw, per subset; the input unchanged when no cap is set.
@@ -138,16 +157,18 @@ def draw(
     Whichever cap binds first ends a language. The duration budget is met as nearly as
     possible: the clip that crosses it is dropped when stopping short is strictly nearer
     and it is not the only clip. With ``nearest=False`` it always stays.
-    ``languages`` is an upper bound on the subsets; without one they are counted.
+    ``languages`` is an upper bound on the subsets and ``largest`` about the clips of the
+    largest one; without them both are counted.
     """
     check_caps(per_language, max_seconds)
     if per_language is None and max_seconds is None:
         return clips
-    if languages is None:
-        languages = rows_up_to(clips.select("subset").distinct())
+    if languages is None or largest is None:
+        languages, largest = group_sizes(clips)
     ordered = with_sample_order(clips, seed, ordered_splits)
     ends = draw_ends(
-        ordered, languages, per_language=per_language, max_seconds=max_seconds, nearest=nearest, taken=taken
+        ordered, languages, largest,
+        per_language=per_language, max_seconds=max_seconds, nearest=nearest, taken=taken,
     )
     return attach(ordered, ends, "subset", languages).where(_place() <= F.col("_end")).drop(*HELPERS, "_end")
 
@@ -158,8 +179,9 @@ def sample_ranks(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fal
 
     Clips are ranked within slots, and slots are added up: no task sorts a whole language.
     """
+    _, largest = group_sizes(clips)
     ordered = with_sample_order(clips, seed, ordered_splits).withColumns({
-        "_slot": slot_of(F.col("_key")), "_ticks": ticks(F.col("length")),
+        "_slot": slot_of(F.col("_key"), largest), "_ticks": ticks(F.col("length")),
     })
     slots = ordered.groupBy("subset", "_rank", "_slot").agg(F.count("*").alias("_n"), F.sum("_ticks").alias("_t"))
     earlier = Window.partitionBy("subset").orderBy("_rank", "_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -189,8 +211,9 @@ def holdout_split(clips: DataFrame, test_size: float = 0.1, seed: int = 42) -> D
         raise ValueError("test_size must be between 0 and 1")
     ordered = with_sample_order(clips, seed)
     whole = ordered.withColumns({"subset": F.lit("all"), "length": F.lit(0.0)})
-    tests = math.ceil(test_size * clips.count())
-    end = draw_ends(whole, 1, per_language=tests).first()
+    clip_count = clips.count()
+    tests = math.ceil(test_size * clip_count)
+    end = draw_ends(whole, 1, clip_count, per_language=tests).first()
     if end is None:
         return clips.withColumn("fold", F.lit("train"))
     _, key, clip_id = end["_end"]
