@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.columns import speaker_label
-from voxloom.operators.sampling import HELPERS, slot_of, with_sample_order
+from voxloom.operators.sampling import HELPERS, slot_digits, slot_of, with_sample_order
+
+# Clips one task numbers at a time; they carry their transcripts.
+NUMBERED_ROWS = 1 << 16
 
 
 def _export_order(clips: DataFrame, seed: int, ordered_splits: bool) -> tuple[DataFrame, list[str]]:
@@ -19,12 +22,12 @@ def number_clips(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fal
     """Add ``idx``, the 0-based place of a clip in the whole export.
 
     A row number over all clips would sort them in one task. Instead clips are numbered
-    within slots of the draw order, of at most SLOT_ROWS clips each, and the starts of the
-    slots come from counts: first within a language, then over the languages, of which
-    there is one row each.
+    within slots of the draw order, of at most NUMBERED_ROWS clips each, and the starts of
+    the slots come from counts: first within a language, then over the languages, of
+    which there is one row each.
     """
     ordered, groups = _export_order(clips, seed, ordered_splits)
-    ordered = ordered.withColumn("_slot", slot_of(F.col("_key"), clips.count()))
+    ordered = ordered.withColumn("_slot", slot_of(F.col("_key"), max(1, slot_digits(clips.count(), NUMBERED_ROWS))))
     slot = [*groups, "_slot"]
 
     def running(column: str, window):

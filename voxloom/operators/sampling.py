@@ -2,17 +2,19 @@
 
 A draw takes the first clips of each language in a random but fixed order: by a hash of
 seed and clip_id. Being the start of an order, a draw is told completely by its last
-clip. So it is found in three passes over narrow columns and never sorts a language:
+clip. So it is found on narrow columns, and then filters the clip table, where audio is
+read once and never shuffled.
 
-1. count clips and ticks per language and slot (the first hex digits of the hash),
+Languages of up to SLOT_ROWS clips are ranked directly. Where one may be larger, and it
+may hold a third of the table, no language is sorted as a whole:
+
+1. clips and ticks are counted per language and slot (the first hex digits of the hash),
    with partial sums on the map side;
-2. add the slots up to find the one slot per language in which the draw ends, and
-   rank the clips of that slot alone to find the last clip;
-3. filter the clip table by that last clip.
+2. slots are added up to find the one slot per language in which the draw ends;
+3. the clips of that slot alone are ranked to find the last clip.
 
-Slots hold equal shares of a language, and there are so many of them that one stays
-within SLOT_ROWS clips even if the language holds a third of the table. Audio is read in
-pass 3 only and is never shuffled.
+Slots hold equal shares of a language, and there are enough of them for one to stay
+within SLOT_ROWS clips.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.columns import TICKS_PER_SECOND, sample_key, seconds, split_rank, ticks
 from voxloom.operators.joins import attach
 
-# Clips of one language a single task may have to sort.
+# Clips a single task may have to sort.
 SLOT_ROWS = 1 << 20
 HELPERS = ["_rank", "_key", "_id"]
 
@@ -56,16 +58,14 @@ def group_sizes(clips: DataFrame) -> tuple[int, int]:
     return sizes[0], sizes[1]
 
 
-def slot_digits(largest: int) -> int:
-    """Hex digits a slot is named by, for at most SLOT_ROWS of ``largest`` clips in each.
-
-    Two at least. Needless digits would make the partial counts as many as the clips.
-    """
-    return max(2, math.ceil(math.log(max(largest, 1) / SLOT_ROWS, 16)))
+def slot_digits(clips: int, slot_rows: int) -> int:
+    """Hex digits that name slots of at most ``slot_rows`` clips. Needless ones would make
+    the partial counts as many as the clips."""
+    return max(0, math.ceil(math.log(max(clips, 1) / slot_rows, 16)))
 
 
-def slot_of(key: Column, largest: int) -> Column:
-    return F.substring(key, 1, slot_digits(largest))
+def slot_of(key: Column, digits: int) -> Column:
+    return F.substring(key, 1, digits) if digits else F.lit("")
 
 
 def _place() -> Column:
@@ -82,12 +82,12 @@ def draw_ends(
     nearest: bool = True,
     taken: DataFrame | None = None,
 ) -> DataFrame:
-    """Last place of the draw for each language: (subset, _end). A language without clips has no row.
+    """Last place of the draw for each language: (subset, _end). Where nothing is drawn there
+    is no row, a null, or an end before the first clip.
 
     ``ordered`` has subset, length and the columns of ``with_sample_order``. ``languages``
-    is an upper bound on its subsets and ``largest`` about the clips of the largest; that
-    one only sizes the slots. ``taken`` (subset, taken_clips, taken_ticks) holds what
-    earlier draws have used up.
+    bounds its subsets and ``largest`` the clips of each. ``taken`` (subset, taken_clips,
+    taken_ticks) holds what earlier draws have used up.
     """
     check_caps(per_language, max_seconds)
     tick_cap = None if max_seconds is None else round(max_seconds * TICKS_PER_SECOND)
@@ -101,28 +101,45 @@ def draw_ends(
             fits = fits & (ticks_before < tick_cap)
         return fits
 
+    digits = slot_digits(largest, SLOT_ROWS)
     lines = ordered.select(
-        "subset", *HELPERS, slot_of(F.col("_key"), largest).alias("_slot"), ticks(F.col("length")).alias("_ticks")
-    )
-    slots = lines.groupBy("subset", "_rank", "_slot").agg(F.count("*").alias("_n"), F.sum("_ticks").alias("_t"))
-    earlier = Window.partitionBy("subset").orderBy("_rank", "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before_n = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    before_t = F.coalesce(F.sum("_t").over(earlier), F.lit(0))
-    if taken is not None:
-        slots = slots.join(taken, "subset", "left")
-        before_n = before_n + F.coalesce("taken_clips", F.lit(0))
-        before_t = before_t + F.coalesce("taken_ticks", F.lit(0))
-    reached = slots.select("subset", "_rank", "_slot", before_n.alias("_n0"), before_t.alias("_t0"))
-    open_slots = reached.where(within(F.col("_n0"), F.col("_t0")))
-    last_slots = open_slots.groupBy("subset").agg(F.max(F.struct("_rank", "_slot", "_n0", "_t0")).alias("_last"))
-
-    in_slot = attach(lines, last_slots, "subset", languages, "_id").where(
-        (F.col("_rank") == F.col("_last._rank")) & (F.col("_slot") == F.col("_last._slot"))
+        "subset", *HELPERS, slot_of(F.col("_key"), digits).alias("_slot"), ticks(F.col("length")).alias("_ticks")
     )
-    by_place = Window.partitionBy("subset").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    nothing = F.lit(0).cast("bigint")
+    if taken is None:
+        used_n, used_t = nothing, nothing
+    else:
+        used_n, used_t = F.coalesce("taken_clips", nothing), F.coalesce("taken_ticks", nothing)
+
+    if digits == 0:
+        ranked = lines.withColumn("_row", F.row_number().over(Window.partitionBy("subset").orderBy(*HELPERS)))
+        if per_language is not None:
+            # A plain bound on the row number also thins out clips before the shuffle.
+            ranked = ranked.where(F.col("_row") <= per_language)
+        if taken is not None:
+            ranked = ranked.join(taken, "subset", "left")
+        in_slot = ranked.withColumns({"_n0": used_n, "_t0": used_t})
+    else:
+        slots = lines.groupBy("subset", "_rank", "_slot").agg(F.count("*").alias("_n"), F.sum("_ticks").alias("_t"))
+        if taken is not None:
+            slots = slots.join(taken, "subset", "left")
+        earlier = Window.partitionBy("subset").orderBy("_rank", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+        reached = slots.select(
+            "subset", "_rank", "_slot",
+            (F.coalesce(F.sum("_n").over(earlier), nothing) + used_n).alias("_n0"),
+            (F.coalesce(F.sum("_t").over(earlier), nothing) + used_t).alias("_t0"),
+        )
+        open_slots = reached.where(within(F.col("_n0"), F.col("_t0")))
+        last_slots = open_slots.groupBy("subset").agg(F.max(F.struct("_rank", "_slot", "_n0", "_t0")).alias("_last"))
+        in_slot = attach(lines, last_slots, "subset", languages, "_id").where(
+            (F.col("_rank") == F.col("_last._rank")) & (F.col("_slot") == F.col("_last._slot"))
+        ).select("subset", *HELPERS, "_slot", "_ticks", "_last._n0", "_last._t0").withColumn(
+            "_row", F.row_number().over(Window.partitionBy("subset").orderBy(*HELPERS))
+        )
+
+    by_place = Window.partitionBy("subset").orderBy(*HELPERS).rowsBetween(Window.unboundedPreceding, 0)
     counted = in_slot.withColumns({
-        "_n": F.col("_last._n0") + F.row_number().over(by_place),
-        "_t": F.col("_last._t0") + F.sum("_ticks").over(by_place),
+        "_n": F.col("_n0") + F.col("_row"), "_t": F.col("_t0") + F.sum("_ticks").over(by_place),
     })
     short = F.col("_t") - F.col("_ticks")
     kept = within(F.col("_n") - 1, short)
@@ -130,14 +147,12 @@ def draw_ends(
         # Stop one clip early where that is strictly nearer to the target.
         over = (F.col("_n") > 1) & (F.col("_t") > tick_cap) & (tick_cap - short < F.col("_t") - tick_cap)
         kept = kept & ~over
-    # When nothing of the slot is kept the draw ends before it: any place in the slot is
-    # greater than the bare slot digits, and any place in an earlier slot is smaller.
-    slot_start = F.struct(
-        F.col("_last._rank").alias("_rank"), F.col("_last._slot").alias("_key"), F.lit("").alias("_id")
-    )
-    return counted.groupBy("subset").agg(
-        F.max(F.when(kept, _place()).otherwise(slot_start)).alias("_end")
-    )
+    ends = F.when(kept, _place())
+    if digits:
+        # When nothing of the slot is kept the draw ends before it: any place in the slot is
+        # greater than the bare slot digits, and any place in an earlier slot is smaller.
+        ends = ends.otherwise(F.struct("_rank", F.col("_slot").alias("_key"), F.lit("").alias("_id")))
+    return counted.groupBy("subset").agg(F.max(ends).alias("_end"))
 
 
 def draw(
@@ -148,8 +163,7 @@ def draw(
     nearest: bool = True,
     ordered_splits: bool = False,
     seed: int = 42,
-    languages: int | None = None,
-    largest: int | None = None,
+    unfiltered: DataFrame | None = None,
     taken: DataFrame | None = None,
 ) -> DataFrame:
     """Clips of a capped draw, per subset; the input unchanged when no cap is set.
@@ -157,14 +171,14 @@ def draw(
     Whichever cap binds first ends a language. The duration budget is met as nearly as
     possible: the clip that crosses it is dropped when stopping short is strictly nearer
     and it is not the only clip. With ``nearest=False`` it always stays.
-    ``languages`` is an upper bound on the subsets and ``largest`` about the clips of the
-    largest one; without them both are counted.
+
+    Languages are sized up first, by counting one column. ``unfiltered``, a table that
+    ``clips`` is a filtered part of, spares that job the filters.
     """
     check_caps(per_language, max_seconds)
     if per_language is None and max_seconds is None:
         return clips
-    if languages is None or largest is None:
-        languages, largest = group_sizes(clips)
+    languages, largest = group_sizes(clips if unfiltered is None else unfiltered)
     ordered = with_sample_order(clips, seed, ordered_splits)
     ends = draw_ends(
         ordered, languages, largest,
@@ -181,7 +195,7 @@ def sample_ranks(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fal
     """
     _, largest = group_sizes(clips)
     ordered = with_sample_order(clips, seed, ordered_splits).withColumns({
-        "_slot": slot_of(F.col("_key"), largest), "_ticks": ticks(F.col("length")),
+        "_slot": slot_of(F.col("_key"), slot_digits(largest, SLOT_ROWS)), "_ticks": ticks(F.col("length")),
     })
     slots = ordered.groupBy("subset", "_rank", "_slot").agg(F.count("*").alias("_n"), F.sum("_ticks").alias("_t"))
     earlier = Window.partitionBy("subset").orderBy("_rank", "_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -214,7 +228,7 @@ def holdout_split(clips: DataFrame, test_size: float = 0.1, seed: int = 42) -> D
     clip_count = clips.count()
     tests = math.ceil(test_size * clip_count)
     end = draw_ends(whole, 1, clip_count, per_language=tests).first()
-    if end is None:
+    if end is None or end["_end"] is None:
         return clips.withColumn("fold", F.lit("train"))
     _, key, clip_id = end["_end"]
     in_test = F.struct("_key", "_id") <= F.struct(F.lit(key).alias("_key"), F.lit(clip_id).alias("_id"))

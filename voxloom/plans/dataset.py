@@ -26,15 +26,6 @@ def of_selection(clips: DataFrame, selection: DataFrame, rows: int) -> DataFrame
     return attach(clips, subsets.distinct(), "subset", rows, id_column(clips))
 
 
-def largest_of(selection: DataFrame, rows: int) -> int | None:
-    """Clips of the largest selected language by the catalog, or None if that does not tell."""
-    if "clips" not in selection.columns:
-        return None
-    if rows <= LITERAL_NAMES:
-        return max((row.clips for row in selection.select("clips").collect()), default=0)
-    return selection.agg(F.max("clips")).first()[0]
-
-
 def build_dataset(
     clips: DataFrame,
     selection: DataFrame,
@@ -70,7 +61,7 @@ def build_dataset(
     usable = drop_digit_text(window(wanted, min_clip_seconds, max_clip_seconds))
     drawn = draw(
         source_view(usable, measure=not as_stream), per_language=per_language, max_seconds=max_seconds,
-        ordered_splits=as_stream, seed=seed, languages=rows, largest=largest_of(selection, rows),
+        ordered_splits=as_stream, seed=seed, unfiltered=wanted,
     )
     built = standardise(drawn, selection, rows)
     if internals:

@@ -21,7 +21,7 @@ from voxloom.operators.clips import (
 )
 from voxloom.operators.joins import settle
 from voxloom.operators.sampling import check_caps, draw
-from voxloom.plans.dataset import largest_of, of_selection
+from voxloom.plans.dataset import of_selection
 from voxloom.schemas import STANDARD_COLUMNS
 from voxloom.sources.clips import in_split
 
@@ -88,7 +88,6 @@ def stream_admit(
     """
     check_caps(per_language, max_seconds)
     selection, rows = settle(selection)
-    largest = largest_of(selection, rows)
     repeats = selection.groupBy("subset").agg(F.count("*").alias("_repeats"))
     state_path, clips_path = f"{out}/state", f"{out}/clips"
 
@@ -105,8 +104,7 @@ def stream_admit(
         usable = drop_digit_text(clip_window_stream(wanted, min_clip_seconds, max_clip_seconds))
         admitted = draw(
             source_view(usable, measure=False), per_language=per_language, max_seconds=max_seconds,
-            nearest=False, ordered_splits=True, seed=seed, languages=rows, largest=largest,
-            taken=before,
+            nearest=False, ordered_splits=True, seed=seed, unfiltered=wanted, taken=before,
         )
         here = f"{clips_path}/epoch={epoch}"
         standardise(admitted, selection, rows).write.mode("overwrite").parquet(here)
