@@ -1,0 +1,93 @@
+"""What the physical plans must and must not do."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import voxloom as vx
+from voxloom.operators import sampling
+from voxloom.operators.clips import source_view
+from voxloom.sources.clips import in_split, read_clips
+
+TABLE = "id string, audio struct<bytes: binary, path: string>, text string, duration double, subset string, split string"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("clips") / "clips")
+    rows = [
+        (f"{s}-{i}", (b"", ""), "words", 1.0 + i % 20, s, ("train", "test")[i % 2])
+        for s in ("twi_twi", "bel_two", "aba_one", "cor_tie") for i in range(20)
+    ]
+    spark.createDataFrame(rows, TABLE).write.partitionBy("subset", "split").parquet(path)
+    return path
+
+
+def scans(plan):
+    return [line for line in plan.splitlines() if "FileScan parquet" in line]
+
+
+def test_build_prunes_partitions_and_columns_and_never_shuffles_audio(spark, stored, catalog):
+    picked = vx.pick_languages(catalog, "twi_twi,aba_one")
+    clips = read_clips(spark, stored, split="train")
+    built = vx.build_dataset(clips, picked, per_language=5, max_seconds=40.0, min_clip_seconds=3.0, max_clip_seconds=15.0)
+    plan = plan_of(built)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "Python" not in plan
+    found = scans(plan)
+    assert all("PushedFilters: [IsNotNull(duration), GreaterThanOrEqual(duration,3.0), LessThanOrEqual(duration,15.0)" in s for s in found)
+    assert all("subset" in re.search(r"PartitionFilters: \[(.*?)\], ", s)[1] for s in found)
+    # Audio is read by one scan, and no exchange is above that one.
+    with_audio = [s for s in found if "audio" in re.search(r"ReadSchema: (.*)", s)[1]]
+    assert len(with_audio) == 1
+    lines = plan.splitlines()
+    at = lines.index(with_audio[0])
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    level = depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            assert "Exchange" not in line and "Sort" not in line
+
+
+def test_cap_thins_out_before_the_shuffle(spark, stored):
+    clips = source_view(in_split(read_clips(spark, stored), "train"))
+    assert plan_of(vx.draw(clips, per_language=5)).count("WindowGroupLimit") == 2
+
+
+def test_large_languages_are_counted_by_slot_first(spark, stored, monkeypatch):
+    monkeypatch.setattr(sampling, "SLOT_ROWS", 2)
+    clips = source_view(in_split(read_clips(spark, stored), "train"))
+    plan = plan_of(vx.draw(clips, max_seconds=30.0))
+    assert re.search(r"HashAggregate\(keys=\[subset.*_slot.*partial_count\(1\), partial_sum\(_ticks", plan)
+    # The ranked clips are only those of the last slot.
+    assert re.search(r"BroadcastHashJoin \[subset#\d+, _slot#\d+\]|BroadcastHashJoin \[_slot#\d+, subset#\d+\]", plan)
+
+
+def test_country_ranking_is_bounded_before_the_shuffle(catalog):
+    stored_catalog = catalog.withColumn("clips", F.col("clips") + 0)
+    for options in ({}, {"fill": True}, {"proportional": False, "max_per_country": 2}):
+        plan = plan_of(vx.select_top(stored_catalog, 5, **options))
+        assert plan.count("WindowGroupLimit") >= 2
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_refresh_adds_up_before_it_joins(spark, stored, catalog):
+    plan = plan_of(vx.refresh_catalog(spark.read.parquet(stored), catalog))
+    assert "partial_sum" in plan and plan.index("Join") < plan.index("partial_sum")
+    (scan,) = scans(plan)
+    assert re.search(r"ReadSchema: struct<duration:double>", scan)
+
+
+def test_numbering_has_no_window_over_all_clips(spark, stored, catalog):
+    built = vx.build_dataset(read_clips(spark, stored), vx.pick_languages(catalog, "twi_twi,aba_one"), internals=True)
+    plan = plan_of(vx.manifest_lines(built, "piper"))
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    for line in plan.splitlines():
+        if re.search(r"Window \[row_number\(\)", line):
+            assert "_slot" in line
+    assert all("audio" not in re.search(r"ReadSchema: (.*)", s)[1] for s in scans(plan))

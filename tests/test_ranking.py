@@ -1,0 +1,94 @@
+import random
+
+import pytest
+
+import voxloom as vx
+from conftest import subsets
+from voxloom.schemas import CATALOG_SCHEMA
+
+
+def rounds(pool, n, cap, fill):
+    """Country rounds told step by step: (subset, country, hours) rows to subset names."""
+    left = {}
+    for row in sorted(pool, key=lambda r: (-r[2], r[0])):
+        left.setdefault(row[1], []).append(row)
+    order = sorted(left, key=lambda k: (-left[k][0][2], left[k][0][0]))
+    given = {k: 0 for k in order}
+    chosen = []
+    while len(chosen) < n:
+        level = min(given.values()) if not fill else min((v for k, v in given.items() if can_give(left, given, k, cap)), default=None)
+        turn = [k for k in order if given[k] == level and can_give(left, given, k, cap)]
+        if not turn:
+            break
+        for k in turn:
+            chosen.append(left[k][given[k]][0])
+            given[k] += 1
+    return chosen[:n]
+
+
+def can_give(left, given, country, cap):
+    return given[country] < len(left[country]) and (cap is None or given[country] < cap)
+
+
+def pool_of(rng):
+    countries = [f"C{i}" for i in range(rng.randint(1, 5))]
+    return [
+        (f"s{i:02d}", rng.choice(countries), float(rng.choice([1, 2, 2, 3, 5, 8]))) for i in range(rng.randint(1, 14))
+    ]
+
+
+def frame(spark, pool):
+    return spark.createDataFrame([(s, s, s, c, 1, h, 1, 0, 0) for s, c, h in pool], CATALOG_SCHEMA)
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("fill", [False, True])
+def test_balanced_selection_is_the_rounds_told_step_by_step(spark, seed, fill):
+    rng = random.Random(seed)
+    pool = pool_of(rng)
+    n, cap = rng.randint(1, 12), rng.choice([None, 0, 1, 2, 3])
+    if not pool or (cap == 0):
+        expected = []
+    else:
+        expected = rounds(pool, n, cap, fill)
+    assert subsets(vx.select_top(frame(spark, pool), n, max_per_country=cap, fill=fill)) == expected
+
+
+def test_a_small_country_ends_the_selection_one_round_later(spark):
+    pool = [("a1", "A", 9.0), ("a2", "A", 8.0), ("a3", "A", 7.0), ("b1", "B", 5.0)]
+    assert subsets(vx.select_top(frame(spark, pool), 10)) == ["a1", "b1", "a2"]
+    assert subsets(vx.select_top(frame(spark, pool), 10, fill=True)) == ["a1", "b1", "a2", "a3"]
+
+
+def test_plain_ranking(catalog):
+    assert subsets(vx.select_top(catalog, 4, proportional=False)) == ["twi_twi", "bel_two", "cor_tie", "dun_tie"]
+    assert subsets(vx.select_top(catalog, 4, proportional=False, max_per_country=1)) == [
+        "twi_twi", "cor_tie", "dun_tie", "ewi_few"
+    ]
+
+
+@pytest.mark.parametrize("n", [0, -3])
+@pytest.mark.parametrize("proportional", [True, False])
+def test_nothing_asked_nothing_given(catalog, n, proportional):
+    assert subsets(vx.select_top(catalog, n, proportional=proportional)) == []
+    assert subsets(vx.select_top(catalog, n, proportional=proportional, max_per_country=2)) == []
+
+
+def test_negative_cap_is_refused(catalog):
+    with pytest.raises(ValueError):
+        vx.select_top(catalog, 3, max_per_country=-1)
+
+
+def test_empty_pool(catalog):
+    assert subsets(vx.select_top(catalog.where("false"), 3)) == []
+
+
+def test_pick_keeps_order_and_repeats(catalog):
+    assert subsets(vx.pick_languages(catalog, "twi_twi, aba_one,, twi_twi ")) == ["twi_twi", "aba_one", "twi_twi"]
+
+
+def test_pick_unknown(catalog):
+    with pytest.raises(KeyError, match="nobody"):
+        vx.pick_languages(catalog, ["twi_twi", "nobody"])
+    assert subsets(vx.pick_languages(catalog, ["nobody", "twi_twi"], strict=False)) == ["twi_twi"]
+    assert [r.subset for r in vx.unknown_names(catalog, "nobody,twi_twi,nobody").collect()] == ["nobody"]

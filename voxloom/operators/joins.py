@@ -15,21 +15,21 @@ SALTS = 64
 LITERAL_NAMES = 1_000
 
 
-def rows_up_to(df: DataFrame, limit: int = BROADCAST_ROWS) -> int:
-    """Number of rows, counted no further than one past the limit."""
-    return df.limit(limit + 1).count()
+def rows_up_to_limit(df: DataFrame) -> int:
+    """Number of rows, counted no further than one past BROADCAST_ROWS."""
+    return df.limit(BROADCAST_ROWS + 1).count()
 
 
-def settle(df: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+def settle(df: DataFrame) -> tuple[DataFrame, int]:
     """A small table computed once and kept as a local relation, with its number of rows.
 
     A selection that is used several times is then not derived again, and Catalyst knows
-    its exact size. A table of more than ``limit`` rows is returned as it is, with
-    ``limit + 1``.
+    its exact size. A table of more than BROADCAST_ROWS rows is returned as it is, with
+    one more than that.
     """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df, limit + 1
+    rows = df.limit(BROADCAST_ROWS + 1).toArrow()
+    if rows.num_rows > BROADCAST_ROWS:
+        return df, rows.num_rows
     return df.sparkSession.createDataFrame(rows, schema=df.schema), rows.num_rows
 
 

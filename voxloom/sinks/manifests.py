@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.columns import language_code, one_line, speaker_label
-from voxloom.operators.joins import attach, rows_up_to
+from voxloom.operators.joins import attach, rows_up_to_limit
 from voxloom.operators.numbering import number_clips, speaker_ids
 from voxloom.schemas import MANIFEST_FILES, SPEAKER_FILE
 
@@ -42,7 +42,7 @@ def manifest_lines(clips: DataFrame, layout: str, *, seed: int = 42, ordered_spl
     wav = F.concat(F.lit("wavs/"), F.col("uid"), F.lit(".wav"))
     if layout == "vits":
         speakers = speaker_ids(clips, seed=seed, ordered_splits=ordered_splits)
-        rows = attach(rows, speakers, "speaker", rows_up_to(speakers), "uid")
+        rows = attach(rows, speakers, "speaker", rows_up_to_limit(speakers), "uid")
     parts = {
         "ljspeech": ["uid", "text", "text"],
         "piper": ["uid", "speaker", "text"],

@@ -10,6 +10,8 @@ through one task.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,8 +97,8 @@ def stream_admit(
     open_ticks = F.lit(True) if max_seconds is None else F.col("taken_ticks") < round(max_seconds * TICKS_PER_SECOND)
 
     def admit(batch: DataFrame, epoch: int) -> None:
-        # At most files_per_batch names.
-        names = [row.file_path for row in batch.distinct().collect()]
+        # At most files_per_batch names, which come percent-encoded.
+        names = [unquote(row.file_path) for row in batch.distinct().collect()]
         clips = spark.read.schema(clip_schema).option("basePath", path).parquet(*names)
         before = _state_at(spark, state_path, epoch - 1)
         full = before.where(~(open_clips & open_ticks)).select("subset")
