@@ -15,6 +15,11 @@ CATALOG = "subset, language, iso, country, clips, hours, train, val, test"
 STANDARD = "audio, text, language, country, length, iso, subset"
 
 
+def rounded(value: str, digits: int) -> str:
+    """Rounding by the exact value of a double, halves to even: what printf does."""
+    return f"cast(printf('%.{digits}f', cast({value} as double)) as double)"
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -49,11 +54,11 @@ clips as (
   from raw join names using (subset))
 """
 
-# Hours to two decimals, halves to even, on exact whole numbers: seconds in 1/256 here.
-CATALOG_OF_CLIPS = """,
+HOURS = rounded("sum(length) / 3600", 2)
+CATALOG_OF_CLIPS = f""",
 catalog as (
   select subset, max(language) as language, max(iso) as iso, max(country) as country, count(*) as clips,
-    round_even(sum(length) / 3600, 2) as hours,
+    {HOURS} as hours,
     count(*) filter (where split = 'train') as train, count(*) filter (where split = 'val') as val,
     count(*) filter (where split = 'test') as test
   from clips group by subset)
@@ -83,10 +88,10 @@ def plan_of(source: str, cap: int | None, seconds: float, low: float, high: floa
 means as (select *, case when clips > 0 then hours * 3600 / clips else 0 end as mean from {source}),
 clamped as (select *, case when mean > 0 then least(greatest(mean, {low}), {high}) else 0 end as clip from means),
 counted as (select *, least(train, {limit}case when clip > 0
-  then greatest(1, cast(round_even({seconds} / clip, 0) as bigint)) else train end) as planned from clamped),
-timed as (select *, round_even(least(round_even(planned * clip, 1), train * clip), 1) as planned_seconds from counted),
+  then greatest(1, cast({rounded(f'{seconds} / clip', 0)} as bigint)) else train end) as planned from clamped),
+timed as (select *, {rounded('least(' + rounded('planned * clip', 1) + ', train * clip)', 1)} as planned_seconds from counted),
 plan as (select * exclude (mean, clip), {lookup('country', COUNTRY_NAMES)} as country_name, 'train' as split,
-  train as available, round_even(planned_seconds / 3600, 2) as planned_hours from timed)
+  train as available, {rounded('planned_seconds / 3600', 2)} as planned_hours from timed)
 """
 
 
@@ -108,6 +113,7 @@ drawn as (select * from placed where {' and '.join(limits)})
 """
 
 
+PLANNED = rounded("sum(cast(planned_hours as decimal(18, 2)))", 2)
 SPLIT_ORDER = f"case split when 'train' then 0 when 'val' then 1 else 2 end, {KEY}"
 PLAIN_CLIPS = f""",
 usable as (select * from clips where split = 'train' and not {DIGIT})
@@ -166,8 +172,8 @@ ORACLES = {
     "catalog_refresh": ITEM_CATALOG + f"select {CATALOG} from catalog",
     "catalog_scan": ITEM_CATALOG + f"select {CATALOG} from catalog",
     "catalog_roundtrip": ITEM_CATALOG + f"select {CATALOG} from catalog",
-    "catalog_refresh_labels": WITH_ITEMS + """,
-counted as (select subset, count(*) as clips, round_even(sum(length) / 3600, 2) as hours,
+    "catalog_refresh_labels": WITH_ITEMS + f""",
+counted as (select subset, count(*) as clips, {HOURS} as hours,
     count(*) filter (where split = 'train') as train, count(*) filter (where split = 'val') as val,
     count(*) filter (where split = 'test') as test from clips where length > 49 group by subset)
 select names.subset, case when length(country) = 2 then language else names.subset end as language,
@@ -185,7 +191,7 @@ from names left join counted using (subset)""",
     "filter_catalog": DOC_CATALOG + f"""select {CATALOG} from catalog
 where hours between 0.01 and 50 and clips >= 5 and country in ('EN', 'FR') and val > 0""",
     "countries": ITEM_CATALOG + "select distinct country from catalog",
-    "catalog_totals": ITEM_CATALOG + """select count(*) as languages, round_even(sum(hours), 1) as total_hours,
+    "catalog_totals": ITEM_CATALOG + f"""select count(*) as languages, {rounded('sum(cast(hours as decimal(18, 2)))', 1)} as total_hours,
   count(distinct country) as countries from catalog""",
     # --- selection
     "top_n": ITEM_CATALOG + f"""select * from (select row_number() over (order by hours desc, subset) as position, {CATALOG}
@@ -209,11 +215,11 @@ join catalog using (subset)""",
     "plan_samples": ITEM_CATALOG + plan_of("catalog", 200, 1800.0, 3.0, 15.0) + "select * from plan",
     "plan_view": ITEM_PLAN + """select language, country_name as country, iso, hours, clips, available as in_split,
   planned as to_pull, planned_hours as est_hours, subset from plan""",
-    "plan_totals": ITEM_PLAN + """select count(*) as languages, count(distinct country) as countries,
-  cast(sum(planned) as bigint) as planned_clips, round_even(sum(planned_hours), 2) as planned_hours from plan""",
-    "shortfall": ITEM_CATALOG + ITEM_POOL + plan_of("chosen", None, 5400.0, 3.0, 15.0) + """,
+    "plan_totals": ITEM_PLAN + f"""select count(*) as languages, count(distinct country) as countries,
+  cast(sum(planned) as bigint) as planned_clips, {PLANNED} as planned_hours from plan""",
+    "shortfall": ITEM_CATALOG + ITEM_POOL + plan_of("chosen", None, 5400.0, 3.0, 15.0) + f""",
 limiting as (select *, row_number() over (order by position) as place from plan where planned_seconds < 5400.0 * 0.98),
-total as (select round_even(sum(planned_hours), 2) as planned_hours, (select count(*) from limiting) as limiting from plan)
+total as (select {PLANNED} as planned_hours, (select count(*) from limiting) as limiting from plan)
 select cast(60.0 as double) as requested_hours, planned_hours, planned_hours < 60.0 * 0.98 as short, limiting,
   case when planned_hours < 60.0 * 0.98 then concat(
     (select coalesce(string_agg(language, ', ' order by position), '') from limiting where place <= 6),
@@ -232,8 +238,8 @@ where subset in ('src1_en', 'src2_fr', 'src3_de') and split = 'train'""",
     "clip_window_stream": ITEM_GAPS + "select * from gaps where coalesce(duration, 0) <= 15",
     "digit_filter": WITH_CLIPS + f"select clip_id as id, text as transcript from clips where not {DIGIT}",
     "standardise": WITH_CLIPS + f"select clip_id, split, {STANDARD} from clips",
-    "waveform_length": """select cast(vec_id as varchar) as clip_id, concat('wave_', cast(label as varchar)) as subset,
-  case when label = 0 then 0.0 else round_even(len(embedding) / (label * 3), 3) end as length from embeddings""",
+    "waveform_length": f"""select cast(vec_id as varchar) as clip_id, concat('wave_', cast(label as varchar)) as subset,
+  case when label = 0 then 0.0 else {rounded('len(embedding) / (label * 3)', 3)} end as length from embeddings""",
     "waveform_downmix": """select vec_id, place, (cast(a as double) + cast(b as double)) / 2 as sample from (
   select vec_id, unnest(range(len(embedding))) as place, unnest(embedding) as a,
     unnest(list_reverse(embedding)) as b from embeddings)""",

