@@ -175,12 +175,13 @@ ORACLES = {
     "catalog_refresh_labels": WITH_ITEMS + f""",
 counted as (select subset, count(*) as clips, {HOURS} as hours,
     count(*) filter (where split = 'train') as train, count(*) filter (where split = 'val') as val,
-    count(*) filter (where split = 'test') as test from clips where length > 49 group by subset)
-select names.subset, case when length(country) = 2 then language else names.subset end as language,
-  case when length(country) = 2 then iso else '' end as iso, case when length(country) = 2 then country else '' end as country,
+    count(*) filter (where split = 'test') as test from clips group by subset),
+known as (select * from names where length(country) = 2),
+listed as (select subset from names union all select n_name from nation)
+select listed.subset, coalesce(language, listed.subset) as language, coalesce(iso, '') as iso, coalesce(country, '') as country,
   coalesce(clips, 0) as clips, coalesce(hours, 0) as hours, coalesce(train, 0) as train, coalesce(val, 0) as val,
   coalesce(test, 0) as test
-from names left join counted using (subset)""",
+from listed left join counted using (subset) left join known using (subset)""",
     "split_size": ITEM_CATALOG + "select subset, train as in_train, val as in_val, test as in_test, clips as in_all from catalog",
     "country_name": ITEM_CATALOG + f"select {CATALOG}, {lookup('country', COUNTRY_NAMES)} as country_name from catalog",
     "avg_clip_seconds": ITEM_CATALOG + "select subset, case when clips > 0 then hours * 3600 / clips else 0 end as avg_seconds from catalog",

@@ -56,10 +56,12 @@ def _(spark, sf):
 
 @query("catalog_refresh_labels")
 def _(spark, sf):
-    # Every supplier is listed; labels are known for the first nations only.
-    known = st.item_labels(spark, sf).where(F.length("country") == 2)
-    clips = st.item_clips(spark, sf).where(F.col("duration") > 49)
-    return vx.refresh_catalog(clips, known, listed=st.item_labels(spark, sf))
+    # Suppliers and nations are listed. Nations have no clips, and labels are known for the
+    # suppliers of the first nations only.
+    labels = st.item_labels(spark, sf)
+    nations = st.table(spark, sf, "nation").select(F.col("n_name").alias("subset"))
+    known = labels.where(F.length("country") == 2)
+    return vx.refresh_catalog(st.item_clips(spark, sf), known, listed=labels.select("subset").unionAll(nations))
 
 
 @query("catalog_scan")

@@ -67,6 +67,13 @@ def test_totals_and_view(catalog):
     ]
 
 
+def test_brief_view(catalog):
+    plan = vx.plan_samples(vx.pick_languages(catalog, "twi_twi"), per_language=5)
+    assert vx.plan_view(plan, brief=True).first().asDict() == {
+        "language": "Twi", "country": "Ghana", "iso": "twi", "hours": 50.32, "in_split": 15794, "to_pull": 5, "est_h": 0.01
+    }
+
+
 def test_shortfall(catalog):
     plan = vx.plan_samples(vx.pick_languages(catalog, "ewi_few,twi_twi"), max_seconds=36000.0)
     row = vx.shortfall(plan, 20.0, 36000.0).first()

@@ -12,7 +12,7 @@ BROADCAST_ROWS = 100_000
 # Above it both sides are shuffled, with every language spread over this many tasks.
 SALTS = 64
 # Names up to this many become a literal filter, which prunes partition folders.
-LITERAL_NAMES = 1_000
+LITERAL_NAMES = 256
 
 
 def rows_up_to_limit(df: DataFrame) -> int:

@@ -60,13 +60,15 @@ def plan_samples(
     )
 
 
-def plan_view(plan: DataFrame) -> DataFrame:
+def plan_view(plan: DataFrame, *, brief: bool = False) -> DataFrame:
     """The columns of a plan people look at, under the names they know."""
-    return plan.select(
-        "language", F.col("country_name").alias("country"), "iso", "hours", "clips",
+    shown = [
+        F.col("language"), F.col("country_name").alias("country"), F.col("iso"), F.col("hours"),
         F.col("available").alias("in_split"), F.col("planned").alias("to_pull"),
-        F.col("planned_hours").alias("est_hours"), "subset",
-    )
+    ]
+    if brief:
+        return plan.select(*shown, F.col("planned_hours").alias("est_h"))
+    return plan.select(*shown[:4], "clips", *shown[4:], F.col("planned_hours").alias("est_hours"), "subset")
 
 
 def plan_totals(plan: DataFrame) -> DataFrame:

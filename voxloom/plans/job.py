@@ -114,7 +114,7 @@ def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig,
             min_clip_seconds=config.min_clip_seconds, max_clip_seconds=config.max_clip_seconds,
             seed=config.seed, as_stream=as_stream, internals=True,
         ),
-        dataset,
+        dataset, gather=capped,
     )
     built = read_dataset(spark, dataset)
     shaped = apply_schema(built.select(*STANDARD_COLUMNS), config.schema)

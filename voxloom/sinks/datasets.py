@@ -19,13 +19,16 @@ CSV_OPTIONS = {
 }
 
 
-def write_dataset(clips: DataFrame, path: str) -> None:
+def write_dataset(clips: DataFrame, path: str, *, gather: bool = True) -> None:
     """Write clips with one folder per subset.
 
-    The rebalance hint gathers each subset into few files and splits large ones, so a
-    language with a third of the clips is written by many tasks.
+    ``gather`` collects each subset into few files, and splits large ones: a language with
+    a third of the clips is still written by many tasks. It suits samples, of which every
+    task holds a few clips. A full pull keeps the layout of its source and needs no
+    shuffle.
     """
-    clips.hint("rebalance", "subset").write.partitionBy("subset").parquet(path)
+    rows = clips.hint("rebalance", "subset") if gather else clips
+    rows.write.partitionBy("subset").parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
