@@ -55,7 +55,8 @@ def test_formats(spark, clips, catalog, tmp_path):
     rows = result.built.collect()
     assert len(rows) == 20 and all(3.0 <= r.length <= 15.0 and "1" not in r.text for r in rows)
     assert tuple(result.summary.first()) == (20, 2)
-    assert spark.read.parquet(result.written["parquet"]).columns == ["audio", "sentence"]
+    for table in ("parquet", "disk"):
+        assert spark.read.parquet(result.written[table]).columns == ["audio", "sentence"]
     # Manifests have their transcripts whatever schema the tables are in.
     manifest = spark.read.text(result.written["ljspeech"] + "/metadata.csv")
     assert manifest.count() == 20 and manifest.where(F.col("value").endswith("|words of twi_twi")).count() == 10

@@ -15,11 +15,6 @@ SALTS = 64
 LITERAL_NAMES = 256
 
 
-def rows_up_to_limit(df: DataFrame) -> int:
-    """Number of rows, counted no further than one past BROADCAST_ROWS."""
-    return df.limit(BROADCAST_ROWS + 1).count()
-
-
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
     """A small table computed once and kept as a local relation, with its number of rows.
 

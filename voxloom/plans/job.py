@@ -80,9 +80,10 @@ def choose_languages(catalog: DataFrame, config: SelectionConfig) -> DataFrame:
 def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig, out: str) -> SelectionResult:
     """Plan a selection and, unless it is a dry run, build and write it below ``out``.
 
-    The build is written once, as a dataset; all other formats are made from that, so
-    sampling and filtering run once and manifests read no audio. A pull without any cap
-    is refused unless ``allow_full``.
+    The build is written once, as a dataset with the internal columns; all other formats
+    are made from that, so sampling and filtering run once and manifests read no audio.
+    ``schema`` shapes tables, not manifests. A pull without any cap is refused unless
+    ``allow_full``.
     """
     formats = check_formats(config.formats)
     selection, languages = settle(choose_languages(catalog, config))
@@ -120,8 +121,11 @@ def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig,
     shaped = apply_schema(built.select(*STANDARD_COLUMNS), config.schema)
     written = {}
     for name in formats:
-        if name == "disk":
+        if name == "disk" and shaped.columns == STANDARD_COLUMNS:
             written[name] = dataset
+        elif name == "disk":
+            write_parquet(shaped, f"{out}/dataset_{config.schema}")
+            written[name] = f"{out}/dataset_{config.schema}"
         elif name == "parquet":
             write_parquet(shaped, f"{out}/parquet")
             written[name] = f"{out}/parquet"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.columns import language_code, one_line, speaker_label
-from voxloom.operators.joins import attach, rows_up_to_limit
+from voxloom.operators.joins import attach, settle
 from voxloom.operators.numbering import number_clips, speaker_ids
 from voxloom.schemas import MANIFEST_FILES, SPEAKER_FILE
 
@@ -35,26 +35,34 @@ def manifest_rows(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fa
     )
 
 
-def manifest_lines(clips: DataFrame, layout: str, *, seed: int = 42, ordered_splits: bool = False) -> DataFrame:
-    """(idx, value): the lines of one manifest. Transcripts are verbatim; '|' is not escaped."""
+def manifest_lines(
+    clips: DataFrame, layout: str, *, seed: int = 42, ordered_splits: bool = False, speakers: DataFrame | None = None
+) -> DataFrame:
+    """(idx, value): the lines of one manifest. Transcripts are verbatim; '|' is not escaped.
+
+    ``speakers`` are the ``speaker_ids`` of the same clips, for the layout that needs them,
+    if they are at hand.
+    """
     check_layout(layout)
     rows = manifest_rows(clips, seed=seed, ordered_splits=ordered_splits)
     wav = F.concat(F.lit("wavs/"), F.col("uid"), F.lit(".wav"))
     if layout == "vits":
-        speakers = speaker_ids(clips, seed=seed, ordered_splits=ordered_splits)
-        rows = attach(rows, speakers, "speaker", rows_up_to_limit(speakers), "uid")
-    parts = {
-        "ljspeech": ["uid", "text", "text"],
-        "piper": ["uid", "speaker", "text"],
-        "vits": [wav, F.col("sid").cast("string") if layout == "vits" else None, "text"],
-        "melo": [wav, "speaker", "iso", "text"],
-    }[layout]
+        if speakers is None:
+            speakers = speaker_ids(clips, seed=seed, ordered_splits=ordered_splits)
+        speakers, speaker_rows = settle(speakers)
+        rows = attach(rows, speakers, "speaker", speaker_rows, "uid")
+        parts = [wav, F.col("sid").cast("string"), "text"]
+    else:
+        parts = {
+            "ljspeech": ["uid", "text", "text"],
+            "piper": ["uid", "speaker", "text"],
+            "melo": [wav, "speaker", "iso", "text"],
+        }[layout]
     return rows.select("idx", F.concat_ws("|", *parts).alias("value"))
 
 
-def speaker_lines(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = False) -> DataFrame:
+def speaker_lines(speakers: DataFrame) -> DataFrame:
     """(sid, value): speaker id, tab, speaker."""
-    speakers = speaker_ids(clips, seed=seed, ordered_splits=ordered_splits)
     return speakers.select("sid", F.concat_ws("\t", F.col("sid").cast("string"), "speaker").alias("value"))
 
 
@@ -73,7 +81,9 @@ def export_manifest(
     """
     folder = f"{path.rstrip('/')}/{check_layout(layout)}"
     order = {"seed": seed, "ordered_splits": ordered_splits}
-    _write_in_order(manifest_lines(clips, layout, **order), "idx", f"{folder}/{MANIFEST_FILES[layout]}")
-    if layout == "vits":
-        _write_in_order(speaker_lines(clips, **order), "sid", f"{folder}/{SPEAKER_FILE}")
+    speakers = settle(speaker_ids(clips, **order))[0] if layout == "vits" else None
+    lines = manifest_lines(clips, layout, speakers=speakers, **order)
+    _write_in_order(lines, "idx", f"{folder}/{MANIFEST_FILES[layout]}")
+    if speakers is not None:
+        _write_in_order(speaker_lines(speakers), "sid", f"{folder}/{SPEAKER_FILE}")
     return folder

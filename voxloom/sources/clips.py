@@ -37,11 +37,14 @@ def in_split(clips: DataFrame, split: str) -> DataFrame:
 def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table whose partition folders hold text keys.
 
-    Folder names like ``subset=007`` would otherwise be read as numbers.
+    Folder names like ``subset=007`` are taken for numbers at first; only then is the
+    table opened again, with its keys declared as text.
     """
-    found = spark.read.parquet(path).schema
-    keys = [T.StructField(f.name, T.StringType()) if f.name in ("subset", "split") else f for f in found]
-    return spark.read.schema(T.StructType(keys)).parquet(path)
+    stored = spark.read.parquet(path)
+    declared = [T.StructField(f.name, T.StringType()) if f.name in ("subset", "split") else f for f in stored.schema]
+    if declared == list(stored.schema):
+        return stored
+    return spark.read.schema(T.StructType(declared)).parquet(path)
 
 
 def read_clips(

@@ -76,13 +76,14 @@ def stream_admit(
     max_clip_seconds: float | None = None,
     seed: int = 42,
     files_per_batch: int = FILES_PER_BATCH,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Admit arriving clips until each language has its clip count or its seconds.
 
     Within a micro-batch clips are taken in split order, then draw order. The clip that
-    crosses a budget stays, so a language ends at most one clip over it. The query takes
-    in all files present and stops; started again on the same ``out`` it goes on with new
-    ones. Results are in ``out``/clips.
+    crosses a budget stays, so a language ends at most one clip over it. Results are in
+    ``out``/clips. Without another ``trigger`` the query takes in all files present and
+    stops; started again on the same ``out`` it goes on with new ones.
 
     Each micro-batch only names its files. They are read by the draw itself, which prunes
     columns and the languages that are already full. Clips and state are written under
@@ -99,8 +100,11 @@ def stream_admit(
     def admit(batch: DataFrame, epoch: int) -> None:
         # At most files_per_batch names, which come percent-encoded.
         names = [unquote(row.file_path) for row in batch.distinct().collect()]
-        clips = spark.read.schema(clip_schema).option("basePath", path).parquet(*names)
         before = _state_at(spark, state_path, epoch - 1)
+        if not names:
+            before.write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
+            return
+        clips = spark.read.schema(clip_schema).option("basePath", path).parquet(*names)
         full = before.where(~(open_clips & open_ticks)).select("subset")
         wanted = of_selection(in_split(clips, split), selection.join(full, "subset", "left_anti"), rows)
         usable = drop_digit_text(clip_window_stream(wanted, min_clip_seconds, max_clip_seconds))
@@ -131,7 +135,7 @@ def stream_admit(
     return (
         arriving.writeStream.foreachBatch(admit)
         .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
