@@ -83,7 +83,7 @@ def draw_ends(
     taken: DataFrame | None = None,
 ) -> DataFrame:
     """Last place of the draw for each language: (subset, _end). Where nothing is drawn there
-    is no row, a null, or an end before the first clip.
+    is no row, or an end before the first clip.
 
     ``ordered`` has subset, length and the columns of ``with_sample_order``. ``languages``
     bounds its subsets and ``largest`` the clips of each. ``taken`` (subset, taken_clips,
@@ -147,12 +147,12 @@ def draw_ends(
         # Stop one clip early where that is strictly nearer to the target.
         over = (F.col("_n") > 1) & (F.col("_t") > tick_cap) & (tick_cap - short < F.col("_t") - tick_cap)
         kept = kept & ~over
-    ends = F.when(kept, _place())
-    if digits:
-        # When nothing of the slot is kept the draw ends before it: any place in the slot is
-        # greater than the bare slot digits, and any place in an earlier slot is smaller.
-        ends = ends.otherwise(F.struct("_rank", F.col("_slot").alias("_key"), F.lit("").alias("_id")))
-    return counted.groupBy("subset").agg(F.max(ends).alias("_end"))
+    if digits == 0:
+        return counted.where(kept).groupBy("subset").agg(F.max(_place()).alias("_end"))
+    # When nothing of the slot is kept the draw ends before it: any place in the slot is
+    # greater than the bare slot digits, and any place in an earlier slot is smaller.
+    slot_start = F.struct("_rank", F.col("_slot").alias("_key"), F.lit("").alias("_id"))
+    return counted.groupBy("subset").agg(F.max(F.when(kept, _place()).otherwise(slot_start)).alias("_end"))
 
 
 def draw(
@@ -228,7 +228,7 @@ def holdout_split(clips: DataFrame, test_size: float = 0.1, seed: int = 42) -> D
     clip_count = clips.count()
     tests = math.ceil(test_size * clip_count)
     end = draw_ends(whole, 1, clip_count, per_language=tests).first()
-    if end is None or end["_end"] is None:
+    if end is None:
         return clips.withColumn("fold", F.lit("train"))
     _, key, clip_id = end["_end"]
     in_test = F.struct("_key", "_id") <= F.struct(F.lit(key).alias("_key"), F.lit(clip_id).alias("_id"))
