@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import differences, duck
+from oracles import ORACLES
+from queries import FOUND
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
@@ -17,10 +19,11 @@ def con():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(FOUND) == set(ORACLES)
+    assert set(FOUND) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(FOUND))
 def test_same_result(spark, con, name):
     assert differences(entry_points.queries()[name](spark, SF_DIR), entry_points.oracle_sql()[name], con) == []
 
