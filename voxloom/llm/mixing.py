@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
-# Documents a single task sorts at once.
-SLOT_ROWS = 50_000
 # Sets of sources the driver may hold.
 MAX_PATTERNS = 100_000
 
@@ -125,7 +123,6 @@ def _place(size: Column, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, members: Column, size: Column, quotas, repeats: int = 2, seed: int = 42,
-    slot_rows: int = SLOT_ROWS,
 ) -> Mix:
     """Which documents a mix takes, how often and for which source.
 
@@ -163,7 +160,8 @@ def mix(
         rows.append((list(p), capacity[p], at, shares))
     plan = spark.createDataFrame(rows, "members array<string>, total bigint, flow bigint, shares array<struct<at:bigint,source:string>>")
 
-    bits = max(0, math.ceil(math.log2(max([1, *(r.n for r in found)]) / slot_rows)))
+    # As many slots as a slot has rows: neither window grows faster than the root of the documents.
+    bits = math.ceil(math.log2(max([1, *(r.n for r in found)])) / 2)
     slotted = narrow.withColumn("slot", F.shiftright("place.key", 63 - bits))
     within = Window.partitionBy("members", "slot").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     of_slot = slotted.groupBy("members", "slot").agg(F.sum("size").alias("tokens"))
