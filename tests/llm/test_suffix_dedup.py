@@ -1,0 +1,99 @@
+"""Suffix arrays and repeated strings against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from voxloom.llm import suffix_dedup as sd
+
+SCHEMA = "doc_id bigint, text string, row int, document int"
+
+
+def brute(docs):
+    """Removed bytes by a table of all strings of 50 bytes and the smallest id they start in."""
+    last = 2**63
+    least: dict = {}
+    texts = [((last if d is None else d), (t or "").encode()) for d, t in docs]
+    for d, t in texts:
+        for i in range(len(t) - 49):
+            least[t[i : i + 50]] = min(d, least.get(t[i : i + 50], d))
+    out = []
+    for (d, t), (given, _) in zip(texts, docs):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            if least[t[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        out.append((given, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh", "a", "a\0b"])
+def test_suffix_array(alphabet):
+    rng = random.Random(1)
+    for n in (1, 2, 60, 700):
+        raw = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+        found = sd.suffix_array(np.frombuffer(raw, np.uint8))
+        assert sorted(found.tolist()) == list(range(n))
+        keys = [(raw[i : i + 50] + bytes(50))[:50] for i in found]
+        assert keys == sorted(keys)
+
+
+def test_suffix_array_of_repeats():
+    raw = b"the same words again and again, " * 40 + b"x" * 300
+    found = sd.suffix_array(np.frombuffer(raw, np.uint8))
+    keys = [(raw[i : i + 50] + bytes(50))[:50] for i in found]
+    assert keys == sorted(keys)
+    prefix = sd.common_prefix(found, sd.words_at(np.frombuffer(raw, np.uint8)))
+    assert prefix.tolist() == [a == b for a, b in zip(keys, keys[1:])]
+
+
+def made(rng, n):
+    words = [bytes(rng.choice(b"abcdefghijklmnop") for _ in range(rng.randint(2, 9))).decode() for _ in range(300)]
+    line = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    shared = [line(rng.randint(9, 30)) for _ in range(6)]
+    docs = []
+    for i in range(n):
+        kind = rng.random()
+        text = line(rng.randint(0, 80))
+        if kind < 0.4:
+            text = line(rng.randint(0, 9)) + rng.choice(shared) + line(rng.randint(0, 9)) + rng.choice(shared)
+        elif kind < 0.5 and docs:
+            text = docs[rng.randrange(len(docs))][1] or ""
+        elif kind < 0.6 and docs:
+            base = docs[rng.randrange(len(docs))][1] or ""
+            at = rng.randrange(len(base) + 1)
+            text = base[:at] + "é!" + base[at:]
+        docs.append((i, text))
+    return docs
+
+
+@pytest.mark.parametrize("frequent", [sd.FREQUENT, 3])
+def test_against_brute_force(spark, frequent):
+    rng = random.Random(5)
+    docs = made(rng, 120)
+    docs += [
+        (200, None), (201, ""), (None, docs[3][1]), (None, "z" * 200), (202, "z" * 500), (203, "z" * 70), (204, "ab" * 100), (204, "ab" * 100),
+        (205, "x" + "ab" * 60), (-3, docs[7][1]), (206, "\0" * 60), (207, "a" + "\0" * 60), (208, "z" * 49), (209, "short"),
+    ]
+    rng.shuffle(docs)
+    table = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], SCHEMA).repartition(5)
+    found = sd.remove_repeats(table, frequent=frequent, bucket_bytes=4000).collect()
+    assert sorted(map(tuple, found), key=repr) == brute(docs)
+
+
+def test_very_long_text(spark, monkeypatch):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(1_300_000))
+    docs = [(1, long[700_000:700_200]), (2, long), (3, "w" * 30 + long[1_048_500:1_048_700])]
+    found = {r.doc_id: r for r in sd.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert [found[i].n_removed for i in (1, 2, 3)] == [0, 200, 200]
+    assert found[2].n_spans == 1 and found[2].n_bytes == 1_300_000
+
+
+def test_no_rows(spark):
+    found = sd.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string"), with_text=True)
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"] and found.count() == 0

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import mixing, packing, pii, quality, simhash
+from voxloom.llm import (
+    embedding_dedup, language_id, mixing, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity,
+)
 
 FOUND: dict = {}
 
@@ -25,16 +27,45 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_pii(spark, sf_dir):
     return pii.find_spans(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+@query
+def op5_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op7_language_id(spark, sf_dir):
+    return language_id.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
