@@ -78,6 +78,7 @@ def test_against_brute_force(spark, frequent):
     docs += [
         (200, None), (201, ""), (None, docs[3][1]), (None, "z" * 200), (202, "z" * 500), (203, "z" * 70), (204, "ab" * 100), (204, "ab" * 100),
         (205, "x" + "ab" * 60), (-3, docs[7][1]), (206, "\0" * 60), (207, "a" + "\0" * 60), (208, "z" * 49), (209, "short"),
+        (210, docs[9][1] + "q" * 60), (210, docs[10][1]), (211, "q" * 55),
     ]
     rng.shuffle(docs)
     table = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], SCHEMA).repartition(5)

@@ -25,6 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,25 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+# --- arrays as bytes ---------------------------------------------------------
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
+
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), kind)
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Numbers by their differences, which take less room where neighbours are alike."""
+    return _packed(np.diff(values, prepend=np.zeros(1, values.dtype)))
+
+
+def _summed(raw: bytes, kind) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, kind), dtype=kind)
+
+
 # --- windows and anchors -----------------------------------------------------
 
 def _anchors(raw: np.ndarray) -> np.ndarray:
@@ -108,22 +128,10 @@ def _codes(anchor: np.ndarray, buckets: int) -> np.ndarray:
 # --- anchors of several documents --------------------------------------------
 
 EMPTY = np.zeros(0, np.int64)
-_MET = "bucket int, document bigint, anchors binary, base bigint, documents binary, several binary"
+_MET = "bucket int, document bigint, anchors binary, documents binary, several binary"
 _REPEATED = "document bigint, codes binary, frequent boolean"
 
 
-def _narrow(documents: np.ndarray) -> tuple[int, bytes]:
-    """Ids as differences in 32 bits where they fit, else whole."""
-    base = int(documents.min())
-    if int(documents.max()) - base < 1 << 32:
-        return base, (documents - base).astype(np.uint32).tobytes()
-    return base, documents.tobytes()
-
-
-def _wide(base: int, raw: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint32).astype(np.int64) + base if len(raw) == 4 * count else np.frombuffer(raw, np.int64)
-
-
 def _by_document(documents: np.ndarray, codes: np.ndarray) -> list[tuple[int, bytes]]:
     order = np.argsort(documents, kind="stable")
     documents, codes = documents[order], codes[order]
@@ -151,29 +159,28 @@ def _meet(batches, buckets: int):
         rows = []
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = slice(cut[b], cut[b + 1])
-            base, packed = _narrow(document[begin[own]])
-            rows.append((b, None, code[begin[own]].astype(np.uint32).tobytes(), base, packed, count[own].tobytes()))
+            rows.append((b, None, _steps(code[begin[own]].astype(np.uint32)), _packed(document[begin[own]]), _packed(count[own])))
         shared = np.repeat(several, end - begin)
         for d, codes in _by_document(document[shared], code[shared]):
-            rows.append((d % buckets, d, codes, None, None, None))
+            rows.append((d % buckets, d, codes, None, None))
         yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], schema=_SCHEMA)
 
 
 _NAMES = [x.split()[0] for x in _MET.split(", ")]
-_SCHEMA = pa.schema(list(zip(_NAMES, [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])))
+_SCHEMA = pa.schema(list(zip(_NAMES, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])))
 
 
 def _repeated(table, frequent: int):
     """Which anchors of a bucket are met in several documents: codes for each document."""
     bucket = table.column("bucket")[0].as_py()
     passed, anchors, documents, counts = [], [], [], []
-    for d, a, base, packed, several in zip(*(table.column(c).to_pylist() for c in _NAMES[1:])):
+    for d, a, packed, several in zip(*(table.column(c).to_pylist() for c in _NAMES[1:])):
         if d is not None:
             passed.append((d, a, False))
         else:
-            anchors.append(np.frombuffer(a, np.uint32))
-            documents.append(_wide(base, packed, len(anchors[-1])))
-            counts.append(np.frombuffer(several, np.uint8))
+            anchors.append(_summed(a, np.uint32))
+            documents.append(_unpacked(packed, np.int64))
+            counts.append(_unpacked(several, np.uint8))
     if anchors:
         anchor, document, count = (np.concatenate(x) for x in (anchors, documents, counts))
         order = np.argsort(anchor, kind="stable")
@@ -201,7 +208,9 @@ def _pieces(batches, buckets: int, often: np.ndarray):
     """Pieces of each batch by bucket. Of equal pieces the earliest document's goes on; the others
     are covered as they are."""
     for batch in batches:
-        ids, keys, texts, codes = (c.to_pylist() for c in batch.columns)
+        ids, keys, texts, codes, copies = (c.to_pylist() for c in batch.columns)
+        whole = [(d, k, 0, len(t)) for d, k, t, c in zip(ids, keys, texts, copies) if k in c]
+        texts = [b"" if k in c else t for k, t, c in zip(keys, texts, copies)]
         wanted = [np.unique(np.frombuffer(b"".join(c), np.uint64)) for c in codes]
         seen: dict[tuple, int] = {}
         earliest: list[int] = []
@@ -212,6 +221,8 @@ def _pieces(batches, buckets: int, often: np.ndarray):
             cut = np.flatnonzero(np.append(True, document[1:] != document[:-1]))
             for b, e in zip(cut, np.append(cut[1:], len(document))):
                 i, own = int(document[b]), code[b:e]
+                if not len(wanted[i]):
+                    continue
                 at = np.minimum(np.searchsorted(wanted[i], own), len(wanted[i]) - 1)
                 hit = np.flatnonzero(wanted[i][at] == own)
                 if not len(hit):
@@ -229,7 +240,12 @@ def _pieces(batches, buckets: int, often: np.ndarray):
                             earliest[n] = d
                         piece.append(n)
                         where.append((d, keys[i], u, v + LENGTH))
+        out = []
+        for lines in np.array_split(np.array(whole, np.int64).reshape(-1, 4), 1 + len(whole) // 50_000):
+            if len(lines):
+                out.append({"bucket": int(lines[0, 1] % buckets), "covers": _packed(lines)})
         if not piece:
+            yield pa.RecordBatch.from_pylist(out, schema=_PIECES_SCHEMA)
             continue
         piece, where = np.array(piece), np.array(where, np.int64)
         low, anchor_of = np.array(earliest, np.int64), np.array(anchor_of, np.uint64)
@@ -238,19 +254,18 @@ def _pieces(batches, buckets: int, often: np.ndarray):
         names = [k[0] for k in seen]
         order = np.argsort(piece[~later], kind="stable")
         member, own = piece[~later][order], where[~later][order]
-        out = []
         for b, chosen in _split(bucket_of):
             take = np.isin(member, chosen) if len(chosen) < len(low) else np.ones(len(member), bool)
             out.append({
-                "bucket": b, "texts": b"".join([names[i] for i in chosen.tolist()]),
-                "lengths": np.array([len(names[i]) for i in chosen.tolist()], np.int32).tobytes(),
-                "anchors": anchor_of[chosen].tobytes(), "documents": low[chosen].tobytes(),
-                "members": np.searchsorted(chosen, member[take]).astype(np.int32).tobytes(),
-                "rows": own[take, 1].tobytes(), "starts": own[take, 2].astype(np.int64).tobytes(), "covers": None,
+                "bucket": b, "texts": zstandard.compress(b"".join([names[i] for i in chosen.tolist()]), 3),
+                "lengths": _packed(np.array([len(names[i]) for i in chosen.tolist()], np.uint8)),
+                "anchors": _packed(anchor_of[chosen].astype(np.uint16)), "documents": _steps(low[chosen]),
+                "members": _steps(np.searchsorted(chosen, member[take]).astype(np.int32)),
+                "rows": _packed(own[take, 1]), "starts": _packed(own[take, 2].astype(np.int64)), "covers": None,
             })
         for lines in np.array_split(_joined(where[later]), max(1, int(later.sum()) // 50_000)):
             if len(lines):
-                out.append({"bucket": int(lines[0, 1] % buckets), "covers": lines.tobytes()})
+                out.append({"bucket": int(lines[0, 1] % buckets), "covers": _packed(lines)})
         yield pa.RecordBatch.from_pylist(out, schema=_PIECES_SCHEMA)
 
 
@@ -403,10 +418,11 @@ def _compare(table):
     low, anchors, members = [], [], []
     for texts, lengths, anchor, document, member, rows, starts, cover in zip(*(table.column(c.split()[0]).to_pylist() for c in _PIECES.split(", ")[1:])):
         if cover is not None:
-            covers.append(np.frombuffer(cover, np.int64).reshape(-1, 4))
+            covers.append(_unpacked(cover, np.int64).reshape(-1, 4))
             continue
-        ends = np.cumsum(np.frombuffer(lengths, np.int32))
-        anchor, document = np.frombuffer(anchor, np.uint64), np.frombuffer(document, np.int64)
+        ends = np.cumsum(_unpacked(lengths, np.uint8), dtype=np.int64)
+        texts = zstandard.decompress(texts)
+        anchor, document = _unpacked(anchor, np.uint16), _summed(document, np.int64)
         number = np.zeros(len(ends), np.int64)
         for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
             n = seen.setdefault((texts[a:b], int(anchor[i])), len(seen))
@@ -416,11 +432,11 @@ def _compare(table):
             elif document[i] < low[n]:
                 low[n] = int(document[i])
             number[i] = n
-        at = np.frombuffer(member, np.int32)
-        members.append(np.stack((number[at], document[at], np.frombuffer(rows, np.int64), np.frombuffer(starts, np.int64)), axis=1))
+        at = _summed(member, np.int32)
+        members.append(np.stack((number[at], document[at], _unpacked(rows, np.int64), _unpacked(starts, np.int64)), axis=1))
     if low:
         parts = [k[0] for k in seen]
-        low, anchors, members = np.array(low, np.int64), np.array(anchors, np.uint64), np.concatenate(members)
+        low, anchors, members = np.array(low, np.int64), np.array(anchors, np.uint16), np.concatenate(members)
         sizes = np.array([len(p) for p in parts])
         later = members[:, 1] > low[members[:, 0]]
         m = members[later]
@@ -477,7 +493,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FRE
     )
     # A row is told from others of its doc_id by a hash of its text.
     given = given.withColumn("row", F.xxhash64("text"))
-    size = given.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    # Copies of a whole earlier text need no search.
+    prints = settle(given.select("document", "row", F.xxhash64(F.lit(1), F.col("text")).alias("more"), F.length("text").alias("size")), "prints")
+    firsts = prints.groupBy("row", "more", "size").agg(F.min("document").alias("first"), F.max("document").alias("last")).where("first < last")
+    copies = prints.join(firsts.drop("last"), ["row", "more", "size"]).where(f"document > first and size >= {LENGTH}").select("document", "row")
+    size = prints.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(1, size // bucket_bytes)
     often = max(frequent, 2 * size // (LENGTH - KMER + 2) // ONE_OF)
     met = given.select("document", "text").mapInArrow(lambda it: _meet(it, buckets), _MET)
@@ -485,8 +505,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FRE
     # At most ONE_OF anchors or so can be as frequent as that.
     hot = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.codes, np.uint64) for r in repeated.where("frequent").collect())]))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    codes = repeated.where("not frequent").groupBy("document").agg(F.collect_list("codes").alias("codes"))
-    pieces = given.join(codes, "document").select("document", "row", "text", "codes").mapInArrow(
+    told = repeated.where("not frequent").select("document", "codes", F.lit(None).cast("bigint").alias("copy"))
+    told = told.unionAll(copies.select("document", F.lit(None).cast("binary"), "row"))
+    told = told.groupBy("document").agg(F.collect_list("codes").alias("codes"), F.collect_set("copy").alias("copies"))
+    pieces = given.join(told, "document").select("document", "row", "text", "codes", "copies").mapInArrow(
         lambda it: _pieces(it, buckets, shared.value), _PIECES
     )
     covers = pieces.groupBy("bucket").applyInArrow(_compare, _COVERS)
