@@ -208,7 +208,7 @@ def _pieces(batches, buckets: int, often: np.ndarray):
     """Pieces of each batch by bucket. Of equal pieces the earliest document's goes on; the others
     are covered as they are."""
     for batch in batches:
-        ids, keys, texts, codes, copies = (c.to_pylist() for c in batch.columns)
+        ids, keys, texts, codes, copies = (c.to_pylist() for c in batch.columns[:5])
         whole = [(d, k, 0, len(t)) for d, k, t, c in zip(ids, keys, texts, copies) if k in c]
         texts = [b"" if k in c else t for k, t, c in zip(keys, texts, copies)]
         wanted = [np.unique(np.frombuffer(b"".join(c), np.uint64)) for c in codes]
@@ -508,7 +508,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FRE
     told = repeated.where("not frequent").select("document", "codes", F.lit(None).cast("bigint").alias("copy"))
     told = told.unionAll(copies.select("document", F.lit(None).cast("binary"), "row"))
     told = told.groupBy("document").agg(F.collect_list("codes").alias("codes"), F.collect_set("copy").alias("copies"))
-    pieces = given.join(told, "document").select("document", "row", "text", "codes", "copies").mapInArrow(
+    # With the same columns as below, so that texts are shuffled once for both.
+    pieces = given.join(told, "document").select("document", "row", "text", "codes", "copies", "unnamed").mapInArrow(
         lambda it: _pieces(it, buckets, shared.value), _PIECES
     )
     covers = pieces.groupBy("bucket").applyInArrow(_compare, _COVERS)
