@@ -1,10 +1,13 @@
+import csv
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 import voxloom as vx
 from conftest import CATALOG_ROWS
 from voxloom.functions import columns as c
-from voxloom.schemas import CATALOG_COLUMNS
+from voxloom.schemas import CATALOG_COLUMNS, CATALOG_SCHEMA
 
 HEADER = "\t".join(CATALOG_COLUMNS)
 
@@ -37,6 +40,34 @@ def test_bad_or_missing_number_is_an_error(spark, tmp_path, row):
         vx.load_catalog(spark, write(tmp_path, row)).collect()
 
 
+def test_bad_number_is_found_whatever_is_asked(spark, tmp_path):
+    path = write(tmp_path, "a\tA\ta\tGH\tabc\t1.0\t1\t0\t0", "b\tB\tb\tGH\t1\t1.0\t1\t0\t0")
+    for ask in (lambda df: df.count(), lambda df: vx.countries(df).collect()):
+        with pytest.raises(ValueError, match="clips=abc"):
+            ask(vx.load_catalog(spark, path))
+
+
+ODD_TEXT = ['Nd\'i "North" x', 'back\\slash', '"quoted"', "tab\tin it", "a\\\"b"]
+
+
+def test_quoted_text_of_other_writers(spark, tmp_path):
+    path = tmp_path / "catalog.tsv"
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        csv.writer(out, delimiter="\t").writerows([CATALOG_COLUMNS, *[[f"s{i}", t, "i", "GH", 1, 1.0, 1, 0, 0] for i, t in enumerate(ODD_TEXT)]])
+    found = {r.subset: r.language for r in vx.load_catalog(spark, str(path)).collect()}
+    assert found == {f"s{i}": t for i, t in enumerate(ODD_TEXT)}
+
+
+def test_quoted_text_is_written_for_other_readers(spark, tmp_path):
+    rows = [(f"s{i}", t, "i", "GH", 1, 1.0, 1, 0, 0) for i, t in enumerate(ODD_TEXT)]
+    vx.write_catalog(spark.createDataFrame(rows, CATALOG_SCHEMA), str(tmp_path / "out"))
+    back = {}
+    for part in glob.glob(str(tmp_path / "out" / "part-*")):
+        with open(part, newline="", encoding="utf-8") as lines:
+            back |= {r["subset"]: r["language"] for r in csv.DictReader(lines, delimiter="\t")}
+    assert back == {r[0]: r[1] for r in rows}
+
+
 def test_wrong_header_is_an_error(spark, tmp_path):
     path = tmp_path / "catalog.tsv"
     path.write_text(HEADER.replace("clips\thours", "hours\tclips") + "\na\tA\ta\tGH\t1.5\t1\t1\t0\t0\n")

@@ -37,9 +37,9 @@ def test_asking_for_too_much_is_reported(clips, catalog, tmp_path):
 
 
 def test_refusals(clips, catalog, tmp_path):
-    with pytest.raises(ValueError, match="limit"):
+    with pytest.raises(ValueError, match="cap"):
         run(clips, catalog, tmp_path, top=3)
-    with pytest.raises(ValueError, match="either"):
+    with pytest.raises(ValueError, match="top"):
         run(clips, catalog, tmp_path, per_language=3)
     with pytest.raises(ValueError, match="match"):
         run(clips, catalog, tmp_path, top=3, min_hours=1000.0, per_language=3)

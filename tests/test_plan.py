@@ -76,14 +76,17 @@ def test_brief_view(catalog):
 
 def test_shortfall(catalog):
     plan = vx.plan_samples(vx.pick_languages(catalog, "ewi_few,twi_twi"), max_seconds=36000.0)
-    row = vx.shortfall(plan, 20.0, 36000.0).first()
+    row = vx.shortfall_summary(plan, 20.0, 36000.0).first()
     assert row.short and row.limiting == 1 and row.limited_by == "Ewi" and row.planned_hours == 10.07
-    assert not vx.shortfall(plan, 10.0, 36000.0).first().short
+    assert not vx.shortfall_summary(plan, 10.0, 36000.0).first().short
 
 
 def test_shortfall_names_six_in_selection_order(catalog):
     names = ["ewi_few"] * 3 + ["cor_tie", "dun_tie", "aba_one", "bel_two"]
     plan = vx.plan_samples(vx.pick_languages(catalog, names), max_seconds=1e6)
-    row = vx.shortfall(plan, 2000.0, 1e6).first()
+    row = vx.shortfall_summary(plan, 2000.0, 1e6).first()
     assert row.limiting == 7 and row.limited_by == "Ewi, Ewi, Ewi, Coro, Duna, Abba…"
-    assert vx.shortfall(plan.where(F.lit(False)), 1.0, 1e6).first().limited_by == ""
+    assert vx.shortfall_summary(plan.where(F.lit(False)), 1.0, 1e6).first().limited_by == ""
+    every = vx.shortfall(plan, 1e6).orderBy("position").collect()
+    assert [r.language for r in every] == ["Ewi", "Ewi", "Ewi", "Coro", "Duna", "Abba", "Belo"]
+    assert all(r.planned_seconds + r.missing_seconds == 1e6 for r in every)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import voxloom as vx
-from voxloom.operators import sampling
+from voxloom.operators import numbering, sampling
 from voxloom.operators.clips import source_view
 from voxloom.sources.clips import in_split, read_clips
 
@@ -59,6 +59,39 @@ def test_cap_thins_out_before_the_shuffle(spark, stored):
     assert plan_of(vx.draw(clips, per_language=5)).count("WindowGroupLimit") == 2
 
 
+def test_caps_beyond_the_group_limit_sort_one_slot_only(spark, stored, monkeypatch):
+    monkeypatch.setattr(sampling, "SLOT_ROWS", 2)
+    clips = source_view(in_split(read_clips(spark, stored), "train"))
+    plan = plan_of(vx.draw(clips, per_language=5000))
+    assert re.search(r"HashAggregate\(keys=\[subset.*_slot.*partial_count\(1\)", plan)
+
+
+def test_filter_opens_only_the_folders_of_the_selection(spark, stored, catalog):
+    picked = vx.pick_languages(catalog, "twi_twi,aba_one")
+    (scan,) = scans(plan_of(vx.stream_filter(spark.read.parquet(stored), picked)))
+    assert "subset" in re.search(r"PartitionFilters: \[(.*?)\], ", scan)[1]
+    stream = vx.stream_filter(vx.stream_clips(spark, stored, spark.read.parquet(stored).schema), picked)
+    query = stream.writeStream.format("memory").queryName("pruned").trigger(availableNow=True).start()
+    query.awaitTermination()
+    read = query._jsq.lastProgress().sources()[0].numInputRows()
+    assert read == 20, "only the train clips of two of the four languages are read"
+
+
+def test_job_does_not_shuffle_audio_of_a_table_by_subset(spark, stored, catalog, tmp_path):
+    from voxloom.sinks import datasets
+
+    assert datasets.laid_out_by_subset(spark.read.parquet(stored))
+    mixed = spark.read.parquet(stored).repartition(20)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    assert not datasets.laid_out_by_subset(mixed)
+    config = vx.SelectionConfig(languages="twi_twi,aba_one,bel_two,cor_tie", per_language=15, min_clip_seconds=None, max_clip_seconds=None)
+    for name, clips in (("by_subset", spark.read.parquet(stored)), ("of_mixed", mixed)):
+        vx.run_selection(clips, catalog, config, str(tmp_path / name))
+        files = list((tmp_path / name / "dataset").glob("subset=*/part-*"))
+        assert 4 <= len(files) <= 12
+
+
 def test_large_languages_are_counted_by_slot_first(spark, stored, monkeypatch):
     monkeypatch.setattr(sampling, "SLOT_ROWS", 2)
     clips = source_view(in_split(read_clips(spark, stored), "train"))
@@ -83,7 +116,8 @@ def test_refresh_adds_up_before_it_joins(spark, stored, catalog):
     assert re.search(r"ReadSchema: struct<duration:double>", scan)
 
 
-def test_numbering_has_no_window_over_all_clips(spark, stored, catalog):
+def test_numbering_has_no_window_over_all_clips(spark, stored, catalog, monkeypatch):
+    monkeypatch.setattr(numbering, "NUMBERED_ROWS", 4)
     built = vx.build_dataset(read_clips(spark, stored), vx.pick_languages(catalog, "twi_twi,aba_one"), internals=True)
     plan = plan_of(vx.manifest_lines(built, "piper"))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

@@ -30,3 +30,9 @@ def test_samples_come_before_recorded_durations(spark):
     assert vx.refresh_catalog(df).first().hours == 1.51
     assert vx.refresh_catalog(df, use_samples=False).first().hours == 2.5
     assert vx.refresh_catalog(df.drop("duration")).first().hours == 0.01
+
+
+def test_long_sums_are_whole(spark):
+    rows = [("s", str(i), "train", n) for i, n in enumerate([3e9, 9.3e10, float("inf"), float("nan"), None])]
+    clips = spark.createDataFrame(rows, "subset string, id string, split string, duration double")
+    assert vx.refresh_catalog(clips).first().hours == round((3e9 + 9.3e10) / 3600, 2)

@@ -37,6 +37,7 @@ def draw_loop(rows, per_language=None, max_seconds=None, nearest=True, ordered=F
 def either_way(request, monkeypatch):
     if request.param == "by slots":
         monkeypatch.setattr(sampling, "SLOT_ROWS", 8)
+        monkeypatch.setattr(sampling, "GROUP_LIMIT", 0)
         monkeypatch.setattr(numbering, "NUMBERED_ROWS", 8)
 
 
@@ -161,3 +162,62 @@ def test_speakers_by_first_appearance(clips):
     expected = list(dict.fromkeys(label[r[0]] for r in sorted(rows, key=lambda r: place(r[1]))))
     found = sorted(vx.speaker_ids(named).collect(), key=lambda r: r.sid)
     assert [r.speaker for r in found] == expected and [r.sid for r in found] == list(range(len(expected)))
+
+
+SPLITS = ("train", "val", "test")
+
+
+@pytest.fixture(scope="module")
+def recurring(spark):
+    """Ten ids that are used in all three splits of four subsets, a second each."""
+    rows = [(s, str(i), p, 1.0) for s in ("a", "b", "c", "d") for p in SPLITS for i in range(10)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_caps_hold_where_ids_come_again_in_another_split(recurring, either_way, ordered):
+    one = recurring.where("subset = 'a'")
+    assert vx.draw(one, per_language=4, ordered_splits=ordered).count() == 4
+    assert vx.draw(one, max_seconds=4.0, ordered_splits=ordered).count() == 4
+    assert vx.draw(recurring, per_language=11, ordered_splits=ordered).count() == 44
+
+
+def test_holdout_is_exact_where_ids_come_again(recurring, either_way):
+    assert vx.holdout_split(recurring, 0.15).where("fold = 'test'").count() == 18
+    assert vx.holdout_split(recurring.where("split = 'train'"), 0.15).where("fold = 'test'").count() == 6
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_numbers_are_fixed_where_ids_come_again(recurring, either_way, ordered):
+    def numbered(df):
+        return {(r.subset, r.split, r.clip_id): r.idx for r in vx.number_clips(df, ordered_splits=ordered).collect()}
+
+    found = numbered(recurring.coalesce(1))
+    assert sorted(found.values()) == list(range(120))
+    assert found == numbered(recurring.orderBy(F.desc("subset"), "split").repartition(7, "clip_id"))
+
+
+def test_a_clip_that_comes_twice_is_an_error(spark, either_way):
+    df = spark.createDataFrame([("s", "a", "train", 1.0)] * 2, SCHEMA)
+    with pytest.raises(Exception, match="comes twice"):
+        vx.draw(df, per_language=1).collect()
+
+
+def test_negative_lengths_count_as_nothing(spark, either_way):
+    lengths = [5.0, 5.0, -20.0, 5.0, 5.0, 5.0, 5.0, 5.0]
+    order = sorted((str(i) for i in range(8)), key=place)
+    df = spark.createDataFrame([("s", i, "train", n) for i, n in zip(order, lengths)], SCHEMA)
+    assert {r.clip_id for r in vx.draw(df, max_seconds=10.0, nearest=False).collect()} == set(order[:2])
+
+
+def test_sums_beyond_64_bits(spark, either_way):
+    df = spark.createDataFrame([("s", str(i), "train", 9.3e10) for i in range(5)], SCHEMA)
+    assert vx.draw(df, max_seconds=1.9e11, nearest=False).count() == 3
+    assert max(r.cum for r in vx.sample_ranks(df).collect()) == 4.65e11
+
+
+def test_audio_is_not_sorted_along(spark):
+    df = spark.createDataFrame([("s", "a", "train", 1.0, b"")], SCHEMA + ", audio binary")
+    for number in (vx.sample_ranks, vx.number_clips):
+        with pytest.raises(ValueError, match="audio"):
+            number(df)

@@ -12,7 +12,7 @@ from voxloom.operators.refresh import refresh_catalog
 from voxloom.operators.sampling import draw, holdout_split, sample_ranks
 from voxloom.plans.dataset import build_dataset, build_subset, build_summary, build_summary_by_language
 from voxloom.plans.estimate import (
-    even_budget, plan_samples, plan_totals, plan_view, shortfall,
+    even_budget, plan_samples, plan_totals, plan_view, shortfall, shortfall_summary,
 )
 from voxloom.plans.job import SelectionConfig, SelectionResult, run_selection
 from voxloom.schemas import COUNTRY_NAMES, MANIFEST_FILES, STANDARD_COLUMNS, TRAINING_SCHEMAS

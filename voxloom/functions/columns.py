@@ -10,17 +10,23 @@ from voxloom.schemas import (
     COUNTRY_NAMES, DIGIT_PATTERN, SPLIT_ALIASES, SPLITS, STRIP_CHARACTERS,
 )
 
-# Durations are added up as whole ticks of 10 ns. Integer sums come out the same
-# whichever task finishes first, so a rerun after a lost executor cuts at the same clip.
+# Durations are added up as whole ticks of 10 ns. Such sums come out the same whichever
+# task finishes first, so a rerun after a lost executor cuts at the same clip. They are
+# decimals, as 64 bits would end at 2,900 years of audio.
 TICKS_PER_SECOND = 100_000_000
-LONGEST_CLIP_SECONDS = 1e9
+TICKS = "decimal(38,0)"
 
 
 def ticks(seconds: Column) -> Column:
-    """A duration as ticks; null and NaN count as nothing."""
-    bounded = F.least(seconds, F.lit(LONGEST_CLIP_SECONDS))
-    whole = F.round(bounded * TICKS_PER_SECOND).cast("bigint")
-    return F.when(seconds.isNull() | F.isnan(seconds), F.lit(0).cast("bigint")).otherwise(whole)
+    """A duration as ticks. What is no duration counts as nothing: null, NaN, and anything
+    of 1e18 s or more either way, infinity included."""
+    sound = F.abs(seconds) < 1e18  # neither null nor NaN is
+    return F.when(sound, F.round(seconds * TICKS_PER_SECOND).cast(TICKS)).otherwise(F.lit(0).cast(TICKS))
+
+
+def tick_limit(max_seconds: float) -> Column:
+    """A cap in seconds as ticks; what is above every sum of clips stands for no cap."""
+    return F.lit(str(round(min(max_seconds, 1e28) * TICKS_PER_SECOND))).cast(TICKS)
 
 
 def exact_sum(amounts: Column) -> Column:
@@ -52,7 +58,7 @@ def round_to(value: Column, digits: int) -> Column:
 
 
 def seconds(tick_count: Column) -> Column:
-    return tick_count / F.lit(float(TICKS_PER_SECOND))
+    return tick_count.cast("double") / F.lit(float(TICKS_PER_SECOND))
 
 
 def hours(tick_count: Column) -> Column:
@@ -127,8 +133,8 @@ def waveform_length(samples: Column, sampling_rate: Column) -> Column:
 
 
 def downmix(channels: Column) -> Column:
-    """Mean of several channels, sample by sample."""
-    silent = F.transform(channels[0], lambda _: F.lit(0.0))
+    """Mean of several channels, sample by sample; no samples for no channels."""
+    silent = F.transform(F.coalesce(F.get(channels, F.lit(0)), F.array().cast("array<double>")), lambda _: F.lit(0.0))
     total = F.aggregate(
         channels, silent,
         lambda acc, channel: F.zip_with(acc, channel, lambda a, b: a + b.cast("double")),
@@ -142,5 +148,18 @@ def sample_key(clip_id: Column, seed: int) -> Column:
 
 
 def has_samples(audio_type: T.DataType) -> bool:
-    """Whether an audio column holds decoded samples with their rate."""
-    return isinstance(audio_type, T.StructType) and {"array", "sampling_rate"} <= set(audio_type.names)
+    """Whether an audio column holds decoded samples with their rate, in one channel or several."""
+    return (
+        isinstance(audio_type, T.StructType) and {"array", "sampling_rate"} <= set(audio_type.names)
+        and isinstance(audio_type["array"].dataType, T.ArrayType)
+    )
+
+
+def has_channels(audio_type: T.DataType) -> bool:
+    """Whether the samples of an audio column are an array for each channel."""
+    return has_samples(audio_type) and isinstance(audio_type["array"].dataType.elementType, T.ArrayType)
+
+
+def one_channel(audio: Column, audio_type: T.DataType) -> Column:
+    """Decoded samples of an audio column as one channel; several are mixed down."""
+    return downmix(audio["array"]) if has_channels(audio_type) else audio["array"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.columns import has_digit, has_samples, split_name, waveform_length
+from voxloom.functions.columns import has_channels, has_digit, has_samples, one_channel, split_name, waveform_length
 from voxloom.operators.joins import attach
 from voxloom.schemas import STANDARD_COLUMNS, TRAINING_SCHEMAS
 from voxloom.sources.clips import duration_column, in_split, text_column
@@ -61,12 +61,16 @@ def id_column(clips: DataFrame) -> str:
 def source_view(clips: DataFrame, measure: bool = True) -> DataFrame:
     """Source columns under their standard names: clip_id, subset, split, audio, text, length.
 
-    clip_id must be set and unique within a subset: it fixes the random order. Without a
-    duration column clips are measured on their samples, or count as 0 if not to be
-    measured.
+    clip_id must be set and unique within a subset and split: it fixes the random order.
+    Without a duration column clips are measured on their samples, or count as 0 if not to
+    be measured. Decoded audio of several channels is mixed down to one.
     """
     if "audio" not in clips.columns:
         raise ValueError(f"clips have no 'audio' column (found {clips.columns})")
+    kind = clips.schema["audio"].dataType
+    if has_channels(kind):
+        mixed = F.struct(one_channel(F.col("audio"), kind).alias("array"), F.col("audio.sampling_rate").alias("sampling_rate"))
+        clips = clips.withColumn("audio", F.when(F.col("audio").isNotNull(), mixed))
     transcript, recorded = text_column(clips.columns), duration_column(clips.columns)
     if recorded:
         length = F.coalesce(F.col(recorded).cast("double"), F.lit(0.0))

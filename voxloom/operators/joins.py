@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only after its rows have been counted up to this limit.
-# Language rows are about a hundred bytes, so the limit stands for some 10 MB.
+# A side is broadcast only after its rows and bytes have been found to be within these limits.
 BROADCAST_ROWS = 100_000
-# Above it both sides are shuffled, with every language spread over this many tasks.
+BROADCAST_BYTES = 32 << 20
+# Above them both sides are shuffled, with every language spread over this many tasks
+# where its size is not known.
 SALTS = 64
 # Names up to this many become a literal filter, which prunes partition folders.
 LITERAL_NAMES = 256
@@ -19,12 +20,12 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
     """A small table computed once and kept as a local relation, with its number of rows.
 
     A selection that is used several times is then not derived again, and Catalyst knows
-    its exact size. A table of more than BROADCAST_ROWS rows is returned as it is, with
-    one more than that.
+    its exact size. A table beyond the limits is returned as it is, with one row more than
+    BROADCAST_ROWS.
     """
     rows = df.limit(BROADCAST_ROWS + 1).toArrow()
-    if rows.num_rows > BROADCAST_ROWS:
-        return df, rows.num_rows
+    if rows.num_rows > BROADCAST_ROWS or rows.nbytes > BROADCAST_BYTES:
+        return df, BROADCAST_ROWS + 1
     return df.sparkSession.createDataFrame(rows, schema=df.schema), rows.num_rows
 
 
@@ -34,15 +35,17 @@ def local_table(df_or_spark, columns: dict[str, list], schema) -> DataFrame:
     return spark.createDataFrame(pa.table(columns), schema=schema)
 
 
-def attach(facts: DataFrame, dim: DataFrame, on: str, dim_rows: int, spread_by: str = "clip_id") -> DataFrame:
+def attach(
+    facts: DataFrame, dim: DataFrame, on: str | list[str], dim_rows: int, spread_by: str = "clip_id", salts: int = SALTS
+) -> DataFrame:
     """Inner join of clips with a table of at most ``dim_rows`` rows.
 
     A table within the limit is broadcast. A larger one is shuffled; since one
-    language may own a third of all clips, its clips are spread over ``SALTS``
+    language may own a third of all clips, its clips are spread over ``salts``
     tasks by a hash of the clip, and the language row is repeated for each.
     """
     if dim_rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(dim), on)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_by)), F.lit(SALTS)).cast("int"))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [on, "_salt"]).drop("_salt")
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread_by)), F.lit(salts)).cast("int"))
+    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*([on] if isinstance(on, str) else on), "_salt"]).drop("_salt")

@@ -34,14 +34,12 @@ def select_top(
     max_per_country: int | None = None,
     fill: bool = False,
 ) -> DataFrame:
-    """The ``n`` strongest languages by hours, at most ``max_per_country`` of one country.
-
-    With ``proportional`` every country gives its strongest language before any gives a
-    second, and countries are visited in the order of their strongest language. A round
-    is open only to countries that took part in all rounds before it, and the selection
-    ends with the first round in which the smallest country (or the cap) has nothing to
-    add; so fewer than ``n`` languages may come back. ``fill=True`` goes on with the
-    remaining countries instead, until ``n`` are found.
+    """Up to ``n`` languages with the most hours, no more than ``max_per_country`` from a country.
+
+    ``proportional`` deals them out in rounds: languages are ordered by their rank within
+    their country first, and within a round by the hours of the country's best language. The
+    last round is the one after the smallest country (or the cap) is used up, whether or not
+    ``n`` is reached; ``fill=True`` lifts that and only stops at ``n``.
     """
     if max_per_country is not None and max_per_country < 0:
         raise ValueError("max_per_country must not be negative")

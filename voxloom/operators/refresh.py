@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.columns import has_samples, hours, split_name, ticks, waveform_seconds
+from voxloom.functions.columns import has_channels, has_samples, hours, split_name, ticks, waveform_seconds
 from voxloom.schemas import CATALOG_COLUMNS
 from voxloom.sources.clips import duration_column
 
@@ -15,9 +15,10 @@ def _clip_seconds(clips: DataFrame, use_samples: bool):
     recorded = duration_column(clips.columns)
     options = []
     if use_samples and "audio" in clips.columns and has_samples(clips.schema["audio"].dataType):
-        options.append(
-            F.when(F.col("audio.array").isNotNull(), waveform_seconds(F.col("audio.array"), F.col("audio.sampling_rate")))
-        )
+        samples = F.col("audio.array")
+        if has_channels(clips.schema["audio"].dataType):
+            samples = F.get(samples, F.lit(0))  # channels are equally long
+        options.append(F.when(samples.isNotNull(), waveform_seconds(samples, F.col("audio.sampling_rate"))))
     if recorded:
         options.append(F.col(recorded).cast("double"))
     return F.coalesce(*options, F.lit(0.0))

@@ -24,12 +24,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.functions.columns import TICKS_PER_SECOND, sample_key, seconds, split_rank, ticks
+from voxloom.functions.columns import TICKS, sample_key, seconds, split_rank, tick_limit, ticks
 from voxloom.operators.joins import attach
 
 # Clips a single task may have to sort.
 SLOT_ROWS = 1 << 20
-HELPERS = ["_rank", "_key", "_id"]
+# Caps up to this many Spark already bounds before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1_000
+HELPERS = ["_rank", "_key", "_id", "_split"]
 
 
 def check_caps(per_language: int | None, max_seconds: float | None) -> None:
@@ -40,18 +42,25 @@ def check_caps(per_language: int | None, max_seconds: float | None) -> None:
 
 
 def with_sample_order(clips: DataFrame, seed: int = 42, ordered_splits: bool = False) -> DataFrame:
-    """Add the columns the random order sorts by: _rank, _key, _id.
+    """Add the columns the random order sorts by: _rank, _key, _id, _split.
 
-    ``ordered_splits`` puts all train clips before val and those before test.
+    ``ordered_splits`` puts all train clips before val and those before test. Ids may come again
+    in another split, so the split tells such clips apart.
     """
     clip_id = F.coalesce(F.col("clip_id").cast("string"), F.lit(""))
     return clips.withColumns({
         "_rank": split_rank(F.col("split")) if ordered_splits else F.lit(0),
         "_key": sample_key(clip_id, seed),
         "_id": clip_id,
+        "_split": F.coalesce(F.col("split"), F.lit("")) if "split" in clips.columns else F.lit(""),
     })
 
 
+def refuse_audio(clips: DataFrame) -> None:
+    if "audio" in clips.columns:
+        raise ValueError("drop the audio first: every column is shuffled and sorted here")
+
+
 def group_sizes(clips: DataFrame) -> tuple[int, int]:
     """How many subsets there are and how many clips the largest has: partial counts of one column."""
     sizes = clips.groupBy("subset").count().agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
@@ -64,6 +73,19 @@ def slot_digits(clips: int, slot_rows: int) -> int:
     return max(0, math.ceil(math.log(max(clips, 1) / slot_rows, 16)))
 
 
+def ranking_digits(largest: int, per_language: int | None) -> int:
+    """Digits of the slots a draw counts first; none where clips are ranked directly.
+
+    Spark bounds a ranking before the shuffle up to GROUP_LIMIT rows. Larger caps go by slots of
+    about the cap, so that little more than the drawn clips is sorted.
+    """
+    if per_language is None:
+        return slot_digits(largest, SLOT_ROWS)
+    if per_language + 1 <= GROUP_LIMIT:
+        return 0
+    return slot_digits(largest, min(SLOT_ROWS, max(per_language, 1)))
+
+
 def slot_of(key: Column, digits: int) -> Column:
     return F.substring(key, 1, digits) if digits else F.lit("")
 
@@ -90,7 +112,7 @@ def draw_ends(
     taken_ticks) holds what earlier draws have used up.
     """
     check_caps(per_language, max_seconds)
-    tick_cap = None if max_seconds is None else round(max_seconds * TICKS_PER_SECOND)
+    tick_cap = None if max_seconds is None else tick_limit(max_seconds)
 
     def within(clips_before: Column, ticks_before: Column) -> Column:
         """Whether a clip that comes after this much still belongs to the draw."""
@@ -101,21 +123,22 @@ def draw_ends(
             fits = fits & (ticks_before < tick_cap)
         return fits
 
-    digits = slot_digits(largest, SLOT_ROWS)
-    lines = ordered.select(
-        "subset", *HELPERS, slot_of(F.col("_key"), digits).alias("_slot"), ticks(F.col("length")).alias("_ticks")
-    )
-    nothing = F.lit(0).cast("bigint")
+    digits = ranking_digits(largest, per_language)
+    # A length below 0 is no length; counted as such it would open a budget again that was used up.
+    length = F.greatest(ticks(F.col("length")), F.lit(0).cast(TICKS))
+    lines = ordered.select("subset", *HELPERS, slot_of(F.col("_key"), digits).alias("_slot"), length.alias("_ticks"))
+    nothing, no_time = F.lit(0).cast("bigint"), F.lit(0).cast(TICKS)
     if taken is None:
-        used_n, used_t = nothing, nothing
+        used_n, used_t = nothing, no_time
     else:
-        used_n, used_t = F.coalesce("taken_clips", nothing), F.coalesce("taken_ticks", nothing)
+        used_n, used_t = F.coalesce("taken_clips", nothing), F.coalesce("taken_ticks", no_time)
 
     if digits == 0:
         ranked = lines.withColumn("_row", F.row_number().over(Window.partitionBy("subset").orderBy(*HELPERS)))
         if per_language is not None:
-            # A plain bound on the row number also thins out clips before the shuffle.
-            ranked = ranked.where(F.col("_row") <= per_language)
+            # A plain bound on the row number also thins out clips before the shuffle. One more
+            # than needed shows whether the last place is taken twice.
+            ranked = ranked.where(F.col("_row") <= per_language + 1)
         if taken is not None:
             ranked = ranked.join(taken, "subset", "left")
         in_slot = ranked.withColumns({"_n0": used_n, "_t0": used_t})
@@ -127,7 +150,7 @@ def draw_ends(
         reached = slots.select(
             "subset", "_rank", "_slot",
             (F.coalesce(F.sum("_n").over(earlier), nothing) + used_n).alias("_n0"),
-            (F.coalesce(F.sum("_t").over(earlier), nothing) + used_t).alias("_t0"),
+            (F.coalesce(F.sum("_t").over(earlier), no_time) + used_t).cast(TICKS).alias("_t0"),
         )
         open_slots = reached.where(within(F.col("_n0"), F.col("_t0")))
         last_slots = open_slots.groupBy("subset").agg(F.max(F.struct("_rank", "_slot", "_n0", "_t0")).alias("_last"))
@@ -139,9 +162,12 @@ def draw_ends(
 
     by_place = Window.partitionBy("subset").orderBy(*HELPERS).rowsBetween(Window.unboundedPreceding, 0)
     counted = in_slot.withColumns({
-        "_n": F.col("_n0") + F.col("_row"), "_t": F.col("_t0") + F.sum("_ticks").over(by_place),
+        "_n": F.col("_n0") + F.col("_row"), "_t": (F.col("_t0") + F.sum("_ticks").over(by_place)).cast(TICKS),
+        "_again": F.lag(_place()).over(Window.partitionBy("subset").orderBy(*HELPERS)) == _place(),
     })
-    short = F.col("_t") - F.col("_ticks")
+    twice = F.raise_error(F.concat(F.lit("clip id comes twice in a subset and split: "), F.col("_id")))
+    counted = counted.withColumn("_n", F.when(F.col("_again"), twice.cast("bigint")).otherwise(F.col("_n")))
+    short = (F.col("_t") - F.col("_ticks")).cast(TICKS)
     kept = within(F.col("_n") - 1, short)
     if nearest and tick_cap is not None:
         # Stop one clip early where that is strictly nearer to the target.
@@ -151,7 +177,7 @@ def draw_ends(
         return counted.where(kept).groupBy("subset").agg(F.max(_place()).alias("_end"))
     # When nothing of the slot is kept the draw ends before it: any place in the slot is
     # greater than the bare slot digits, and any place in an earlier slot is smaller.
-    slot_start = F.struct("_rank", F.col("_slot").alias("_key"), F.lit("").alias("_id"))
+    slot_start = F.struct("_rank", F.col("_slot").alias("_key"), F.lit("").alias("_id"), F.lit("").alias("_split"))
     return counted.groupBy("subset").agg(F.max(F.when(kept, _place()).otherwise(slot_start)).alias("_end"))
 
 
@@ -184,15 +210,18 @@ def draw(
         ordered, languages, largest,
         per_language=per_language, max_seconds=max_seconds, nearest=nearest, taken=taken,
     )
-    return attach(ordered, ends, "subset", languages).where(_place() <= F.col("_end")).drop(*HELPERS, "_end")
+    salts = max(1, math.ceil(largest / SLOT_ROWS))
+    return attach(ordered, ends, "subset", languages, salts=salts).where(_place() <= F.col("_end")).drop(*HELPERS, "_end")
 
 
 def sample_ranks(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = False) -> DataFrame:
     """Every clip with its place in the draw order of its subset (``rn``, from 1) and the
     seconds up to and including it (``cum``).
 
-    Clips are ranked within slots, and slots are added up: no task sorts a whole language.
+    Clips are ranked within slots, and slots are added up: no task sorts a whole language. All
+    columns are sorted along, so a table with audio is refused: rank it without and join.
     """
+    refuse_audio(clips)
     _, largest = group_sizes(clips)
     ordered = with_sample_order(clips, seed, ordered_splits).withColumns({
         "_slot": slot_of(F.col("_key"), slot_digits(largest, SLOT_ROWS)), "_ticks": ticks(F.col("length")),
@@ -202,10 +231,10 @@ def sample_ranks(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fal
     starts = slots.select(
         "subset", "_rank", "_slot",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_t0"),
+        F.coalesce(F.sum("_t").over(earlier), F.lit(0).cast(TICKS)).alias("_t0"),
     )
     slot = ["subset", "_rank", "_slot"]
-    by_place = Window.partitionBy(*slot).orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    by_place = Window.partitionBy(*slot).orderBy("_key", "_id", "_split").rowsBetween(Window.unboundedPreceding, 0)
     placed = ordered.withColumns({
         "_n": F.row_number().over(by_place), "_t": F.sum("_ticks").over(by_place),
     })
@@ -224,12 +253,16 @@ def holdout_split(clips: DataFrame, test_size: float = 0.1, seed: int = 42) -> D
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be between 0 and 1")
     ordered = with_sample_order(clips, seed)
+    if "subset" in clips.columns:  # ids may come again in another subset
+        ordered = ordered.withColumn("_split", F.concat_ws("/", F.coalesce("subset", F.lit("")), "_split"))
     whole = ordered.withColumns({"subset": F.lit("all"), "length": F.lit(0.0)})
     clip_count = clips.count()
     tests = math.ceil(test_size * clip_count)
     end = draw_ends(whole, 1, clip_count, per_language=tests).first()
     if end is None:
         return clips.withColumn("fold", F.lit("train"))
-    _, key, clip_id = end["_end"]
-    in_test = F.struct("_key", "_id") <= F.struct(F.lit(key).alias("_key"), F.lit(clip_id).alias("_id"))
+    _, key, clip_id, split = end["_end"]
+    in_test = F.struct("_key", "_id", "_split") <= F.struct(
+        F.lit(key).alias("_key"), F.lit(clip_id).alias("_id"), F.lit(split).alias("_split")
+    )
     return ordered.withColumn("fold", F.when(in_test, "test").otherwise("train")).drop(*HELPERS)

@@ -10,6 +10,7 @@ from voxloom.operators.clips import (
     apply_schema, clip_window, clip_window_stream, drop_digit_text, id_column, source_view, standardise,
 )
 from voxloom.operators.joins import LITERAL_NAMES, attach, settle
+from voxloom.operators.ranking import pick_languages
 from voxloom.operators.sampling import check_caps, draw
 from voxloom.schemas import STANDARD_COLUMNS
 from voxloom.sources.clips import in_split
@@ -26,10 +27,20 @@ def of_selection(clips: DataFrame, selection: DataFrame, rows: int) -> DataFrame
     return attach(clips, subsets.distinct(), "subset", rows, id_column(clips))
 
 
+def selected(selection, catalog: DataFrame | None = None, *, strict: bool = True) -> DataFrame:
+    """A selection as a table: catalog rows as they are, or names looked up in ``catalog``."""
+    if isinstance(selection, DataFrame):
+        return selection
+    if catalog is None:
+        raise ValueError("languages given by name need a catalog to look them up in")
+    return pick_languages(catalog, selection, strict=strict)
+
+
 def build_dataset(
     clips: DataFrame,
-    selection: DataFrame,
+    selection: DataFrame | str | list[str],
     *,
+    catalog: DataFrame | None = None,
     split: str = "train",
     per_language: int | None = None,
     max_seconds: float | None = None,
@@ -38,30 +49,33 @@ def build_dataset(
     schema: str | None = None,
     seed: int = 42,
     as_stream: bool = False,
+    keep_crossing: bool = False,
     internals: bool = False,
 ) -> DataFrame:
     """Clips of all selected languages, filtered, capped per language and in one layout.
 
     ``clips`` is a source table with subset, split, clip_id or id, audio, and transcript
     and duration under any accepted name. ``selection`` has catalog columns, and
-    ``position`` where order or repeats matter: a language selected twice comes twice.
+    ``position`` where order or repeats matter: a language selected twice comes twice. It may
+    also be names of subsets, which are looked up in ``catalog``; unknown ones are an error.
 
     Filters come first, so dropped clips never count toward a cap. ``as_stream`` follows
     the rules of the capped row-by-row pull: clips of unknown length count as 0 seconds
-    and pass a window from 0, and splits are drawn one after the other.
+    and pass a window from 0, and splits are drawn one after the other. ``keep_crossing``
+    keeps the clip that crosses a budget, where stopping before it may be nearer.
 
     With ``internals`` the columns position, clip_id and split stay, which exports need.
     """
     check_caps(per_language, max_seconds)
-    selection, rows = settle(selection)
+    selection, rows = settle(selected(selection, catalog))
     if rows == 0:
-        raise ValueError("no languages selected")
+        raise ValueError("the selection is empty")
     wanted = of_selection(in_split(clips, split), selection, rows)
     window = clip_window_stream if as_stream else clip_window
     usable = drop_digit_text(window(wanted, min_clip_seconds, max_clip_seconds))
     drawn = draw(
         source_view(usable, measure=not as_stream), per_language=per_language, max_seconds=max_seconds,
-        ordered_splits=as_stream, seed=seed, unfiltered=wanted,
+        nearest=not keep_crossing, ordered_splits=as_stream, seed=seed, unfiltered=wanted,
     )
     built = standardise(drawn, selection, rows)
     if internals:

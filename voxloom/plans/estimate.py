@@ -10,7 +10,7 @@ from voxloom.operators.sampling import check_caps
 
 # Less than this share of a request counts as a shortfall.
 MET = 0.98
-# Languages a shortfall report names.
+# Languages the summary of a shortfall names.
 NAMED = 6
 
 
@@ -95,15 +95,21 @@ def even_budget_table(selection: DataFrame, total_hours: float) -> DataFrame:
     )
 
 
-def shortfall(plan: DataFrame, requested_hours: float, seconds_each: float | None) -> DataFrame:
-    """One row: hours requested and planned, whether that falls short, and which languages limit it.
+def _limiting(seconds_each: float | None):
+    return F.lit(False) if seconds_each is None else F.col("planned_seconds") < F.lit(seconds_each * MET)
 
-    ``limited_by`` names the first six in selection order, with '…' when there are more.
+
+def shortfall(plan: DataFrame, seconds_each: float | None) -> DataFrame:
+    """One row for each language that limits a plan: (position, language, planned_seconds, missing_seconds)."""
+    missing = F.lit(float(seconds_each or 0.0)) - F.col("planned_seconds")
+    return plan.where(_limiting(seconds_each)).select("position", "language", "planned_seconds", missing.alias("missing_seconds"))
+
+
+def shortfall_summary(plan: DataFrame, requested_hours: float, seconds_each: float | None) -> DataFrame:
+    """One row: hours requested and planned, whether that falls short, how many languages limit it,
+    and the first six of these as text, with '…' when there are more. ``shortfall`` has them all.
     """
-    if seconds_each is None:
-        limiting = F.lit(False)
-    else:
-        limiting = F.col("planned_seconds") < F.lit(seconds_each * MET)
+    limiting = _limiting(seconds_each)
     # The named languages are a top-k: no list ever holds more than six entries.
     first = plan.where(limiting).orderBy("position").limit(NAMED).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "language"))), lambda e: e["language"]), ", ")

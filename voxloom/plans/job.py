@@ -11,9 +11,11 @@ from voxloom.operators.clips import apply_schema
 from voxloom.operators.joins import settle
 from voxloom.operators.ranking import name_list, pick_languages, select_top
 from voxloom.plans.dataset import build_dataset, build_summary
-from voxloom.plans.estimate import even_budget, plan_samples, plan_totals, shortfall
+from voxloom.plans.estimate import even_budget, plan_samples, plan_totals, shortfall, shortfall_summary
 from voxloom.schemas import MANIFEST_FILES, STANDARD_COLUMNS
-from voxloom.sinks.datasets import read_dataset, write_dataset, write_manifest_csv, write_parquet
+from voxloom.sinks.datasets import (
+    laid_out_by_subset, read_dataset, write_dataset, write_manifest_csv, write_parquet,
+)
 from voxloom.sinks.manifests import export_manifest
 
 TABLE_FORMATS = ("disk", "parquet", "csv")
@@ -52,6 +54,7 @@ class SelectionResult:
     plan: DataFrame
     totals: DataFrame
     shortfall: DataFrame | None
+    limiting: DataFrame | None = None
     built: DataFrame | None = None
     summary: DataFrame | None = None
     written: dict[str, str] = field(default_factory=dict)
@@ -69,7 +72,7 @@ def choose_languages(catalog: DataFrame, config: SelectionConfig) -> DataFrame:
     if config.languages:
         return pick_languages(catalog, config.languages)
     if not config.top:
-        raise ValueError("set either top or languages")
+        raise ValueError("the job needs a number of languages (top) or their names (languages)")
     pool = filter_catalog(
         catalog, min_hours=config.min_hours, max_hours=config.max_hours, min_clips=config.min_clips,
         countries=config.countries.split(",") if config.countries else None, split=config.split,
@@ -80,7 +83,8 @@ def choose_languages(catalog: DataFrame, config: SelectionConfig) -> DataFrame:
 def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig, out: str) -> SelectionResult:
     """Plan a selection and, unless it is a dry run, build and write it below ``out``.
 
-    The build is written once, as a dataset with the internal columns; all other formats
+    A source with a folder for each subset is written as it is scanned, so its audio is not
+    shuffled; small samples then have small files. The build is written once, as a dataset with the internal columns; all other formats
     are made from that, so sampling and filtering run once and manifests read no audio.
     ``schema`` shapes tables, not manifests. A pull without any cap is refused unless
     ``allow_full``.
@@ -97,14 +101,15 @@ def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig,
     requested = config.total_hours or (config.max_hours_per_lang or 0.0) * languages
     result = SelectionResult(
         selection, seconds_each, plan, plan_totals(plan),
-        shortfall(plan, requested, seconds_each) if requested else None,
+        shortfall_summary(plan, requested, seconds_each) if requested else None,
+        shortfall(plan, seconds_each) if requested else None,
     )
     if config.dry_run:
         return result
 
     capped = config.per_language is not None or seconds_each is not None
     if not capped and not config.allow_full:
-        raise ValueError("no per-language limit is set; set one, or allow_full to pull everything")
+        raise ValueError("without a cap on any language this would copy the whole source; allow_full=True permits it")
     as_stream = capped if config.as_stream is None else config.as_stream
 
     spark, out = clips.sparkSession, out.rstrip("/")
@@ -115,7 +120,7 @@ def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig,
             min_clip_seconds=config.min_clip_seconds, max_clip_seconds=config.max_clip_seconds,
             seed=config.seed, as_stream=as_stream, internals=True,
         ),
-        dataset, gather=capped,
+        dataset, gather=not laid_out_by_subset(clips),
     )
     built = read_dataset(spark, dataset)
     shaped = apply_schema(built.select(*STANDARD_COLUMNS), config.schema)
@@ -135,5 +140,5 @@ def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig,
         else:
             written[name] = export_manifest(built, name, out, seed=config.seed, ordered_splits=as_stream)
     return SelectionResult(
-        selection, seconds_each, plan, result.totals, result.shortfall, built, build_summary(built), written
+        selection, seconds_each, plan, result.totals, result.shortfall, result.limiting, built, build_summary(built), written
     )

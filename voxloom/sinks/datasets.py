@@ -19,13 +19,18 @@ CSV_OPTIONS = {
 }
 
 
+def laid_out_by_subset(clips: DataFrame) -> bool:
+    """Whether a table's files lie in one folder for each subset, so that a task reads few of them."""
+    return any("/subset=" in name for name in clips.inputFiles()[:1])
+
+
 def write_dataset(clips: DataFrame, path: str, *, gather: bool = True) -> None:
     """Write clips with one folder per subset.
 
     ``gather`` collects each subset into few files, and splits large ones: a language with
-    a third of the clips is still written by many tasks. It suits samples, of which every
-    task holds a few clips. A full pull keeps the layout of its source and needs no
-    shuffle.
+    a third of the clips is still written by many tasks. Without it every task writes a file
+    for each subset it meets: that needs no shuffle, and suits clips that are scanned from a
+    table laid out by subset.
     """
     rows = clips.hint("rebalance", "subset") if gather else clips
     rows.write.partitionBy("subset").parquet(path)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.columns import language_code, one_line, speaker_label
-from voxloom.operators.joins import attach, settle
+from voxloom.operators.joins import BROADCAST_ROWS, attach, settle
 from voxloom.operators.numbering import number_clips, speaker_ids
 from voxloom.schemas import MANIFEST_FILES, SPEAKER_FILE
 
 
+LINES_PER_FILE = 1_000_000
+
+
 def check_layout(layout: str) -> str:
     if layout not in MANIFEST_FILES:
         raise ValueError(f"unknown manifest layout {layout!r}; choose from {', '.join(MANIFEST_FILES)}")
@@ -66,9 +71,11 @@ def speaker_lines(speakers: DataFrame) -> DataFrame:
     return speakers.select("sid", F.concat_ws("\t", F.col("sid").cast("string"), "speaker").alias("value"))
 
 
-def _write_in_order(lines: DataFrame, by: str, path: str) -> None:
-    # Index ranges are of even size whatever the languages are, and part files follow them.
-    lines.repartitionByRange(by).sortWithinPartitions(by).select("value").write.text(path)
+def _write_in_order(lines: DataFrame, by: str, count: int, path: str) -> None:
+    # ``by`` numbers the lines from 0, so the file of a line is known without sampling.
+    files = max(1, math.ceil(count / LINES_PER_FILE))
+    file = F.least(F.floor(F.col(by) / LINES_PER_FILE), F.lit(files - 1)).cast("int")
+    lines.repartitionById(files, file).sortWithinPartitions(by).select("value").write.text(path)
 
 
 def export_manifest(
@@ -81,9 +88,10 @@ def export_manifest(
     """
     folder = f"{path.rstrip('/')}/{check_layout(layout)}"
     order = {"seed": seed, "ordered_splits": ordered_splits}
-    speakers = settle(speaker_ids(clips, **order))[0] if layout == "vits" else None
+    speakers, count = settle(speaker_ids(clips, **order)) if layout == "vits" else (None, 0)
     lines = manifest_lines(clips, layout, speakers=speakers, **order)
-    _write_in_order(lines, "idx", f"{folder}/{MANIFEST_FILES[layout]}")
+    _write_in_order(lines, "idx", clips.count(), f"{folder}/{MANIFEST_FILES[layout]}")
     if speakers is not None:
-        _write_in_order(speaker_lines(speakers), "sid", f"{folder}/{SPEAKER_FILE}")
+        count = count if count <= BROADCAST_ROWS else speakers.count()
+        _write_in_order(speaker_lines(speakers), "sid", count, f"{folder}/{SPEAKER_FILE}")
     return folder

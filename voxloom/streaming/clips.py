@@ -10,6 +10,7 @@ through one task.
 
 from __future__ import annotations
 
+import json
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,18 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from voxloom.functions.columns import TICKS_PER_SECOND, ticks
+from voxloom.functions.columns import TICKS, tick_limit, ticks
 from voxloom.operators.clips import (
     apply_schema, clip_window_stream, drop_digit_text, source_view, standardise,
 )
 from voxloom.operators.joins import settle
 from voxloom.operators.sampling import check_caps, draw
-from voxloom.plans.dataset import of_selection
-from voxloom.schemas import STANDARD_COLUMNS
+from voxloom.plans.dataset import build_dataset, of_selection, selected
 from voxloom.sources.clips import in_split
 
 FILES_PER_BATCH = 1_000
-STATE_SCHEMA = "subset string, taken_clips bigint, taken_ticks bigint"
+STATE_SCHEMA = f"subset string, taken_clips bigint, taken_ticks {TICKS}"
 
 
 def stream_clips(
@@ -51,7 +51,8 @@ def stream_filter(
     Works on streaming and batch tables alike. Subsets without a catalog row are skipped.
     """
     selection, rows = settle(selection)
-    usable = clip_window_stream(in_split(clips, split), min_clip_seconds, max_clip_seconds)
+    wanted = of_selection(in_split(clips, split), selection, rows)
+    usable = clip_window_stream(wanted, min_clip_seconds, max_clip_seconds)
     return standardise(source_view(drop_digit_text(usable), measure=False), selection, rows)
 
 
@@ -62,13 +63,26 @@ def _state_at(spark: SparkSession, path: str, epoch: int) -> DataFrame:
     return spark.read.schema(STATE_SCHEMA).parquet(f"{path}/epoch={epoch}")
 
 
+def _same_settings(spark: SparkSession, path: str, settings: str) -> None:
+    """Store the settings of a first start; a later one must have the same."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        kept = spark.read.text(path).first()
+        if kept is not None and kept[0] != settings:
+            raise ValueError(f"{path} has other settings: {kept[0]}")
+        if kept is not None:
+            return
+    spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def stream_admit(
     spark: SparkSession,
     path: str,
     clip_schema: T.StructType,
-    selection: DataFrame,
+    selection: DataFrame | str | list[str],
     out: str,
     *,
+    catalog: DataFrame | None = None,
     split: str = "train",
     per_language: int | None = None,
     max_seconds: float | None = None,
@@ -80,7 +94,7 @@ def stream_admit(
 ) -> StreamingQuery:
     """Admit arriving clips until each language has its clip count or its seconds.
 
-    Within a micro-batch clips are taken in split order, then draw order. The clip that
+    Clips are admitted as they arrive; within a micro-batch in split order, then draw order. The clip that
     crosses a budget stays, so a language ends at most one clip over it. Results are in
     ``out``/clips. Without another ``trigger`` the query takes in all files present and
     stops; started again on the same ``out`` it goes on with new ones.
@@ -88,14 +102,21 @@ def stream_admit(
     Each micro-batch only names its files. They are read by the draw itself, which prunes
     columns and the languages that are already full. Clips and state are written under
     the number of the micro-batch and replaced when it is repeated after a failure.
+    The settings are kept beside the state: ``out`` is refused with others, as what it holds
+    was admitted under the first ones.
     """
     check_caps(per_language, max_seconds)
-    selection, rows = settle(selection)
+    selection, rows = settle(selected(selection, catalog, strict=False))
+    _same_settings(spark, f"{out}/settings", json.dumps({
+        "path": path, "split": split, "per_language": per_language, "max_seconds": max_seconds, "seed": seed,
+        "window": [min_clip_seconds, max_clip_seconds],
+        "subsets": selection.agg(F.count("*"), F.sum(F.xxhash64("subset").cast("decimal(38,0)")).cast("string")).first(),
+    }))
     repeats = selection.groupBy("subset").agg(F.count("*").alias("_repeats"))
     state_path, clips_path = f"{out}/state", f"{out}/clips"
 
     open_clips = F.lit(True) if per_language is None else F.col("taken_clips") < per_language
-    open_ticks = F.lit(True) if max_seconds is None else F.col("taken_ticks") < round(max_seconds * TICKS_PER_SECOND)
+    open_ticks = F.lit(True) if max_seconds is None else F.col("taken_ticks") < tick_limit(max_seconds)
 
     def admit(batch: DataFrame, epoch: int) -> None:
         # At most files_per_batch names, which come percent-encoded.
@@ -117,17 +138,17 @@ def stream_admit(
         # A language selected twice has its clips twice in the output but takes them once.
         added = (
             spark.read.parquet(here).groupBy("subset")
-            .agg(F.count("*").alias("_clips"), F.sum(ticks(F.col("length"))).alias("_ticks"))
+            .agg(F.count("*").alias("_clips"), F.sum(F.greatest(ticks(F.col("length")), F.lit(0).cast(TICKS))).alias("_ticks"))
             .join(repeats, "subset")
             .select(
                 "subset",
                 F.expr("_clips div _repeats").alias("taken_clips"),
-                F.expr("_ticks div _repeats").alias("taken_ticks"),
+                (F.col("_ticks") / F.col("_repeats").cast("decimal(10,0)")).cast(TICKS).alias("taken_ticks"),
             )
         )
         (
             before.unionByName(added).groupBy("subset")
-            .agg(F.sum("taken_clips").alias("taken_clips"), F.sum("taken_ticks").alias("taken_ticks"))
+            .agg(F.sum("taken_clips").alias("taken_clips"), F.sum("taken_ticks").cast(TICKS).alias("taken_ticks"))
             .write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
         )
 
@@ -143,33 +164,20 @@ def stream_dataset(
     spark: SparkSession,
     path: str,
     clip_schema: T.StructType,
-    selection: DataFrame,
-    out: str,
+    selection: DataFrame | str | list[str],
     *,
+    catalog: DataFrame | None = None,
     schema: str | None = None,
-    split: str = "train",
-    per_language: int | None = None,
-    max_seconds: float | None = None,
-    min_clip_seconds: float | None = None,
-    max_clip_seconds: float | None = None,
-    seed: int = 42,
-    files_per_batch: int = FILES_PER_BATCH,
+    **options,
 ) -> DataFrame:
-    """Take in everything that has arrived and return all clips admitted so far.
+    """What is to be had from all files present, under caps, as a lazy table; nothing is written.
 
-    Without caps this is the stateless filter; with them it is ``stream_admit``.
+    The draw takes train, then val, then test clips, and keeps the clip that crosses a budget, however
+    many files there are. ``selection`` may be names, of which unknown ones are skipped.
+    ``options`` are those of ``build_dataset``. For clips that keep arriving see ``stream_admit``.
     """
-    window = {"split": split, "min_clip_seconds": min_clip_seconds, "max_clip_seconds": max_clip_seconds}
-    if per_language is None and max_seconds is None:
-        filtered = stream_filter(stream_clips(spark, path, clip_schema, files_per_batch), selection, **window)
-        query = (
-            filtered.writeStream.format("parquet").option("path", f"{out}/clips")
-            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-        )
-    else:
-        query = stream_admit(
-            spark, path, clip_schema, selection, out, per_language=per_language, max_seconds=max_seconds,
-            seed=seed, files_per_batch=files_per_batch, **window,
-        )
-    query.awaitTermination()
-    return apply_schema(spark.read.parquet(f"{out}/clips").select(*STANDARD_COLUMNS), schema)
+    picked, rows = settle(selected(selection, catalog, strict=False))
+    clips = spark.read.schema(clip_schema).parquet(path)
+    if rows == 0:
+        return stream_filter(clips, picked).transform(apply_schema, schema)
+    return build_dataset(clips, picked, schema=schema, as_stream=True, keep_crossing=True, **options)
