@@ -10,7 +10,8 @@ from standins import NATION_CODES
 from voxloom.schemas import COUNTRY_NAMES, STRIP_CHARACTERS
 
 DIGIT = r"coalesce(regexp_matches(text, '\p{Nd}'), false)"
-KEY = "md5(concat('42:', clip_id)), clip_id"
+# The place of a clip in the draw order of its language; ids may come again in another split.
+KEY = "md5(concat('42:', clip_id)), clip_id, split, length"
 CATALOG = "subset, language, iso, country, clips, hours, train, val, test"
 STANDARD = "audio, text, language, country, length, iso, subset"
 
@@ -31,7 +32,7 @@ def lookup(column: str, names: dict[str, str]) -> str:
 
 WITH_CLIPS = """
 with clips as (
-  select cast(doc_id as varchar) as clip_id, concat(source, '_', lang) as subset, source as language, lang as iso,
+  select doc_id, cast(doc_id + case cast(floor(doc_id / 20) as bigint) % 20 when 0 then 40 when 1 then 20 else 0 end as varchar) as clip_id, concat(source, '_', lang) as subset, source as language, lang as iso,
     upper(lang) as country, text, cast(n_chars as double) / 256 as length,
     case cast(floor(doc_id / 20) as bigint) % 20 when 0 then 'val' when 1 then 'test' else 'train' end as split,
     concat('clips/', cast(doc_id as varchar), '.mp3') as audio
@@ -116,7 +117,7 @@ drawn as (select * from placed where {' and '.join(limits)})
 PLANNED = rounded("sum(cast(planned_hours as decimal(18, 2)))", 2)
 SPLIT_ORDER = f"case split when 'train' then 0 when 'val' then 1 else 2 end, {KEY}"
 PLAIN_CLIPS = f""",
-usable as (select * from clips where split = 'train' and not {DIGIT})
+usable as (select * from clips where not {DIGIT})
 """
 
 # The documents build: 12 balanced languages, clips of 1 to 30 s, at most 20 clips and 120 s.
@@ -151,9 +152,15 @@ select position, clip_id, split, {STANDARD} from drawn join (select position, su
 STRIP = " || ".join(f"chr({ord(ch)})" for ch in STRIP_CHARACTERS)
 LINE = f"trim(translate(text, chr(13) || chr(10) || chr(9), '   '), {STRIP})"
 
-# Training documents in draw order, as manifests number them.
-MANIFEST = WITH_CLIPS + f""",
-numbered as (select *, row_number() over (order by {KEY}) - 1 as idx from clips where split = 'train'),
+EVERY = """,
+chosen as (select row_number() over (order by hours desc, subset) as position, * from catalog)
+"""
+# All documents by language and then in draw order, as manifests number them.
+EXPORT = DOC_CATALOG + EVERY + """,
+exported as (select clips.*, position from clips join (select position, subset from chosen) using (subset))
+"""
+MANIFEST = EXPORT + f""",
+numbered as (select *, row_number() over (order by position, {KEY}) - 1 as idx from exported),
 lines as (select idx, language as speaker, upper(iso) as code, {LINE} as text,
   printf('%s_%06d', subset, idx) as uid from numbered),
 speakers as (select speaker, row_number() over (order by min(idx)) - 1 as sid from lines group by speaker)
@@ -163,15 +170,15 @@ PICKED = "(values (1, 'sup_7'), (2, 'sup_3'), (3, 'sup_7'), (4, 'sup_9')) as ask
 WITH_PICKED = ITEM_CATALOG + f""",
 picked as (select cast(position as bigint) as position, {CATALOG} from {PICKED} join catalog using (subset))
 """
-ITEM_POOL = balanced("catalog", 40, 3, fill=True)
-ITEM_PLAN = ITEM_CATALOG + ITEM_POOL + plan_of("chosen", 200, 1800.0, 3.0, 15.0)
+ITEM_PLAN = ITEM_CATALOG + EVERY + plan_of("chosen", 200, 1800.0, 3.0, 15.0)
 ITEM_GAPS = WITH_ITEMS + ", gaps as (select clip_id as id, subset, nullif(length, 7) as duration from clips)"
 
 ORACLES = {
     # --- catalog
     "catalog_refresh": ITEM_CATALOG + f"select {CATALOG} from catalog",
     "catalog_scan": ITEM_CATALOG + f"select {CATALOG} from catalog",
-    "catalog_roundtrip": ITEM_CATALOG + f"select {CATALOG} from catalog",
+    "catalog_roundtrip": ITEM_CATALOG + f"""select subset, concat('Nd''i "North", ', language) as language,
+  iso, country, clips, hours, train, val, test from catalog""",
     "catalog_refresh_labels": WITH_ITEMS + f""",
 counted as (select subset, count(*) as clips, {HOURS} as hours,
     count(*) filter (where split = 'train') as train, count(*) filter (where split = 'val') as val,
@@ -218,11 +225,14 @@ join catalog using (subset)""",
   planned as to_pull, planned_hours as est_hours, subset from plan""",
     "plan_totals": ITEM_PLAN + f"""select count(*) as languages, count(distinct country) as countries,
   cast(sum(planned) as bigint) as planned_clips, {PLANNED} as planned_hours from plan""",
-    "shortfall": ITEM_CATALOG + ITEM_POOL + plan_of("chosen", None, 5400.0, 3.0, 15.0) + f""",
+    "shortfall": ITEM_CATALOG + EVERY + plan_of("chosen", None, 5400.0, 3.0, 15.0) + """
+select position, language, planned_seconds, 5400.0::double - planned_seconds as missing_seconds from plan
+where planned_seconds < 5400.0 * 0.98""",
+    "shortfall_summary": ITEM_CATALOG + EVERY + plan_of("chosen", None, 5400.0, 3.0, 15.0) + f""",
 limiting as (select *, row_number() over (order by position) as place from plan where planned_seconds < 5400.0 * 0.98),
 total as (select {PLANNED} as planned_hours, (select count(*) from limiting) as limiting from plan)
-select cast(60.0 as double) as requested_hours, planned_hours, planned_hours < 60.0 * 0.98 as short, limiting,
-  case when planned_hours < 60.0 * 0.98 then concat(
+select cast(150.0 as double) as requested_hours, planned_hours, planned_hours < 150.0 * 0.98 as short, limiting,
+  case when planned_hours < 150.0 * 0.98 then concat(
     (select coalesce(string_agg(language, ', ' order by position), '') from limiting where place <= 6),
     case when limiting > 6 then '…' else '' end) else '' end as limited_by
 from total""",
@@ -244,33 +254,34 @@ where subset in ('src1_en', 'src2_fr', 'src3_de') and split = 'train'""",
     "waveform_downmix": """select vec_id, place, (cast(a as double) + cast(b as double)) / 2 as sample from (
   select vec_id, unnest(range(len(embedding))) as place, unnest(embedding) as a,
     unnest(list_reverse(embedding)) as b from embeddings)""",
-    "oneline_text": WITH_CLIPS + f"select cast(clip_id as bigint) as doc_id, {LINE} as line from clips",
+    "oneline_text": WITH_CLIPS + f"select doc_id, {LINE} as line from clips",
     "speaker_label": """select doc_id, coalesce(nullif(case when source like 'src1%' then '' else source end, ''),
   nullif(case when lang <> 'de' then lang end, ''), 'spk') as speaker from documents""",
-    "schema_asr": DOC_BUILT + "select audio, text from built",
-    "schema_whisper": DOC_BUILT + "select audio, text as sentence from built",
-    "schema_common_voice": DOC_BUILT + "select audio, text as sentence, language, country, length from built",
+    "schema_asr": WITH_CLIPS + PLAIN_CLIPS + "select audio, text from usable",
+    "schema_whisper": WITH_CLIPS + PLAIN_CLIPS + "select audio, text as sentence from usable",
+    "schema_common_voice": WITH_CLIPS + PLAIN_CLIPS + "select audio, text as sentence, language, country, length from usable",
     # --- draws
     "sample_order": WITH_CLIPS + PLAIN_CLIPS + f"""
-select clip_id, subset, row_number() over w as rn, sum(length) over (w rows unbounded preceding) as cum
+select clip_id, subset, split, row_number() over w as rn, sum(length) over (w rows unbounded preceding) as cum
 from usable window w as (partition by subset order by {KEY})""",
-    "clip_cap": WITH_CLIPS + PLAIN_CLIPS + drawn_from("usable", cap=5) + "select clip_id, subset, length from drawn",
+    "clip_cap": WITH_CLIPS + PLAIN_CLIPS + drawn_from("usable", cap=5) + "select clip_id, subset, split, length from drawn",
     "duration_budget": WITH_ITEMS + drawn_from("clips", budget=600) + "select clip_id, subset, length from drawn",
     "duration_budget_stream": WITH_ITEMS + drawn_from("clips", budget=600, nearest=False) + "select clip_id, subset, length from drawn",
     "cap_and_budget": WITH_CLIPS + PLAIN_CLIPS + ", windowed as (select * from usable where length between 1 and 15)"
-    + drawn_from("windowed", cap=8, budget=30) + "select clip_id, subset, length from drawn",
+    + drawn_from("windowed", cap=8, budget=30) + "select clip_id, subset, split, length from drawn",
     "ordered_split_draw": WITH_ITEMS + drawn_from("clips", order=SPLIT_ORDER, cap=260, budget=6000, nearest=False)
     + "select clip_id, subset, split, length from drawn",
     "holdout_split": WITH_CLIPS + f"""
-select clip_id, case when row_number() over (order by {KEY}) <= ceil(0.1 * (select count(*) from clips))
+select clip_id, subset, split, case when row_number() over (
+    order by md5(concat('42:', clip_id)), clip_id, concat(subset, '/', split), length) <= ceil(0.1 * (select count(*) from clips))
   then 'test' else 'train' end as fold from clips""",
     # --- builds
     "build_subset": WITH_ITEMS + ", windowed as (select * from clips where length between 3 and 45)"
     + drawn_from("windowed", cap=40, budget=600) + f"select clip_id, split, {STANDARD} from drawn",
     "build_dataset": DOC_BUILT + "select * from built",
-    "build_summary": DOC_BUILT + """select subset, language, count(*) as clips, sum(length) as seconds from built
+    "build_summary": WITH_CLIPS + PLAIN_CLIPS + """select subset, language, count(*) as clips, sum(length) as seconds from usable
 group by subset, language""",
-    "clip_uid": ITEM_CATALOG + ", pool as (select * from catalog where train >= 0)" + balanced("pool", 10, 2) + f"""
+    "clip_uid": ITEM_CATALOG + EVERY + f"""
 select clip_id, position, idx, printf('%s_%06d', subset, idx) as uid from (
   select clip_id, position, subset, row_number() over (order by position, {KEY}) - 1 as idx
   from clips join (select position, subset from chosen) using (subset))""",
@@ -282,14 +293,13 @@ select clip_id, position, idx, printf('%s_%06d', subset, idx) as uid from (
 from lines join speakers using (speaker)""",
     "manifest_melo": MANIFEST + "select concat('wavs/', uid, '.wav|', speaker, '|', code, '|', text) as line from lines",
     "speakers_vits": MANIFEST + "select concat(cast(sid as varchar), chr(9), speaker) as line from speakers",
-    "manifest_csv": WITH_CLIPS + """select clip_id, split, text, language, country, length, iso, subset from clips
-where split = 'train'""",
-    "parquet_roundtrip": WITH_CLIPS + f"select clip_id, split, {STANDARD} from clips where split = 'train'",
-    "dataset_roundtrip": WITH_CLIPS + f"select clip_id, split, {STANDARD} from clips where split = 'train'",
+    "manifest_csv": EXPORT + "select position, clip_id, split, text, language, country, length, iso, subset from exported",
+    "parquet_roundtrip": EXPORT + f"select position, clip_id, split, {STANDARD} from exported",
+    "dataset_roundtrip": EXPORT + f"select position, clip_id, split, {STANDARD} from exported",
     "selection_job": DOC_JOB,
-    # --- streams, each taken in as one micro-batch
-    "stream_filter": doc_pool() + f"select {STANDARD} from usable",
+    # --- streams
+    "stream_filter": doc_pool() + f"select position, clip_id, split, {STANDARD} from usable join (select position, subset from chosen) using (subset)",
     "stream_admit": doc_pool(None) + drawn_from("usable", order=SPLIT_ORDER, cap=20, budget=120, nearest=False) + STREAM_BUILT,
-    "stream_dataset": doc_pool() + drawn_from("usable", order=SPLIT_ORDER, budget=120, nearest=False)
+    "stream_dataset": doc_pool(None) + drawn_from("usable", order=SPLIT_ORDER, budget=120, nearest=False)
     + "select audio, text as sentence, language, country, length from drawn",
 }

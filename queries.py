@@ -34,7 +34,7 @@ def path_of_audio(clips: DataFrame) -> DataFrame:
     return clips.withColumn("audio", F.col("audio.path"))
 
 
-def doc_view(spark, sf, split="train", usable=True) -> DataFrame:
+def doc_view(spark, sf, split="all", usable=True) -> DataFrame:
     clips = in_split(st.doc_clips(spark, sf), split)
     return source_view(vx.drop_digit_text(clips) if usable else clips)
 
@@ -47,6 +47,16 @@ def doc_built(spark, sf, **options) -> DataFrame:
     return vx.build_dataset(st.doc_clips(spark, sf), doc_selection(spark, sf), **{**BUILD, **options})
 
 
+def every_language(catalog: DataFrame) -> DataFrame:
+    """The whole catalog as a selection, strongest languages first."""
+    return vx.select_top(catalog, 1_000_000, proportional=False)
+
+
+def doc_whole(spark, sf, **options) -> DataFrame:
+    """All languages and splits, without caps."""
+    return vx.build_dataset(st.doc_clips(spark, sf), every_language(st.doc_catalog(spark, sf)), split="all", **options)
+
+
 # --- catalog ---------------------------------------------------------------
 
 @query("catalog_refresh")
@@ -73,9 +83,12 @@ def _(spark, sf):
     return vx.load_catalog(spark, path)
 
 
+ODD_PREFIX = 'Nd\'i "North", '
+
+
 @query("catalog_roundtrip")
 def _(spark, sf):
-    return st.stored_item_catalog(spark, sf)
+    return st.stored_item_catalog(spark, sf, prefix=ODD_PREFIX)
 
 
 @query("split_size")
@@ -179,8 +192,7 @@ def _(spark, sf):
 # --- planning --------------------------------------------------------------
 
 def item_plan(spark, sf, **options) -> DataFrame:
-    selection = vx.select_top(st.item_catalog(spark, sf), 40, max_per_country=3, fill=True)
-    return vx.plan_samples(selection, **{**PLAN, **options})
+    return vx.plan_samples(every_language(st.item_catalog(spark, sf)), **{**PLAN, **options})
 
 
 @query("plan_samples")
@@ -200,7 +212,12 @@ def _(spark, sf):
 
 @query("shortfall")
 def _(spark, sf):
-    return vx.shortfall(item_plan(spark, sf, per_language=None, max_seconds=5400.0), 60.0, 5400.0)
+    return vx.shortfall(item_plan(spark, sf, per_language=None, max_seconds=5400.0), 5400.0)
+
+
+@query("shortfall_summary")
+def _(spark, sf):
+    return vx.shortfall_summary(item_plan(spark, sf, per_language=None, max_seconds=5400.0), 150.0, 5400.0)
 
 
 @query("even_budget")
@@ -272,8 +289,9 @@ def _(spark, sf):
 
 @query("waveform_downmix")
 def _(spark, sf):
-    two = F.array("embedding", F.reverse("embedding"))
-    mono = st.table(spark, sf, "embeddings").select("vec_id", c.downmix(two).alias("mono"))
+    two = F.struct(F.array("audio.array", F.reverse("audio.array")).alias("array"), F.col("audio.sampling_rate").alias("sampling_rate"))
+    view = source_view(st.waveforms(spark, sf).withColumn("audio", two))
+    mono = view.select(F.col("clip_id").cast("bigint").alias("vec_id"), F.col("audio.array").alias("mono"))
     return mono.select("vec_id", F.posexplode("mono").alias("place", "sample")).select(
         "vec_id", F.col("place").cast("bigint").alias("place"), "sample"
     )
@@ -294,29 +312,29 @@ def _(spark, sf):
 
 @query("schema_asr")
 def _(spark, sf):
-    return path_of_audio(doc_built(spark, sf, schema="asr"))
+    return path_of_audio(doc_whole(spark, sf, schema="asr"))
 
 
 @query("schema_whisper")
 def _(spark, sf):
-    return path_of_audio(doc_built(spark, sf, schema="whisper"))
+    return path_of_audio(doc_whole(spark, sf, schema="whisper"))
 
 
 @query("schema_common_voice")
 def _(spark, sf):
-    return path_of_audio(doc_built(spark, sf, schema="common_voice"))
+    return path_of_audio(doc_whole(spark, sf, schema="common_voice"))
 
 
 # --- draws -----------------------------------------------------------------
 
 @query("sample_order")
 def _(spark, sf):
-    return vx.sample_ranks(doc_view(spark, sf)).select("clip_id", "subset", "rn", "cum")
+    return vx.sample_ranks(doc_view(spark, sf).drop("audio")).select("clip_id", "subset", "split", "rn", "cum")
 
 
 @query("clip_cap")
 def _(spark, sf):
-    return vx.draw(doc_view(spark, sf), per_language=5).select("clip_id", "subset", "length")
+    return vx.draw(doc_view(spark, sf), per_language=5).select("clip_id", "subset", "split", "length")
 
 
 @query("duration_budget")
@@ -333,8 +351,8 @@ def _(spark, sf):
 
 @query("cap_and_budget")
 def _(spark, sf):
-    clips = source_view(vx.drop_digit_text(vx.clip_window(in_split(st.doc_clips(spark, sf), "train"), 1.0, 15.0)))
-    return vx.draw(clips, per_language=8, max_seconds=30.0).select("clip_id", "subset", "length")
+    clips = source_view(vx.drop_digit_text(vx.clip_window(st.doc_clips(spark, sf), 1.0, 15.0)))
+    return vx.draw(clips, per_language=8, max_seconds=30.0).select("clip_id", "subset", "split", "length")
 
 
 @query("ordered_split_draw")
@@ -346,7 +364,7 @@ def _(spark, sf):
 
 @query("holdout_split")
 def _(spark, sf):
-    return vx.holdout_split(doc_view(spark, sf, "all", usable=False), 0.1).select("clip_id", "fold")
+    return vx.holdout_split(doc_view(spark, sf, usable=False), 0.1).select("clip_id", "subset", "split", "fold")
 
 
 # --- builds ----------------------------------------------------------------
@@ -354,7 +372,7 @@ def _(spark, sf):
 @query("build_subset")
 def _(spark, sf):
     built = vx.build_dataset(
-        st.item_clips(spark, sf), st.stored_item_catalog(spark, sf), split="all",
+        st.item_clips(spark, sf), st.item_catalog(spark, sf), split="all",
         per_language=40, max_seconds=600.0, min_clip_seconds=3.0, max_clip_seconds=45.0, internals=True,
     )
     return path_of_audio(built)
@@ -367,12 +385,12 @@ def _(spark, sf):
 
 @query("build_summary")
 def _(spark, sf):
-    return vx.build_summary_by_language(doc_built(spark, sf))
+    return vx.build_summary_by_language(doc_whole(spark, sf))
 
 
 @query("clip_uid")
 def _(spark, sf):
-    selection = vx.select_top(st.stored_item_catalog(spark, sf), 10, max_per_country=2)
+    selection = every_language(st.item_catalog(spark, sf))
     built = vx.build_dataset(st.item_clips(spark, sf), selection, split="all", internals=True)
     uid = F.format_string("%s_%06d", "subset", "idx").alias("uid")
     return number_clips(built.drop("audio")).select("clip_id", "position", "idx", uid)
@@ -386,9 +404,9 @@ def _(spark, sf):
 # --- sinks -----------------------------------------------------------------
 
 def doc_export(spark, sf) -> DataFrame:
-    """All training documents in the standard layout, as an uncapped export has them."""
-    catalog, rows = settle(st.doc_catalog(spark, sf))
-    return vx.standardise(in_split(st.doc_clips(spark, sf), "train"), catalog, rows)
+    """All documents in the standard layout, as an uncapped export has them."""
+    catalog, rows = settle(every_language(st.doc_catalog(spark, sf)))
+    return vx.standardise(in_split(st.doc_clips(spark, sf), "all"), catalog, rows)
 
 
 def manifest_query(layout: str, file: str):
@@ -441,7 +459,7 @@ def arriving(spark, sf) -> tuple:
     """Documents written out as clip files, to be read as a stream."""
     path = scratch_path(spark, "arriving")
     clips = st.doc_clips(spark, sf)
-    clips.write.parquet(path)
+    clips.repartition(16, "id").write.parquet(path)
     return path, clips.schema, doc_selection(spark, sf)
 
 
@@ -450,8 +468,14 @@ STREAM = {"min_clip_seconds": 1.0, "max_clip_seconds": 30.0}
 
 @query("stream_filter")
 def _(spark, sf):
+    # Several micro-batches: a filter does not depend on how files arrive.
     path, schema, selection = arriving(spark, sf)
-    return path_of_audio(vx.stream_dataset(spark, path, schema, selection, scratch_path(spark, "filtered"), **STREAM))
+    out = scratch_path(spark, "filtered")
+    filtered = vx.stream_filter(vx.stream_clips(spark, path, schema, files_per_batch=3), selection, **STREAM)
+    filtered.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", scratch_path(spark, "progress")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return path_of_audio(spark.read.schema(filtered.schema).parquet(out))
 
 
 @query("stream_admit")
@@ -467,8 +491,5 @@ def _(spark, sf):
 @query("stream_dataset")
 def _(spark, sf):
     path, schema, selection = arriving(spark, sf)
-    built = vx.stream_dataset(
-        spark, path, schema, selection, scratch_path(spark, "built"),
-        schema="common_voice", max_seconds=120.0, **STREAM,
-    )
+    built = vx.stream_dataset(spark, path, schema, selection, schema="common_voice", split="all", max_seconds=120.0, **STREAM)
     return path_of_audio(built)

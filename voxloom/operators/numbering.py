@@ -21,7 +21,7 @@ def _export_order(clips: DataFrame, seed: int, ordered_splits: bool) -> tuple[Da
     The last list orders clips of a group: ids may come again in another split or subset.
     """
     groups = (["position"] if "position" in clips.columns else []) + (["_rank"] if ordered_splits else [])
-    ties = ["_key", "_id", "_split", *[c for c in ("subset", "_prefix") if c in clips.columns]]
+    ties = ["_key", "_id", "_split", "_length", *[c for c in ("subset", "_prefix") if c in clips.columns]]
     return with_sample_order(clips, seed, ordered_splits), groups, ties
 
 

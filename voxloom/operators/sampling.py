@@ -31,7 +31,7 @@ from voxloom.operators.joins import attach
 SLOT_ROWS = 1 << 20
 # Caps up to this many Spark already bounds before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1_000
-HELPERS = ["_rank", "_key", "_id", "_split"]
+HELPERS = ["_rank", "_key", "_id", "_split", "_length"]
 
 
 def check_caps(per_language: int | None, max_seconds: float | None) -> None:
@@ -42,10 +42,10 @@ def check_caps(per_language: int | None, max_seconds: float | None) -> None:
 
 
 def with_sample_order(clips: DataFrame, seed: int = 42, ordered_splits: bool = False) -> DataFrame:
-    """Add the columns the random order sorts by: _rank, _key, _id, _split.
+    """Add the columns the random order sorts by: _rank, _key, _id, _split, _length.
 
     ``ordered_splits`` puts all train clips before val and those before test. Ids may come again
-    in another split, so the split tells such clips apart.
+    in another split, so the split tells such clips apart, and the length where that is the same.
     """
     clip_id = F.coalesce(F.col("clip_id").cast("string"), F.lit(""))
     return clips.withColumns({
@@ -53,6 +53,7 @@ def with_sample_order(clips: DataFrame, seed: int = 42, ordered_splits: bool = F
         "_key": sample_key(clip_id, seed),
         "_id": clip_id,
         "_split": F.coalesce(F.col("split"), F.lit("")) if "split" in clips.columns else F.lit(""),
+        "_length": F.coalesce(F.col("length").cast("double"), F.lit(0.0)) if "length" in clips.columns else F.lit(0.0),
     })
 
 
@@ -165,7 +166,7 @@ def draw_ends(
         "_n": F.col("_n0") + F.col("_row"), "_t": (F.col("_t0") + F.sum("_ticks").over(by_place)).cast(TICKS),
         "_again": F.lag(_place()).over(Window.partitionBy("subset").orderBy(*HELPERS)) == _place(),
     })
-    twice = F.raise_error(F.concat(F.lit("clip id comes twice in a subset and split: "), F.col("_id")))
+    twice = F.raise_error(F.concat(F.lit("clip comes twice in a subset and split: "), F.col("_id")))
     counted = counted.withColumn("_n", F.when(F.col("_again"), twice.cast("bigint")).otherwise(F.col("_n")))
     short = (F.col("_t") - F.col("_ticks")).cast(TICKS)
     kept = within(F.col("_n") - 1, short)
@@ -177,7 +178,7 @@ def draw_ends(
         return counted.where(kept).groupBy("subset").agg(F.max(_place()).alias("_end"))
     # When nothing of the slot is kept the draw ends before it: any place in the slot is
     # greater than the bare slot digits, and any place in an earlier slot is smaller.
-    slot_start = F.struct("_rank", F.col("_slot").alias("_key"), F.lit("").alias("_id"), F.lit("").alias("_split"))
+    slot_start = F.struct("_rank", F.col("_slot").alias("_key"), F.lit("").alias("_id"), F.lit("").alias("_split"), F.lit(float("-inf")).alias("_length"))
     return counted.groupBy("subset").agg(F.max(F.when(kept, _place()).otherwise(slot_start)).alias("_end"))
 
 
@@ -234,7 +235,7 @@ def sample_ranks(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fal
         F.coalesce(F.sum("_t").over(earlier), F.lit(0).cast(TICKS)).alias("_t0"),
     )
     slot = ["subset", "_rank", "_slot"]
-    by_place = Window.partitionBy(*slot).orderBy("_key", "_id", "_split").rowsBetween(Window.unboundedPreceding, 0)
+    by_place = Window.partitionBy(*slot).orderBy("_key", "_id", "_split", "_length").rowsBetween(Window.unboundedPreceding, 0)
     placed = ordered.withColumns({
         "_n": F.row_number().over(by_place), "_t": F.sum("_ticks").over(by_place),
     })
@@ -255,14 +256,12 @@ def holdout_split(clips: DataFrame, test_size: float = 0.1, seed: int = 42) -> D
     ordered = with_sample_order(clips, seed)
     if "subset" in clips.columns:  # ids may come again in another subset
         ordered = ordered.withColumn("_split", F.concat_ws("/", F.coalesce("subset", F.lit("")), "_split"))
-    whole = ordered.withColumns({"subset": F.lit("all"), "length": F.lit(0.0)})
+    whole = ordered.withColumns({"subset": F.lit("all"), "length": F.lit(0.0)})  # its own length stays in its place
     clip_count = clips.count()
     tests = math.ceil(test_size * clip_count)
     end = draw_ends(whole, 1, clip_count, per_language=tests).first()
     if end is None:
         return clips.withColumn("fold", F.lit("train"))
-    _, key, clip_id, split = end["_end"]
-    in_test = F.struct("_key", "_id", "_split") <= F.struct(
-        F.lit(key).alias("_key"), F.lit(clip_id).alias("_id"), F.lit(split).alias("_split")
-    )
+    place = ["_key", "_id", "_split", "_length"]
+    in_test = F.struct(*place) <= F.struct(*[F.lit(end["_end"][c]).alias(c) for c in place])
     return ordered.withColumn("fold", F.when(in_test, "test").otherwise("train")).drop(*HELPERS)
