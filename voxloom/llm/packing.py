@@ -23,7 +23,7 @@ from voxloom.llm.common import settle, text_of
 # Pieces packed by one task at once.
 SHARD_PIECES = 40_000
 # Words of which a worker remembers the ids.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 # Texts of these characters are split and lower-cased here as the tokenizer does it; words are then
 # looked up. Others go through the tokenizer as a whole.
