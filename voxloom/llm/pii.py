@@ -295,12 +295,7 @@ def redact(docs: DataFrame, model: SpanModel | None = None, column: str = "text"
     """``docs`` with tags in place of all spans in ``column``; null stays null."""
     model = model or train(docs)
 
-    def run(batches):
-        for batch in batches:
-            i = batch.schema.get_field_index(column)
-            texts = [t if t is None else redacted(t, spans_of(t, model)[1]) for t in batch.column(i).to_pylist()]
-            columns = list(batch.columns)
-            columns[i] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    def run(texts):
+        return pa.array([t if t is None else redacted(t, spans_of(t, model)[1]) for t in texts.to_pylist()], pa.string())
 
-    return docs.withColumn(column, F.col(column).cast("string")).mapInArrow(run, docs.withColumn(column, F.col(column).cast("string")).schema)
+    return docs.withColumn(column, F.arrow_udf(run, "string")(F.col(column).cast("string")))

@@ -34,7 +34,7 @@ from voxloom.llm.common import settle, text_bytes
 LENGTH = 50
 KMER = 16
 # Windows in a piece at most, bytes looked at or sorted at once, and text for each bucket.
-RUN, CHUNK, SORTED, BUCKET = 64, 1 << 20, 1 << 22, 12 << 20
+RUN, CHUNK, SORTED, BUCKET = 64, 1 << 20, 1 << 21, 12 << 20
 # An anchor is frequent from so many pieces on, or from one of so many anchors of the corpus if that is more.
 FREQUENT, ONE_OF = 20_000, 1_000_000
 
