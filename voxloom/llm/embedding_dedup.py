@@ -105,7 +105,6 @@ def fit(sample: np.ndarray, codewords: int, least: float, recall: float, seed: i
 
 
 def _matrix(column, width: int | None = None) -> np.ndarray:
-    values = column.values if hasattr(column, "values") else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, width or 1))
 
@@ -124,7 +123,7 @@ def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = 0.95, recall: float = 0.998, fit_rows: int = FIT_ROWS, tile: int = TILE,
+    vectors: DataFrame, least: float = 0.95, recall: float = 0.98, fit_rows: int = FIT_ROWS, tile: int = TILE,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
@@ -176,6 +175,7 @@ def near_duplicates(
     own = lambda n: F.pmod("node", F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["at", "i", "j", "side", "node", "n", "v", "cell", "visits"]
+    asking = asking.withColumn("visits", F.lit(None).cast("array<int>"))
     left = asking.join(counts, "at").withColumn("side", F.lit(0)).withColumn("i", own("asking")).withColumn("j", every("inside"))
     right = inside.join(counts, "at").withColumn("side", F.lit(1)).withColumn("j", own("inside")).withColumn("i", every("asking"))
     met = left.select(columns).unionAll(right.select(columns))

@@ -102,7 +102,7 @@ class Mix:
     """A solved mix. ``taken``: (doc_id, members, size, copies, taken_for), one row per document, with a
     source for each copy in taken_for. ``tokens`` and ``wanted``: what each source has and should
     give. ``ends``: for each set of sources, how many whole laps over its documents are taken and
-    the place of the last document of the lap that is not whole."""
+    the place of the last document of the lap that is not whole, with the copies taken there."""
 
     taken: DataFrame
     tokens: dict
@@ -114,11 +114,13 @@ def _members(members: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
 
 
-def _place(size: Column, seed: int) -> Column:
-    """Where a document stands in the seeded order of its set of sources."""
+def _place(docs: DataFrame, size: Column, seed: int) -> Column:
+    """Where a document stands in the seeded order of its set of sources. Only rows that are equal
+    in all columns have one place."""
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 1)
     doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    return F.struct(key.alias("key"), doc_id.alias("id"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))
+    more = F.xxhash64(*docs.columns)
+    return F.struct(key.alias("key"), doc_id.alias("id"), more.alias("more"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))
 
 
 def mix(
@@ -137,9 +139,9 @@ def mix(
     """
     spark = docs.sparkSession
     narrow = settle(docs.select(
-        F.col("doc_id").cast("bigint"), _members(members).alias("members"), _place(size, seed).alias("place")
-    ), "sizes").withColumn("size", F.col("place.size"))
-    found = narrow.groupBy("members").agg(F.sum("size").alias("tokens"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
+        F.col("doc_id").cast("bigint"), _members(members).alias("members"), _place(docs, size, seed).alias("place")
+    ).groupBy("members", "place", "doc_id").agg(F.count("*").alias("n")), "sizes").withColumn("size", F.col("place.size"))
+    found = narrow.groupBy("members").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sets of sources")
     capacity = {tuple(r.members): r.tokens for r in found}
@@ -162,20 +164,26 @@ def mix(
 
     # As many slots as a slot has rows: neither window grows faster than the root of the documents.
     bits = math.ceil(math.log2(max([1, *(r.n for r in found)])) / 2)
-    slotted = narrow.withColumn("slot", F.shiftright("place.key", 63 - bits))
+    slotted = narrow.withColumn("slot", F.shiftright("place.key", 63 - bits)).withColumn("tokens", F.col("size") * F.col("n"))
     within = Window.partitionBy("members", "slot").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    of_slot = slotted.groupBy("members", "slot").agg(F.sum("size").alias("tokens"))
+    of_slot = slotted.groupBy("members", "slot").agg(F.sum("tokens").alias("tokens"))
     earlier = Window.partitionBy("members").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     of_slot = of_slot.select("members", "slot", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("slot_at"))
-    placed = slotted.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0))).join(of_slot, ["members", "slot"]).join(F.broadcast(plan), "members")
-    middle = lambda lap: 2 * (lap * F.col("total") + F.col("slot_at") + F.col("at")) + F.col("size")
-    laps = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda lap: middle(lap) < 2 * F.col("flow"))
+    placed = slotted.withColumn("at", F.coalesce(F.sum("tokens").over(within), F.lit(0))).join(of_slot, ["members", "slot"]).join(F.broadcast(plan), "members")
+    # Equal rows are one row with a number up to here.
+    placed = placed.withColumn("one", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    start = F.col("slot_at") + F.col("at") + F.col("one") * F.col("size")
+    # Twice the middle of a document's tokens; one without tokens belongs to what is before it.
+    middle = lambda lap: 2 * (lap * F.col("total") + F.col("start")) + F.when(F.col("size") > 0, F.col("size")).otherwise(-1)
+    laps = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda lap: (middle(lap) < 2 * F.col("flow")) & (F.col("flow") > 0))
     source_of = lambda lap: F.filter("shares", lambda e: middle(lap) < 2 * e["at"])[0]["source"]
-    placed = placed.withColumn("laps", laps).withColumn("copies", F.size("laps"))
+    placed = placed.withColumn("start", start).withColumn("laps", laps).withColumn("copies", F.size("laps"))
     taken = placed.select("doc_id", "members", "size", "copies", F.transform("laps", source_of).alias("taken_for"))
-    # Copies never rise along the order, so where they fall below the first document's is the end.
-    ends = placed.groupBy("members").agg(F.min("copies").alias("whole"), F.max("copies").alias("most"), F.max(
-        F.when(F.col("copies") > F.floor(F.col("flow") / F.greatest("total", F.lit(1))), F.col("place"))
+    # Copies never rise along the order. The end is the last place with more copies than whole laps give.
+    whole = F.least(F.floor(F.col("flow") / F.greatest("total", F.lit(1))), F.lit(repeats))
+    places = placed.groupBy("members", "place").agg(F.sum("copies").alias("copies"), F.max("copies").alias("most"), F.first(whole).alias("whole"))
+    ends = places.groupBy("members").agg(F.max("whole").cast("int").alias("whole"), F.max("most").alias("most"), F.max(
+        F.when(F.col("most") > F.col("whole"), F.struct("place", "copies"))
     ).alias("end"))
     return Mix(taken, tokens, wanted, ends)
 
@@ -183,10 +191,16 @@ def mix(
 def apply_mix(docs: DataFrame, members: Column, size: Column, ends: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` as often as a mix takes them. ``ends`` has a row for each set of sources
     (at most MAX_PATTERNS); texts are filtered where they are read and not shuffled."""
-    held = docs.withColumns({"_members": _members(members), "_place": _place(size, seed)})
-    ends = ends.select(F.col("members").alias("_members"), F.col("whole").alias("_whole"), F.col("most").alias("_most"), F.col("end").alias("_end"))
-    copies = F.when(F.col("_end").isNotNull() & (F.col("_place") <= F.col("_end")), F.col("_most")).otherwise(F.col("_whole"))
-    return held.join(F.broadcast(ends), "_members").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    held = docs.select(
+        F.struct(*docs.columns).alias("row"), _members(members).alias("members"), _place(docs, size, seed).alias("place")
+    ).join(F.broadcast(ends), "members")
+    copies = F.when(F.col("place") < F.col("end.place"), F.col("most")).otherwise(F.col("whole"))
+    at_end = F.coalesce(F.col("place") == F.col("end.place"), F.lit(False))
+    plain = held.where(~at_end).withColumn("copies", copies)
+    # Equal rows at the end of a lap: of one for each set of sources, so many as the mix takes of them all.
+    last = held.where(at_end).groupBy("members").agg(F.first("row").alias("row"), F.first("end.copies").cast("int").alias("copies"))
+    rows = plain.select("row", "copies").unionAll(last.select("row", "copies"))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_by_source(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 42) -> Mix:
