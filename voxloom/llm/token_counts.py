@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import text_of
+from voxloom.llm.common import settle, text_of
 
 # Lengths that are added up in one task; their sums are then added up in turn.
 SPAN = 1024
@@ -49,7 +49,8 @@ def length_histogram(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
-    """One row for each length, taken as a context limit.
+    """One row for each length, taken as a context limit. ``histogram`` is used several times, so it
+    should be a stored table.
 
     n_docs have this length; docs_longer and tokens_longer are those of greater length;
     truncated_tokens is the total when every document is cut at the limit, total_tokens without a
@@ -62,23 +63,24 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
         "span", *[F.coalesce(F.sum(c).over(after), F.lit(0)).alias(f"{c}_after") for c in ("docs", "tokens")]
     )
     within = Window.partitionBy("span").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    total = histogram.agg(*sums).select(F.col("docs").alias("total_docs"), F.col("tokens").alias("total_tokens"))
+    total = histogram.agg(*sums).first()  # one row
+    docs, tokens = F.lit(total["docs"] or 0), F.lit(total["tokens"] or 0).cast("bigint")
     rows = spanned.join(later, "span").select(
         "length", "n_docs",
         (F.col("docs_after") + F.coalesce(F.sum("n_docs").over(within), F.lit(0))).alias("docs_longer"),
         (F.col("tokens_after") + F.coalesce(F.sum(F.col("n_docs") * F.col("length")).over(within), F.lit(0))).alias("tokens_longer"),
-    ).join(F.broadcast(total))  # one row
+    )
     return rows.select(
         "length", "n_docs", "docs_longer", "tokens_longer",
-        (F.col("total_tokens") - F.col("tokens_longer") + F.col("length") * F.col("docs_longer")).alias("truncated_tokens"),
-        "total_tokens", (1 - F.col("docs_longer") / F.col("total_docs")).alias("share_within"),
+        (tokens - F.col("tokens_longer") + F.col("length") * F.col("docs_longer")).alias("truncated_tokens"),
+        tokens.alias("total_tokens"), (1 - F.col("docs_longer") / docs).alias("share_within"),
     )
 
 
 def token_counts(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``suffix_sums`` of the lengths of all rows of ``docs``. Repeated rows count each time; doc_id
     and other columns are not looked at; an empty table gives an empty result."""
-    return suffix_sums(length_histogram(docs, ranks, pattern))
+    return suffix_sums(settle(length_histogram(docs, ranks, pattern), "lengths"))
 
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
