@@ -27,6 +27,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def values(column):
+    """The values of an Arrow column one by one: texts are not held as a list beside the batch."""
+    for value in column:
+        yield value.as_py()
+
+
 def _star(pairs: DataFrame) -> tuple[int, object]:
     """A count and an order-free sum that tell one set of pairs from another."""
     row = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

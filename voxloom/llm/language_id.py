@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import text_of
+from voxloom.llm.common import text_of, values
 
 BUCKETS = 1 << 15
 # Languages the driver may hold counts of, BUCKETS each.
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, codes: Codes | None, ambiguous_gap: float = 0.2) -
         codes = shared.value
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 if codes is None or not _LETTER.search(text):
                     rows.append((UNKNOWN, 0.0, False))
                 else:

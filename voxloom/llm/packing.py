@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settle, text_of
+from voxloom.llm.common import settle, text_of, values
 
 # Pieces packed by one task at once.
 SHARD_PIECES = 40_000
 # Words of which a worker remembers the ids.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 # Texts of these characters are split and lower-cased here as the tokenizer does it; words are then
 # looked up. Others go through the tokenizer as a whole.
@@ -42,7 +42,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         self.of_parts = Tokenizer.from_file(path)  # for parts that are normal and split already
         self.of_parts.normalizer = None
         self.of_parts.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -50,6 +50,10 @@ class WordEncoder:
         self.parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
+        if self.tokenizer is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
@@ -107,12 +111,12 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 1,
         enc, end, row = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
                 ids = enc.encode(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * limit)):
                     part = ids[at : at + 4 * limit]
                     row += 1
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), zlib.crc32(b"%d %d %d" % (doc_id or 0, k, row)), part))
+                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), zlib.crc32(b"%d %d %d" % (doc_id or 0, k, row)), part if with_ids else None))
             columns = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(

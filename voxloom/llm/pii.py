@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import text_of
+from voxloom.llm.common import text_of, values
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -212,7 +212,7 @@ def train(docs: DataFrame) -> SpanModel:
     def run(batches):
         counts: dict[tuple, int] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 if (base := base_spans(text)) and (found := candidates(text, base)):
                     inside = {(k, *s) for k in KINDS for s in base[k]}
                     for c in found:
@@ -276,7 +276,7 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 base, every = spans_of(text, model)
                 rows.append((*(len(base[k]) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
             columns = list(zip(*rows)) or [()] * 6
@@ -296,6 +296,6 @@ def redact(docs: DataFrame, model: SpanModel | None = None, column: str = "text"
     model = model or train(docs)
 
     def run(texts):
-        return pa.array([t if t is None else redacted(t, spans_of(t, model)[1]) for t in texts.to_pylist()], pa.string())
+        return pa.array([t if t is None else redacted(t, spans_of(t, model)[1]) for t in values(texts)], pa.string())
 
     return docs.withColumn(column, F.arrow_udf(run, "string")(F.col(column).cast("string")))

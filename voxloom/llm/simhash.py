@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import components, settle, text_bytes
+from voxloom.llm.common import components, settle, text_bytes, values
 
 SEED = 42
 # Fingerprints of one key compared in a task at once.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            found = [fingerprint(t, shingle) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"]
             )

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settle, text_of
+from voxloom.llm.common import settle, text_of, values
 
 # Lengths that are added up in one task; their sums are then added up in turn.
 SPAN = 1024
@@ -37,7 +37,7 @@ def length_histogram(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches):
         encode, counts = encoding(ranks, pattern).encode_ordinary, {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 n = len(encode(text))
                 counts[n] = counts.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settle, text_of
+from voxloom.llm.common import settle, text_of, values
 from voxloom.llm.language_id import fold
 
 # Labelled rows that are learned from, the first by a hash of their id.
@@ -81,10 +81,10 @@ def _with_features(rows: DataFrame, words: dict, stems: dict, keep: list[str]) -
     def run(batches):
         words, stems = shared.value
         for batch in batches:
-            found = [features(t, words, stems) for t in batch.column(0).to_pylist()]
-            values = np.array(found, np.float64).reshape(-1, len(FEATURES))
+            found = [features(t, words, stems) for t in values(batch.column(0))]
+            table = np.array(found, np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *(pa.array(values[:, i]) for i in range(len(FEATURES)))], names=[*keep, *FEATURES]
+                [*batch.columns[1:], *(pa.array(table[:, i]) for i in range(len(FEATURES)))], names=[*keep, *FEATURES]
             )
 
     kinds = dict(rows.dtypes)
