@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +11,33 @@ from voxloom.llm import mixing, packing, pii, quality, simhash
 from voxloom.llm.common import settle
 from voxloom.llm.queries import tokenizer
 
+# Texts that go to a Python worker at once. Spark's own limit of 64 MB, times what is copied of a batch on
+# either side, is much for executors of a few GB that run one stage after another.
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language's perplexity band."""
     return quality.kept_documents(docs)
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints linked by at most 2 bits."""
     return simhash.one_of_each(docs, shingle=3, radius=2)
 
 
+@in_small_batches
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with tags in place of personal data and n_chars of the new text."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("bigint"))
@@ -30,6 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all rows and their places in sequences of 4096."""
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
