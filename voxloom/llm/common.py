@@ -27,6 +27,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def hashed_share(key: Column, rows: int, total: int) -> Column:
+    """Whether a row belongs to a fixed sample of about ``rows`` of ``total``: by a hash of ``key``, so without a sort."""
+    share = min(1.0, rows / max(total, 1))
+    return F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + (share == 1.0))
+
+
 def values(column):
     """The values of an Arrow column one by one: texts are not held as a list beside the batch."""
     for value in column:

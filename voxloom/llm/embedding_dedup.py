@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import components, settle
+from voxloom.llm.common import components, hashed_share, settle
 from voxloom.llm.simhash import Forest
 
-# Vectors the codebooks are fitted on, the first by a hash.
+# About so many vectors the codebooks are fitted on, chosen by a hash.
 FIT_ROWS = 20_000
 CODEWORDS = 1024
 # Vectors of a cell that a task holds at once, on each side.
@@ -153,7 +153,7 @@ def near_duplicates(
         "vectors",
     )
     total = distinct.count()
-    sample = distinct.orderBy("node").limit(fit_rows).select("v").toArrow()
+    sample = distinct.where(hashed_share(F.col("node"), fit_rows, total)).select("v").toArrow()
     index = fit(_unit(_matrix(sample.column("v").combine_chunks())), min(CODEWORDS, max(1, round((total / 50) ** 0.5))), least, recall)
     shared = spark.sparkContext.broadcast(index)
 

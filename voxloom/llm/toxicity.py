@@ -20,10 +20,10 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settle, text_of, values
+from voxloom.llm.common import hashed_share, settle, text_of, values
 from voxloom.llm.language_id import fold
 
-# Labelled rows that are learned from, the first by a hash of their id.
+# About so many labelled rows are learned from, chosen by a hash of their id.
 FIT_ROWS = 40_000
 # Words in the lexicon, the surest first.
 LEXICON_WORDS = 20_000
@@ -93,15 +93,16 @@ def _with_features(rows: DataFrame, words: dict, stems: dict, keep: list[str]) -
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, text, toxic, part): up to ``rows`` labelled documents outside the held-out fold.
+    """(doc_id, text, toxic, part): about ``rows`` labelled documents outside the held-out fold, or
+    all where there are fewer.
 
-    They are the first by a hash of the id, so at most ``rows`` ids are broadcast and no text is
-    shuffled. Contradicting labels of an id count as toxic; null ids and labels are left out.
+    They are chosen by a hash of the id, so about ``rows`` ids are broadcast and no text is shuffled. Contradicting labels of an id count as toxic; null ids and labels are left out.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")
     ).where(fold(F.col("doc_id"), 5) != 0)
-    chosen = settle(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "chosen")
+    chosen = settle(chosen, "labels")
+    chosen = settle(chosen.where(hashed_share(F.col("doc_id"), rows, chosen.count())), "chosen")
     texts = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).cast("int")
     return texts.join(F.broadcast(chosen), "doc_id").withColumn("part", part)
@@ -128,7 +129,7 @@ def _vector(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, rounds: int = 12, depth: int = 3, seed: int = 42) -> Toxicity:
-    """Learn from at most ``rows`` labelled documents: half for the lexicon, a quarter each for the
+    """Learn from about ``rows`` labelled documents: half for the lexicon, a quarter each for the
     trees and the calibration."""
     sample = settle(labelled_sample(docs, labels, rows), "labelled")
     words, stems = lexicon(sample.where("part < 2"))
