@@ -295,7 +295,12 @@ def redact(docs: DataFrame, model: SpanModel | None = None, column: str = "text"
     """``docs`` with tags in place of all spans in ``column``; null stays null."""
     model = model or train(docs)
 
-    def run(texts):
-        return pa.array([t if t is None else redacted(t, spans_of(t, model)[1]) for t in values(texts)], pa.string())
+    given = docs.withColumn(column, F.col(column).cast("string"))
 
-    return docs.withColumn(column, F.arrow_udf(run, "string")(F.col(column).cast("string")))
+    def run(batches):
+        for batch in batches:
+            i = batch.schema.get_field_index(column)
+            texts = pa.array([t if t is None else redacted(t, spans_of(t, model)[1]) for t in values(batch.column(i))], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:i], texts, *batch.columns[i + 1 :]], names=batch.schema.names)
+
+    return given.mapInArrow(run, given.schema)
