@@ -22,8 +22,8 @@ from voxloom.llm.common import settle, text_of, values
 
 # Pieces packed by one task at once.
 SHARD_PIECES = 40_000
-# Words of which a worker remembers the ids.
-REMEMBERED = 120_000
+# Words, and parts of words, of which a worker remembers the ids: what is no word known is put together from parts.
+REMEMBERED, REMEMBERED_PARTS = 100_000, 350_000
 
 # Texts of these characters are split and lower-cased here as the tokenizer does it; words are then
 # looked up. Others go through the tokenizer as a whole.
@@ -57,7 +57,7 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of new words. The first REMEMBERED words and parts of words are kept."""
+        """Ids of new words. The first words and parts that are met are kept."""
         split = [_PARTS.findall(w) for w in words]
         known = self.parts
         new = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in known]
@@ -71,7 +71,7 @@ class WordEncoder:
                 fresh[p] = raw[4 * at : 4 * end]
                 at = end
         out = {w: b"".join([known[p] if p in known else fresh[p] for p in ps]) for w, ps in zip(words, split)}
-        if len(known) < REMEMBERED:
+        if len(known) < REMEMBERED_PARTS:
             known.update(fresh)
         if len(self.words) < REMEMBERED:
             self.words.update(out)
