@@ -77,6 +77,65 @@ def test_components_are_those_of_all_pairs(spark, tile, radius):
     assert {v: found.get(v, v) for v in signed} == expected
 
 
+def chained(rng, n):
+    """Fingerprints with the same upper 32 bits, most of them a bit or two from an earlier one."""
+    out = [0xABCD_0123 << 32 | v for v in (0x10001, 0x40008, 0x100008, 0x110000)]
+    while len(out) < n:
+        v = rng.choice(out)
+        for _ in range(rng.choice([1, 2, 2, 2, 9])):
+            v ^= 1 << rng.randrange(32)
+        out.append(v)
+    return np.array(sorted(set(out)), np.uint64)
+
+
+def named_by_least(nodes, linked):
+    """The smallest node each node reaches, by a matrix of links."""
+    names = np.array(nodes)
+    while True:
+        least = np.minimum(names, np.where(linked, names[None, :], names.max()).min(axis=1))
+        if (least == names).all():
+            return dict(zip(nodes, names.tolist()))
+        names = least
+
+
+def parts_of(edges, nodes):
+    forest = simhash.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    return {v: forest.root(v) for v in nodes}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_large_groups_of_one_key(seed):
+    rng = random.Random(seed)
+    made = chained(rng, 400)
+    near = np.bitwise_count(made[:, None] ^ made[None, :]) <= 2
+    nodes = made.tolist()
+    assert parts_of(simhash._edges_of_large(made, made, 2), nodes) == named_by_least(nodes, near)
+    side = np.array([rng.random() < 0.5 for _ in nodes])
+    across = near & (side[:, None] != side[None, :])
+    assert parts_of(simhash._edges_of_large(made[side], made[~side], 2), nodes) == named_by_least(nodes, across)
+
+
+@pytest.mark.parametrize("tile", [4096, 100])
+def test_components_of_a_large_key(spark, tile):
+    rng = random.Random(11)
+    made = chained(rng, 500)
+    nodes = made.view(np.int64).tolist()
+    expected = named_by_least(nodes, np.bitwise_count(made[:, None] ^ made[None, :]) <= 2)
+    distinct = spark.createDataFrame([(v,) for v in nodes], "fp bigint")
+    found = {r.node: r.component for r in simhash.components(simhash.links(distinct, 2, tile), "a", "b").collect()}
+    assert {v: found.get(v, v) for v in nodes} == expected
+
+
+def test_the_smallest_label_is_joined():
+    few = [0x10001, 0x40008, 0x100008, 0x110000]
+    rng = random.Random(0)
+    made = np.array([0xABCD_0123 << 32 | v for v in few + [rng.getrandbits(32) for _ in range(60)]], np.uint64)
+    near = np.bitwise_count(made[:, None] ^ made[None, :]) <= 2
+    assert parts_of(simhash._edges_of_large(made, made, 2), made.tolist()) == named_by_least(made.tolist(), near)
+
+
 def test_simhash_over_documents(spark):
     given = texts(random.Random(4), 150)
     docs = [(i * 3, t, "x", 1.5) for i, t in enumerate(given)] + [(7, None, "x", 0.0), (8, "", "x", 0.0), (None, given[5], "x", 0.0), (27, given[9], "y", 0.0), (27, given[9], "y", 0.0)]

@@ -149,7 +149,7 @@ def _edges_of_large(left: np.ndarray, right: np.ndarray, radius: int) -> list[tu
         forest.join(query, first)
         labels = label[hit]
         if (labels != labels[0]).any():  # parts of this tile that the query joins
-            for other in np.unique(labels)[1:].tolist():
+            for other in np.unique(labels).tolist():  # `first` itself may have any of the labels
                 forest.join(first, values[other])
             label[np.isin(label, labels)] = labels.min()
     return forest.edges
