@@ -94,6 +94,14 @@ def test_spans_over_documents(spark):
     assert pii.find_spans(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["(at)", "(AT)", "[At]"])
+def test_written_out_addresses_beside_a_plain_one(mark):
+    hidden = f"JOHN {mark} EXAMPLE (DOT) COM"
+    for text in (f"write {hidden} today", f"an.bo@host.org or {hidden} today"):
+        at = text.index(hidden)
+        assert ("email", at, at + len(hidden)) in pii.candidates(text, pii.base_spans(text))
+
+
 def test_reliabilities_are_found():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.4

@@ -32,6 +32,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Wider patterns: written-out addresses, numbers in groups, numbers without a plus sign.
 _WRITTEN = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?(?:\(at\)|\[at\]) ?([A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{1,63}){1,8})", re.I)
+_MARK = re.compile(r"\(at\)|\[at\]", re.I)
 _GROUPS = re.compile(r"(?<![0-9.+-])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}(?![0-9.-])")
 _PLUS = re.compile(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 _FOURS = re.compile(r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?![0-9])")
@@ -116,7 +117,7 @@ def candidates(text: str, base: dict) -> list[tuple[str, int, int]]:
     found = [(k, *s) for k in KINDS for s in base[k]]
     taken = sorted((a, b) for _, a, b in found)
     wide = []
-    if "@" not in text and ("(at)" in (low := text.lower()) or "[at]" in low) or "[at]" in text or "(at)" in text:
+    if ("(" in text or "[" in text) and _MARK.search(text):
         wide += [("email", *m.span()) for m in _WRITTEN.finditer(text)]
     for start, end in runs(text):
         if end - start >= 7:
