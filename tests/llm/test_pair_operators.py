@@ -151,6 +151,23 @@ def test_simhash_over_documents(spark):
     assert simhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_with_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    far = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(6)]
+    docs = [
+        (5, far[0], "a"), (5, far[1], "b"), (9, far[1], "c"),  # an id of two texts
+        (None, far[2], "d"), (None, far[2], "d"), (None, far[2], "d"), (None, far[0], "e"),  # copies without an id
+        (None, far[3], "f"), (12, far[4], "g"), (12, far[4], "g"), (None, None, "h"), (None, "", "h"), (7, far[5], "i"),
+    ]
+    found = []
+    for parts in (1, 5):
+        table = spark.createDataFrame(docs[:: 1 if parts == 1 else -1], "doc_id bigint, text string, fp string").repartition(parts)
+        found.append(sorted(map(tuple, simhash.one_of_each(table).collect()), key=repr))
+    assert found[0] == found[1]
+    assert [r for r in found[0] if r[2] != "h"] == sorted([docs[i] for i in (0, 1, 3, 7, 8, 12)], key=repr)
+    assert len(found[0]) == 7
+
+
 def vectors(rng, n, dim=16):
     out = [rng.normal(size=dim)]
     while len(out) < n:

@@ -45,17 +45,21 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text, as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = 3, more: dict | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row's whole text, as a signed 64-bit number; and beside
+    them the bigint columns ``more`` by name."""
+    more = more or {}
+    names = ["doc_id", "fp", *more]
 
     def run(batches):
         for batch in batches:
             found = [fingerprint(t, shingle) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), *batch.columns[2:]], names=names
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    given = docs.select(F.col("doc_id").cast("bigint"), text_bytes().alias("text"), *(c.alias(n) for n, c in more.items()))
+    return given.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -199,6 +203,14 @@ def _compare(batches, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
+def with_components(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """``distinct`` and the ``component`` of each fp: the smallest fingerprint that links reach."""
+    found = components(links(distinct.select("fp"), radius), "a", "b")
+    return distinct.join(found, distinct.fp == found.node, "left").select(
+        *distinct.columns, F.coalesce("component", "fp").alias("component")
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -209,10 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     """
     prints = settle(fingerprints(docs, shingle), "fingerprints")
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    found = components(links(distinct.select("fp"), radius), "a", "b")
-    named = distinct.join(found, distinct.fp == found.node, "left").select(
-        "fp", "least_id", F.coalesce("component", "fp").alias("component")
-    )
+    named = with_components(distinct, radius)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_print = named.join(least, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select(
@@ -221,8 +230,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest doc_id. Rows with a null doc_id
-    name no component and stay."""
-    found = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, docs.doc_id.cast("bigint") == found.doc_id, "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id is null"))
+    """One row of ``docs`` for each component: that of the smallest doc_id, where null comes after all
+    others, then of the smallest fingerprint, then by hashes of the text and of the other columns."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    marks = {
+        "text_hash": F.xxhash64(text_bytes()), "text_check": F.xxhash64(F.lit(1), text_bytes()),
+        "others_hash": F.xxhash64(F.to_json(F.struct(F.col("text").isNull().alias("no_text"), F.struct(*others).alias("others")))),
+    }
+    prints = settle(fingerprints(docs, shingle, marks), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", *marks)
+    distinct = settle(prints.groupBy("fp").agg(F.min(place).alias("place")), "distinct")
+    chosen = with_components(distinct, radius).groupBy("component").agg(F.min("place").alias("place"))
+    keys = ["unnamed", "id", *marks]
+    id_ = F.col("doc_id").cast("bigint")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), id_.isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"),
+        *(c.alias(n) for n, c in marks.items()),
+    )
+    # Only rows equal in all columns share these keys.
+    return rows.join(chosen.select(*(f"place.{k}" for k in keys)), keys, "left_semi").dropDuplicates(keys).select("row.*")
