@@ -27,7 +27,7 @@ def rows(spark, name):
 
 def test_all_are_registered():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in entry_points.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry_points.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry_points.queries()
 
 
 def test_repeats(spark, docs):
@@ -95,3 +95,14 @@ def test_pipeline(spark, docs):
     packed = frames["packing"].collect()
     assert sorted(r.doc_id for r in packed if r.piece == 0) == sorted(mixed)
     assert cp.ORACLE_SQL is None and len(rows(spark, "pipeline")) == len(packed)
+
+
+@pytest.mark.parametrize("name", ["op11_resampling", "op12_exact_dedup", "op13_manifest"])
+def test_like_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{SF_DIR}/{table}.parquet'")
+    found = con.execute(entry_points.oracle_sql()[name])
+    columns, expected = [c[0] for c in found.description], found.fetchall()
+    df = entry_points.queries()[name](spark, SF_DIR)
+    assert df.columns == columns and sorted(map(tuple, df.collect()), key=repr) == sorted(expected, key=repr)

@@ -70,3 +70,20 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         seen = now
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+
+
+# Copies of one row that a task writes out at a time.
+COPIES_AT_ONCE = 1 << 16
+
+
+def copies(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``number``; the column ``times`` goes.
+
+    A row that is repeated very often is cut into shares first, which are dealt over the tasks.
+    """
+    share = F.explode(F.sequence(F.lit(0), F.expr(f"({times} - 1) div {COPIES_AT_ONCE}")))
+    shares = rows.select("*", share.alias("_share"))
+    shares = shares.repartition(*[c for c in shares.columns if c != times])
+    first = F.col("_share").cast("bigint") * COPIES_AT_ONCE
+    last = F.least(F.col(times), first + COPIES_AT_ONCE) - 1
+    return shares.select(*[c for c in rows.columns if c != times], F.explode(F.sequence(first, last)).alias(number))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxloom.llm import (
-    embedding_dedup, language_id, mixing, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity,
+    embedding_dedup, exact_dedup, language_id, manifest, mixing, packing, pii, quality, resampling, simhash, suffix_dedup,
+    token_counts, toxicity,
 )
 
 FOUND: dict = {}
@@ -79,3 +81,21 @@ def op9_mixing(spark, sf_dir):
 @query
 def op10_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).drop("language")
+
+
+@query
+def op11_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_exact_dedup(spark, sf_dir):
+    return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_manifest(spark, sf_dir):
+    """Proofs of all documents, some of which state one character more than they have."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claims = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return manifest.document_manifest(table(spark, sf_dir, "documents"), claims=claims)
