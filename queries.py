@@ -13,7 +13,6 @@ from voxloom.operators.joins import settle
 from voxloom.operators.numbering import number_clips
 from voxloom.plans.estimate import even_budget_table
 from voxloom.session import scratch_path
-from voxloom.sinks.manifests import manifest_rows
 from voxloom.sources.clips import duration_column, in_split, text_column
 
 FOUND: dict = {}
@@ -490,6 +489,13 @@ def _(spark, sf):
 
 @query("stream_dataset")
 def _(spark, sf):
+    # The draw is that over all files, however they are dealt over micro-batches.
     path, schema, selection = arriving(spark, sf)
-    built = vx.stream_dataset(spark, path, schema, selection, schema="common_voice", split="all", max_seconds=120.0, **STREAM)
-    return path_of_audio(built)
+    pulled = vx.stream_dataset(
+        spark, path, schema, selection, schema="common_voice", split="all", max_seconds=120.0, files_per_batch=3, **STREAM
+    )
+    out = scratch_path(spark, "pulled")
+    pulled.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", scratch_path(spark, "progress")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return path_of_audio(spark.read.schema(pulled.schema).parquet(out))

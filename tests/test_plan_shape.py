@@ -77,6 +77,18 @@ def test_filter_opens_only_the_folders_of_the_selection(spark, stored, catalog):
     assert read == 20, "only the train clips of two of the four languages are read"
 
 
+@pytest.mark.parametrize("names", [257, 5_000])
+def test_large_selections_open_only_their_folders(spark, tmp_path, names):
+    rows = [(f"{i}", (b"", ""), "words", 2.0, f"l'{i:03d}", "train") for i in range(40)]
+    spark.createDataFrame(rows, TABLE).coalesce(1).write.partitionBy("subset").parquet(str(tmp_path / "clips"))
+    chosen = [f"l'{i:03d}" for i in range(35, 35 + names)]
+    selection = spark.createDataFrame([(s, s, "x", "XX") for s in chosen], "subset string, language string, iso string, country string")
+    built = vx.build_dataset(read_clips(spark, str(tmp_path / "clips"), split="train"), selection, per_language=3)
+    found = scans(plan_of(built))
+    assert found and all(re.search(r"PartitionFilters: \[[^\]]*subset#\d+ (IN|INSET) ", s) for s in found)
+    assert sorted(r.subset for r in built.collect()) == chosen[:5]
+
+
 def test_job_does_not_shuffle_audio_of_a_table_by_subset(spark, stored, catalog, tmp_path):
     from voxloom.sinks import datasets
 

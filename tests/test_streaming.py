@@ -1,3 +1,6 @@
+import time
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,18 +29,28 @@ def key(df):
     return sorted((r.subset, r.audio.path, r.length) for r in df.collect())
 
 
+def pull(spark, tmp_path, *args, name="pulled", **options):
+    """What a pull delivers, by way of a file sink."""
+    stream = vx.stream_dataset(spark, *args, **options)
+    assert stream.isStreaming
+    out = str(tmp_path / name)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def test_without_caps_stream_and_batch_agree(spark, catalog, tmp_path):
     path = str(tmp_path / "in")
     arrive(spark, path, ["twi_twi", "aba_one", "unlisted"], 0, 30)
     window = {"min_clip_seconds": 0.0, "max_clip_seconds": 3.0}
-    args = (spark, path, schema_of(spark), catalog)
-    pulled = vx.stream_dataset(*args, **window)
+    args = (spark, tmp_path, path, schema_of(spark), catalog)
+    pulled = pull(*args, **window)
     filtered = vx.stream_filter(spark.read.schema(schema_of(spark)).parquet(path), catalog, **window)
     assert key(pulled) == key(filtered) and filtered.count() > 10
     assert "unlisted" not in {r.subset for r in pulled.collect()}
     arrive(spark, path, ["twi_twi"], 100, 10)
     again = vx.stream_filter(spark.read.schema(schema_of(spark)).parquet(path), catalog, **window)
-    assert key(vx.stream_dataset(*args, **window)) == key(again)
+    assert key(pull(*args, name="again", **window)) == key(again)
 
 
 def test_filter_as_a_stream(spark, catalog, tmp_path):
@@ -56,7 +69,7 @@ def test_pull_is_the_draw_over_all_files(spark, catalog, tmp_path, caps, files):
     path = str(tmp_path / "in")
     for start in range(0, 60, 60 // files):
         arrive(spark, path, ["twi_twi", "aba_one"], start, 60 // files)
-    pulled = vx.stream_dataset(spark, path, schema_of(spark), catalog, split="all", **caps)
+    pulled = pull(spark, tmp_path, path, schema_of(spark), catalog, split="all", files_per_batch=2, **caps)
     usable = vx.stream_filter(spark.read.schema(schema_of(spark)).parquet(path), catalog, split="all")
     assert key(pulled) == key(vx.draw(usable, nearest=False, ordered_splits=True, **caps))
 
@@ -66,7 +79,7 @@ def test_train_comes_first_whenever_it_arrived(spark, catalog, tmp_path):
     for split, start in (("test", 0), ("train", 10)):
         made = [(f"{split}-{i}", (b"a", split), "words", 1.0, "twi_twi", split) for i in range(start, start + 5)]
         spark.createDataFrame(made, TABLE).coalesce(5).write.mode("append").partitionBy("subset").parquet(path)
-    pulled = vx.stream_dataset(spark, path, schema_of(spark), catalog, split="all", per_language=5)
+    pulled = pull(spark, tmp_path, path, schema_of(spark), catalog, split="all", per_language=5, files_per_batch=1)
     assert [r.audio.path for r in pulled.collect()] == ["train"] * 5
 
 
@@ -74,7 +87,55 @@ def test_one_micro_batch_is_the_batch_draw(spark, catalog, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     arrive(spark, path, ["twi_twi", "aba_one"], 0, 60)
     got = admitted(spark, path, catalog, out, per_language=9, max_seconds=14.0)
-    assert key(got) == key(vx.stream_dataset(spark, path, schema_of(spark), catalog, split="all", per_language=9, max_seconds=14.0))
+    assert key(got) == key(pull(spark, tmp_path, path, schema_of(spark), catalog, split="all", per_language=9, max_seconds=14.0))
+
+
+def test_a_pull_goes_on_from_its_checkpoint(spark, catalog, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for start in range(0, 60, 10):
+        arrive(spark, path, ["twi_twi", "aba_one"], start, 10)
+    as_of, caps = datetime.now(timezone.utc), {"split": "all", "per_language": 9, "max_seconds": 18.0}
+
+    def start():
+        stream = vx.stream_dataset(spark, path, schema_of(spark), catalog, files_per_batch=1, as_of=as_of, **caps)
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-progress")
+        return stream, writer
+
+    first = start()[1].trigger(processingTime="0 seconds").start()
+    while first.lastProgress is None:
+        time.sleep(0.1)
+    first.stop()  # somewhere in the middle
+    arrive(spark, path, ["twi_twi"], 100, 50)  # too late for this pull
+    stream, writer = start()
+    writer.trigger(availableNow=True).start().awaitTermination()
+    usable = vx.stream_filter(spark.read.schema(schema_of(spark)).parquet(path).where(F.col("id").rlike("-.{1,2}$")), catalog, split="all")
+    expected = vx.draw(usable, nearest=False, ordered_splits=True, per_language=9, max_seconds=18.0)
+    assert key(spark.read.schema(stream.schema).parquet(out)) == key(expected)
+
+
+def test_state_stays_small_over_many_micro_batches(spark, catalog, tmp_path):
+    path, out = str(tmp_path / "in"), tmp_path / "out"
+    for start in range(0, 40, 4):
+        arrive(spark, path, ["twi_twi"], start, 4)
+    got = admitted(spark, path, catalog, str(out), per_language=6, files_per_batch=1)
+    assert got.count() == 6
+    assert len(list((out / "checkpoint" / "commits").glob("[0-9]*"))) == 10
+    assert len(list((out / "state").glob("turn=*"))) == 2
+    # Once the language is full no micro-batch leaves a folder.
+    assert len(list((out / "clips").glob("epoch=*"))) <= 3
+
+
+def test_a_repeated_micro_batch_gives_the_same_rows(spark, catalog, tmp_path):
+    path, out = str(tmp_path / "in"), tmp_path / "out"
+    for start in range(0, 24, 8):
+        arrive(spark, path, ["twi_twi", "aba_one"], start, 8)
+    options = {"per_language": 10, "files_per_batch": 1}
+    first = sorted((r.epoch, r.clip_id) for r in admitted(spark, path, catalog, str(out), **options).collect())
+    commits = sorted((out / "checkpoint" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for file in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        file.unlink(missing_ok=True)  # as if it had failed after its last write
+    again = sorted((r.epoch, r.clip_id) for r in admitted(spark, path, catalog, str(out), **options).collect())
+    assert again == first
 
 
 def admitted(spark, path, selection, out, **options):
@@ -143,9 +204,9 @@ def test_schema_and_negative_caps(spark, catalog, tmp_path):
 def test_names_are_looked_up_and_unknown_ones_skipped(spark, catalog, tmp_path):
     path = str(tmp_path / "in")
     arrive(spark, path, ["twi_twi", "aba_one"], 0, 30)
-    got = vx.stream_dataset(spark, path, schema_of(spark), "nobody, twi_twi", catalog=catalog)
+    got = pull(spark, tmp_path, path, schema_of(spark), "nobody, twi_twi", catalog=catalog)
     assert {r.subset for r in got.collect()} == {"twi_twi"}
-    assert vx.stream_dataset(spark, path, schema_of(spark), ["nobody"], catalog=catalog, schema="asr").collect() == []
+    assert pull(spark, tmp_path, path, schema_of(spark), ["nobody"], name="none", catalog=catalog, schema="asr", per_language=3).collect() == []
     clips = spark.read.schema(schema_of(spark)).parquet(path)
     assert {r.subset for r in vx.build_dataset(clips, ["aba_one"], catalog=catalog).collect()} == {"aba_one"}
     with pytest.raises(KeyError):

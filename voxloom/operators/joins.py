@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows and bytes have been found to be within these limits.
@@ -12,8 +12,9 @@ BROADCAST_BYTES = 32 << 20
 # Above them both sides are shuffled, with every language spread over this many tasks
 # where its size is not known.
 SALTS = 64
-# Names up to this many become a literal filter, which prunes partition folders.
-LITERAL_NAMES = 256
+# Names up to this many become a literal filter, which prunes partition folders. They are a part of
+# the settled selection, so they are few enough for the driver anyway.
+LITERAL_NAMES = 50_000
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
@@ -29,6 +30,18 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
     return df.sparkSession.createDataFrame(rows, schema=df.schema), rows.num_rows
 
 
+def one_of(column: str, names: list[str]) -> Column:
+    """Whether a column holds one of many names, as a filter that reaches the scan.
+
+    The list is parsed as one expression, as thousands of single literals would each be a call to the JVM;
+    names are written as bytes, which need no quoting.
+    """
+    if not names:
+        return F.lit(False)
+    quoted = column.replace("`", "``")
+    return F.expr(f"`{quoted}` IN (" + ", ".join(f"CAST(X'{name.encode().hex()}' AS STRING)" for name in names) + ")")
+
+
 def local_table(df_or_spark, columns: dict[str, list], schema) -> DataFrame:
     """A small table of the caller's own values."""
     spark = getattr(df_or_spark, "sparkSession", df_or_spark)

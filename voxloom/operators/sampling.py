@@ -182,6 +182,39 @@ def draw_ends(
     return counted.groupBy("subset").agg(F.max(F.when(kept, _place()).otherwise(slot_start)).alias("_end"))
 
 
+def last_places(
+    clips: DataFrame,
+    *,
+    per_language: int | None = None,
+    max_seconds: float | None = None,
+    nearest: bool = True,
+    ordered_splits: bool = False,
+    seed: int = 42,
+    unfiltered: DataFrame | None = None,
+    taken: DataFrame | None = None,
+) -> tuple[DataFrame, int, int]:
+    """Last place of a capped draw for each language, the number of languages and the size of the largest.
+
+    Languages are sized up first, by counting one column. ``unfiltered``, a table that
+    ``clips`` is a filtered part of, spares that job the filters.
+    """
+    languages, largest = group_sizes(clips if unfiltered is None else unfiltered)
+    ends = draw_ends(
+        with_sample_order(clips, seed, ordered_splits), languages, largest,
+        per_language=per_language, max_seconds=max_seconds, nearest=nearest, taken=taken,
+    )
+    return ends, languages, largest
+
+
+def up_to(
+    clips: DataFrame, ends: DataFrame, languages: int, largest: int, *, seed: int = 42, ordered_splits: bool = False
+) -> DataFrame:
+    """Clips up to the last place of their language: a filter, for streams as well."""
+    ordered = with_sample_order(clips, seed, ordered_splits)
+    salts = max(1, math.ceil(largest / SLOT_ROWS))
+    return attach(ordered, ends, "subset", languages, salts=salts).where(_place() <= F.col("_end")).drop(*HELPERS, "_end")
+
+
 def draw(
     clips: DataFrame,
     *,
@@ -197,22 +230,17 @@ def draw(
 
     Whichever cap binds first ends a language. The duration budget is met as nearly as
     possible: the clip that crosses it is dropped when stopping short is strictly nearer
-    and it is not the only clip. With ``nearest=False`` it always stays.
-
-    Languages are sized up first, by counting one column. ``unfiltered``, a table that
-    ``clips`` is a filtered part of, spares that job the filters.
+    and it is not the only clip. With ``nearest=False`` it always stays. ``unfiltered`` and ``taken``
+    are as in ``last_places`` and ``draw_ends``.
     """
     check_caps(per_language, max_seconds)
     if per_language is None and max_seconds is None:
         return clips
-    languages, largest = group_sizes(clips if unfiltered is None else unfiltered)
-    ordered = with_sample_order(clips, seed, ordered_splits)
-    ends = draw_ends(
-        ordered, languages, largest,
-        per_language=per_language, max_seconds=max_seconds, nearest=nearest, taken=taken,
+    ends, languages, largest = last_places(
+        clips, per_language=per_language, max_seconds=max_seconds, nearest=nearest, ordered_splits=ordered_splits, seed=seed,
+        unfiltered=unfiltered, taken=taken,
     )
-    salts = max(1, math.ceil(largest / SLOT_ROWS))
-    return attach(ordered, ends, "subset", languages, salts=salts).where(_place() <= F.col("_end")).drop(*HELPERS, "_end")
+    return up_to(clips, ends, languages, largest, seed=seed, ordered_splits=ordered_splits)
 
 
 def sample_ranks(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = False) -> DataFrame:

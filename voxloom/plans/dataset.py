@@ -9,7 +9,7 @@ from voxloom.functions.columns import seconds, ticks
 from voxloom.operators.clips import (
     apply_schema, clip_window, clip_window_stream, drop_digit_text, id_column, source_view, standardise,
 )
-from voxloom.operators.joins import LITERAL_NAMES, attach, settle
+from voxloom.operators.joins import LITERAL_NAMES, attach, one_of, settle
 from voxloom.operators.ranking import pick_languages
 from voxloom.operators.sampling import check_caps, draw
 from voxloom.schemas import STANDARD_COLUMNS
@@ -19,11 +19,11 @@ from voxloom.sources.clips import in_split
 def of_selection(clips: DataFrame, selection: DataFrame, rows: int) -> DataFrame:
     """Clips of the selected subsets only.
 
-    A short selection becomes a literal filter, so other partition folders are never opened.
+    A selection of up to LITERAL_NAMES becomes a literal filter, so other partition folders are never opened.
     """
     subsets = selection.select("subset")
     if rows <= LITERAL_NAMES:
-        return clips.where(F.col("subset").isin(sorted({row.subset for row in subsets.collect()})))
+        return clips.where(one_of("subset", sorted({row.subset for row in subsets.collect() if row.subset is not None})))
     return attach(clips, subsets.distinct(), "subset", rows, id_column(clips))
 
 
