@@ -176,6 +176,10 @@ ITEM_GAPS = WITH_ITEMS + ", gaps as (select clip_id as id, subset, nullif(length
 ORACLES = {
     # --- catalog
     "catalog_refresh": ITEM_CATALOG + f"select {CATALOG} from catalog",
+    "catalog_refresh_files": ITEM_CATALOG + f"select {CATALOG} from catalog",
+    "catalog_refresh_samples": f"""select concat('wave_', label) as subset, concat('wave_', label) as language, '' as iso, '' as country,
+  count(*) as clips, {rounded("coalesce(sum(round(len(embedding) / nullif(label * 3, 0), 8)), 0) / 3600", 2)} as hours,
+  count(*) as train, 0::bigint as val, 0::bigint as test from embeddings group by label""",
     "catalog_scan": ITEM_CATALOG + f"select {CATALOG} from catalog",
     "catalog_roundtrip": ITEM_CATALOG + f"""select subset, concat('Nd''i "North", ', language) as language,
   iso, country, clips, hours, train, val, test from catalog""",
@@ -303,3 +307,6 @@ from lines join speakers using (speaker)""",
     "stream_dataset": doc_pool(None) + drawn_from("usable", order=SPLIT_ORDER, budget=120, nearest=False)
     + "select audio, text as sentence, language, country, length from drawn",
 }
+ORACLES["manifests_together"] = " union all ".join(
+    f"select '{layout}' as layout, line from ({ORACLES[f'manifest_{layout}']})" for layout in ("ljspeech", "piper", "vits", "melo")
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,27 @@ def _(spark, sf):
     return vx.refresh_catalog(st.item_clips(spark, sf), known, listed=labels.select("subset").unionAll(nations))
 
 
+@query("catalog_refresh_files")
+def _(spark, sf):
+    # Half of the files come first. Then one of them is changed, and the others come.
+    path, ledger = scratch_path(spark, "clips"), scratch_path(spark, "ledger")
+    clips = st.item_clips(spark, sf)
+    half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    clips.where(half).withColumn("duration", F.lit(7.0)).repartition(3).write.parquet(f"{path}/part=0")
+    vx.refresh_files(spark, path, ledger, use_samples=False)
+    clips.where(half).repartition(2).write.mode("overwrite").parquet(f"{path}/part=0")
+    clips.where(~half).repartition(3).write.parquet(f"{path}/part=1")
+    return vx.refresh_files(spark, path, ledger, st.item_labels(spark, sf), use_samples=False)
+
+
+@query("catalog_refresh_samples")
+def _(spark, sf):
+    # Lengths come from the numbers of samples stored beside the audio.
+    path = scratch_path(spark, "waves")
+    vx.write_dataset(st.waveforms(spark, sf), path)
+    return vx.refresh_catalog(vx.read_dataset(spark, path))
+
+
 @query("catalog_scan")
 def _(spark, sf):
     path = scratch_path(spark, "padded")
@@ -420,6 +443,17 @@ for _layout, _file in vx.MANIFEST_FILES.items():
 FOUND["speakers_vits"] = manifest_query("vits", "speakers.txt")
 
 
+@query("manifests_together")
+def _(spark, sf):
+    # All layouts of one numbering.
+    folders = vx.export_manifests(doc_export(spark, sf), list(vx.MANIFEST_FILES), scratch_path(spark, "manifests"))
+    read = [
+        spark.read.text(f"{folder}/{vx.MANIFEST_FILES[layout]}").select(F.lit(layout).alias("layout"), F.col("value").alias("line"))
+        for layout, folder in folders.items()
+    ]
+    return reduce(DataFrame.unionAll, read)
+
+
 @query("manifest_csv")
 def _(spark, sf):
     path = scratch_path(spark, "csv")

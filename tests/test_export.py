@@ -3,6 +3,7 @@ import glob
 import pytest
 
 import voxloom as vx
+from voxloom.sinks import manifests
 from voxloom.functions import columns as c
 from pyspark.sql import functions as F
 
@@ -91,3 +92,14 @@ def test_dataset_keeps_number_like_subsets(spark, built, tmp_path):
     back = vx.read_dataset(spark, path)
     assert back.count() == 6 and {r.subset for r in back.collect()} == {"0042"}
     assert sorted(back.columns) == sorted(built.columns)
+
+
+def test_all_layouts_share_one_numbering(built, tmp_path, monkeypatch):
+    numbered = []
+    plain = manifests.number_clips
+    monkeypatch.setattr(manifests, "number_clips", lambda *a, **k: numbered.append(1) or plain(*a, **k))
+    folders = vx.export_manifests(built, list(vx.MANIFEST_FILES), str(tmp_path / "all"))
+    assert numbered == [1] and list(folders) == list(vx.MANIFEST_FILES)
+    for layout, file in vx.MANIFEST_FILES.items():
+        by_clips = [r.value for r in vx.manifest_lines(built, layout).orderBy("idx").collect()]
+        assert lines(f"{folders[layout]}/{file}") == by_clips

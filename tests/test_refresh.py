@@ -1,4 +1,5 @@
 import voxloom as vx
+from voxloom.operators import refresh
 
 CLIPS = "subset string, split string, duration double"
 
@@ -36,3 +37,60 @@ def test_long_sums_are_whole(spark):
     rows = [("s", str(i), "train", n) for i, n in enumerate([3e9, 9.3e10, float("inf"), float("nan"), None])]
     clips = spark.createDataFrame(rows, "subset string, id string, split string, duration double")
     assert vx.refresh_catalog(clips).first().hours == round((3e9 + 9.3e10) / 3600, 2)
+
+
+FILES = "id string, audio struct<bytes: binary, path: string>, duration double, subset string, split string"
+
+
+def store(spark, path, name, rows):
+    clips = [(str(i), (b"", ""), d, s, split) for i, (s, split, d) in enumerate(rows)]
+    spark.createDataFrame(clips, FILES).coalesce(1).write.mode("overwrite").partitionBy("subset").parquet(f"{path}/{name}")
+
+
+def test_refresh_of_changed_files_equals_a_whole_one(spark, catalog, tmp_path, monkeypatch):
+    path, ledger = str(tmp_path / "batch é"), str(tmp_path / "ledger")
+    scanned = []
+    plain = refresh._added_up
+    monkeypatch.setattr(refresh, "_added_up", lambda clips, use: scanned.append(len(clips.inputFiles())) or plain(clips, use))
+
+    def check(files):
+        found = vx.refresh_files(spark, path, ledger, catalog, catalog.select("subset"))
+        whole = vx.refresh_catalog(spark.read.option("recursiveFileLookup", False).parquet(path), catalog, catalog.select("subset"))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+        assert scanned == files
+        scanned.clear()
+
+    for part in range(2):
+        store(spark, path, f"part={part}", [("twi_twi", "train", 3600.0), ("a b", "dev", 1800.5 + part), ("a b", "other", None)])
+    check([4])
+    store(spark, path, "part=2", [("twi_twi", "test", 720.0), ("aba_one", "train", 36.0)])
+    check([2])
+    check([])
+    store(spark, path, "part=0", [("twi_twi", "train", 100.0)])  # one file is changed, one is gone
+    check([1])
+    monkeypatch.setattr(refresh, "BROADCAST_ROWS", 0)  # as with very many changed files
+    store(spark, path, "part=1", [("aba_one", "val", 50.0), ("twi_twi", "train", 7.0)])
+    check([5])
+    assert {f.name for f in (tmp_path / "ledger").iterdir()} == {"last", "turn=0", "turn=1"}
+
+
+def test_a_refresh_that_failed_is_done_again(spark, tmp_path):
+    path, ledger = str(tmp_path / "clips"), tmp_path / "ledger"
+    store(spark, path, "part=0", [("a", "train", 3600.0)])
+    vx.refresh_files(spark, path, str(ledger))
+    store(spark, path, "part=1", [("a", "train", 3600.0)])
+    spark.createDataFrame([("broken",)], "file string").write.parquet(str(ledger / "turn=0"))  # written, but not told
+    assert vx.refresh_files(spark, path, str(ledger)).first().hours == 2.0
+
+
+def test_stored_sample_counts_spare_reading_samples(spark, tmp_path):
+    schema = "subset string, split string, duration double, audio struct<array: array<array<float>>, sampling_rate: int>"
+    rows = [("a", "train", 3600.0, ([[0.0] * 36] * 2, 1)), ("a", "train", 3600.0, (None, 16)), ("a", "train", 1800.0, ([[0.0]], 0)),
+            ("a", "train", None, None), ("a", "train", 36.0, ([], 4))]
+    clips = spark.createDataFrame(rows, schema)
+    vx.write_dataset(clips, str(tmp_path / "clips"))
+    stored = vx.read_dataset(spark, str(tmp_path / "clips"))
+    refreshed = vx.refresh_catalog(stored)
+    assert refreshed.collect() == vx.refresh_catalog(clips).collect()
+    plan = refreshed._jdf.queryExecution().executedPlan().toString()
+    assert "sampling_rate" in plan and "array" not in plan.split("ReadSchema")[1]

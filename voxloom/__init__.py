@@ -8,7 +8,7 @@ from voxloom.operators.clips import (
 )
 from voxloom.operators.numbering import number_clips, speaker_ids
 from voxloom.operators.ranking import pick_languages, select_top, unknown_names
-from voxloom.operators.refresh import refresh_catalog
+from voxloom.operators.refresh import refresh_catalog, refresh_files
 from voxloom.operators.sampling import draw, holdout_split, sample_ranks
 from voxloom.plans.dataset import build_dataset, build_subset, build_summary, build_summary_by_language
 from voxloom.plans.estimate import (
@@ -19,7 +19,7 @@ from voxloom.schemas import COUNTRY_NAMES, MANIFEST_FILES, STANDARD_COLUMNS, TRA
 from voxloom.sinks.datasets import (
     read_dataset, read_manifest_csv, write_dataset, write_manifest_csv, write_parquet,
 )
-from voxloom.sinks.manifests import export_manifest, manifest_lines, speaker_lines
+from voxloom.sinks.manifests import export_manifest, export_manifests, manifest_lines, speaker_lines
 from voxloom.sources.catalog import load_catalog, write_catalog
 from voxloom.sources.clips import read_clips
 from voxloom.streaming.clips import stream_admit, stream_clips, stream_dataset, stream_filter

@@ -16,7 +16,7 @@ from voxloom.schemas import MANIFEST_FILES, STANDARD_COLUMNS
 from voxloom.sinks.datasets import (
     laid_out_by_subset, read_dataset, write_dataset, write_manifest_csv, write_parquet,
 )
-from voxloom.sinks.manifests import export_manifest
+from voxloom.sinks.manifests import export_manifests
 
 TABLE_FORMATS = ("disk", "parquet", "csv")
 
@@ -124,7 +124,9 @@ def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig,
     )
     built = read_dataset(spark, dataset)
     shaped = apply_schema(built.select(*STANDARD_COLUMNS), config.schema)
-    written = {}
+    manifests = [name for name in formats if name in MANIFEST_FILES]
+    # Numbered once for all layouts.
+    written = export_manifests(built, manifests, out, seed=config.seed, ordered_splits=as_stream) if manifests else {}
     for name in formats:
         if name == "disk" and shaped.columns == STANDARD_COLUMNS:
             written[name] = dataset
@@ -137,8 +139,6 @@ def run_selection(clips: DataFrame, catalog: DataFrame, config: SelectionConfig,
         elif name == "csv":
             write_manifest_csv(shaped, f"{out}/manifest_csv")
             written[name] = f"{out}/manifest_csv"
-        else:
-            written[name] = export_manifest(built, name, out, seed=config.seed, ordered_splits=as_stream)
     return SelectionResult(
         selection, seconds_each, plan, result.totals, result.shortfall, result.limiting, built, build_summary(built), written
     )

@@ -19,6 +19,9 @@ CATALOG_COLUMNS = CATALOG_SCHEMA.names
 # language in the selection, the clip's own key and its split.
 INTERNAL_COLUMNS = ["position", "clip_id", "split"]
 
+# Written beside decoded audio: how many samples a channel of it has.
+SAMPLE_COUNT = "audio_samples"
+
 SPLITS = ("train", "val", "test", "all")
 
 # ---------------------------------------------------------------------------

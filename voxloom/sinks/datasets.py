@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voxloom.functions.columns import has_channels, has_samples
+from voxloom.schemas import SAMPLE_COUNT
 from voxloom.sources.clips import read_keyed
 
 # Text survives a round trip with these: quotes, commas, line breaks, outer blanks,
@@ -24,6 +27,16 @@ def laid_out_by_subset(clips: DataFrame) -> bool:
     return any("/subset=" in name for name in clips.inputFiles()[:1])
 
 
+def with_sample_count(clips: DataFrame) -> DataFrame:
+    """Clips with decoded audio and how many samples a channel of it has; others as they are."""
+    if "audio" not in clips.columns or SAMPLE_COUNT in clips.columns or not has_samples(clips.schema["audio"].dataType):
+        return clips
+    samples = F.col("audio.array")
+    if has_channels(clips.schema["audio"].dataType):
+        samples = F.get(samples, F.lit(0))  # channels are equally long
+    return clips.withColumn(SAMPLE_COUNT, F.when(samples.isNotNull(), F.size(samples)).cast("bigint"))
+
+
 def write_dataset(clips: DataFrame, path: str, *, gather: bool = True) -> None:
     """Write clips with one folder per subset.
 
@@ -31,7 +44,10 @@ def write_dataset(clips: DataFrame, path: str, *, gather: bool = True) -> None:
     a third of the clips is still written by many tasks. Without it every task writes a file
     for each subset it meets: that needs no shuffle, and suits clips that are scanned from a
     table laid out by subset.
+
+    Decoded audio gets the number of its samples beside it, so that lengths can be had without reading it.
     """
+    clips = with_sample_count(clips)
     rows = clips.hint("rebalance", "subset") if gather else clips
     rows.write.partitionBy("subset").parquet(path)
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.columns import language_code, one_line, speaker_label
 from voxloom.operators.joins import BROADCAST_ROWS, attach, settle
 from voxloom.operators.numbering import number_clips, speaker_ids
 from voxloom.schemas import MANIFEST_FILES, SPEAKER_FILE
-
+from voxloom.session import scratch_path
 
 LINES_PER_FILE = 1_000_000
 
@@ -40,20 +40,10 @@ def manifest_rows(clips: DataFrame, *, seed: int = 42, ordered_splits: bool = Fa
     )
 
 
-def manifest_lines(
-    clips: DataFrame, layout: str, *, seed: int = 42, ordered_splits: bool = False, speakers: DataFrame | None = None
-) -> DataFrame:
-    """(idx, value): the lines of one manifest. Transcripts are verbatim; '|' is not escaped.
-
-    ``speakers`` are the ``speaker_ids`` of the same clips, for the layout that needs them,
-    if they are at hand.
-    """
-    check_layout(layout)
-    rows = manifest_rows(clips, seed=seed, ordered_splits=ordered_splits)
+def _lines(rows: DataFrame, layout: str, speakers: DataFrame | None) -> DataFrame:
+    """(idx, value) of one layout from ``manifest_rows``; ``speakers`` where the layout needs them."""
     wav = F.concat(F.lit("wavs/"), F.col("uid"), F.lit(".wav"))
     if layout == "vits":
-        if speakers is None:
-            speakers = speaker_ids(clips, seed=seed, ordered_splits=ordered_splits)
         speakers, speaker_rows = settle(speakers)
         rows = attach(rows, speakers, "speaker", speaker_rows, "uid")
         parts = [wav, F.col("sid").cast("string"), "text"]
@@ -66,6 +56,27 @@ def manifest_lines(
     return rows.select("idx", F.concat_ws("|", *parts).alias("value"))
 
 
+def manifest_lines(
+    clips: DataFrame, layout: str, *, seed: int = 42, ordered_splits: bool = False, speakers: DataFrame | None = None
+) -> DataFrame:
+    """(idx, value): the lines of one manifest. Transcripts are verbatim; '|' is not escaped.
+
+    ``speakers`` are the ``speaker_ids`` of the same clips, for the layout that needs them,
+    if they are at hand.
+    """
+    check_layout(layout)
+    if layout == "vits" and speakers is None:
+        speakers = speaker_ids(clips, seed=seed, ordered_splits=ordered_splits)
+    return _lines(manifest_rows(clips, seed=seed, ordered_splits=ordered_splits), layout, speakers)
+
+
+def speakers_of(rows: DataFrame) -> DataFrame:
+    """``speaker_ids`` read from numbered rows: a speaker's first index is known there."""
+    firsts = rows.groupBy("speaker").agg(F.min("idx").alias("_first"))
+    sid = F.row_number().over(Window.orderBy("_first")) - 1  # one row for each speaker
+    return firsts.select("speaker", sid.cast("bigint").alias("sid"))
+
+
 def speaker_lines(speakers: DataFrame) -> DataFrame:
     """(sid, value): speaker id, tab, speaker."""
     return speakers.select("sid", F.concat_ws("\t", F.col("sid").cast("string"), "speaker").alias("value"))
@@ -78,20 +89,34 @@ def _write_in_order(lines: DataFrame, by: str, count: int, path: str) -> None:
     lines.repartitionById(files, file).sortWithinPartitions(by).select("value").write.text(path)
 
 
-def export_manifest(
-    clips: DataFrame, layout: str, path: str, *, seed: int = 42, ordered_splits: bool = False
-) -> str:
-    """Write the manifest of one layout below ``path``/``layout`` and return that folder.
+def export_manifests(
+    clips: DataFrame, layouts: list[str], path: str, *, seed: int = 42, ordered_splits: bool = False
+) -> dict[str, str]:
+    """Write the manifests of several layouts below ``path``/layout and return their folders by layout.
+
+    Clips are scanned, shuffled and numbered once. The numbered rows, which have no audio, are kept in the scratch folder;
+    line count, speaker ids and the lines of every layout are read from them.
 
     Each manifest is a folder of text parts; read in name order they are the file.
     Every layout has a folder of its own, since two of them name their manifest alike.
     """
-    folder = f"{path.rstrip('/')}/{check_layout(layout)}"
-    order = {"seed": seed, "ordered_splits": ordered_splits}
-    speakers, count = settle(speaker_ids(clips, **order)) if layout == "vits" else (None, 0)
-    lines = manifest_lines(clips, layout, speakers=speakers, **order)
-    _write_in_order(lines, "idx", clips.count(), f"{folder}/{MANIFEST_FILES[layout]}")
-    if speakers is not None:
-        count = count if count <= BROADCAST_ROWS else speakers.count()
-        _write_in_order(speaker_lines(speakers), "sid", count, f"{folder}/{SPEAKER_FILE}")
-    return folder
+    folders = {layout: f"{path.rstrip('/')}/{check_layout(layout)}" for layout in layouts}
+    kept = scratch_path(clips.sparkSession, "numbered")
+    numbered = manifest_rows(clips, seed=seed, ordered_splits=ordered_splits)
+    numbered.write.parquet(kept)
+    rows = clips.sparkSession.read.schema(numbered.schema).parquet(kept)
+    count = rows.count()
+    for layout, folder in folders.items():
+        speakers, speaker_count = settle(speakers_of(rows)) if layout == "vits" else (None, 0)
+        _write_in_order(_lines(rows, layout, speakers), "idx", count, f"{folder}/{MANIFEST_FILES[layout]}")
+        if speakers is not None:
+            speaker_count = speaker_count if speaker_count <= BROADCAST_ROWS else speakers.count()
+            _write_in_order(speaker_lines(speakers), "sid", speaker_count, f"{folder}/{SPEAKER_FILE}")
+    return folders
+
+
+def export_manifest(
+    clips: DataFrame, layout: str, path: str, *, seed: int = 42, ordered_splits: bool = False
+) -> str:
+    """``export_manifests`` of one layout; returns its folder."""
+    return export_manifests(clips, [layout], path, seed=seed, ordered_splits=ordered_splits)[layout]
