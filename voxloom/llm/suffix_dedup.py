@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ LENGTH = 50
 KMER = 16
 # Windows in a piece at most, bytes looked at or sorted at once, and text for each bucket.
 RUN, CHUNK, SORTED, BUCKET = 64, 1 << 20, 1 << 21, 12 << 20
+# Text whose pieces a task holds at once.
+PORTION = 16 << 20
 # An anchor is frequent from so many pieces on, or from one of so many anchors of the corpus if that is more.
 FREQUENT, ONE_OF = 20_000, 1_000_000
 
@@ -129,7 +132,7 @@ def _codes(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 EMPTY = np.zeros(0, np.int64)
 _MET = "bucket int, document bigint, anchors binary, documents binary, several binary"
-_REPEATED = "document bigint, codes binary, frequent boolean"
+_REPEATED = "document bigint, code bigint, frequent boolean"
 
 
 def _by_document(documents: np.ndarray, codes: np.ndarray) -> list[tuple[int, bytes]]:
@@ -171,16 +174,18 @@ _SCHEMA = pa.schema(list(zip(_NAMES, [pa.int32(), pa.int64(), pa.binary(), pa.bi
 
 
 def _repeated(table, frequent: int):
-    """Which anchors of a bucket are met in several documents: codes for each document."""
+    """Which anchors of a bucket are met in several documents: a row for each anchor and document."""
     bucket = table.column("bucket")[0].as_py()
-    passed, anchors, documents, counts = [], [], [], []
+    told, codes, anchors, documents, counts = [], [], [], [], []
     for d, a, packed, several in zip(*(table.column(c).to_pylist() for c in _NAMES[1:])):
         if d is not None:
-            passed.append((d, a, False))
+            codes.append(np.frombuffer(a, np.uint64))
+            told.append(np.full(len(codes[-1]), d, np.int64))
         else:
             anchors.append(_summed(a, np.uint32))
             documents.append(_unpacked(packed, np.int64))
             counts.append(_unpacked(several, np.uint8))
+    hot = np.zeros(0, np.uint64)
     if anchors:
         anchor, document, count = (np.concatenate(x) for x in (anchors, documents, counts))
         order = np.argsort(anchor, kind="stable")
@@ -191,11 +196,15 @@ def _repeated(table, frequent: int):
         times = np.add.reduceat(np.exp2(count.astype(float)), begin)
         again = np.repeat(many, np.diff(np.append(begin, len(anchor)))) & (count == 0)
         code = np.uint64(bucket) << np.uint64(32) | anchor.astype(np.uint64)
-        passed += [(d, codes, False) for d, codes in _by_document(document[again], code[again])]
-        if (often := times >= frequent).any():
-            passed.append((None, code[begin][often].tobytes(), True))
-    columns = list(zip(*passed)) or [()] * 3
-    return pa.table({"document": pa.array(columns[0], pa.int64()), "codes": pa.array(columns[1], pa.binary()), "frequent": pa.array(columns[2], pa.bool_())})
+        told.append(document[again])
+        codes.append(code[again])
+        hot = code[begin][times >= frequent]
+    document, code = np.concatenate([EMPTY, *told]), np.concatenate([hot[:0], *codes])
+    return pa.table({
+        "document": pa.array(np.append(document, np.zeros(len(hot), np.int64)), mask=np.arange(len(document) + len(hot)) >= len(document)),
+        "code": np.append(code, hot).view(np.int64),
+        "frequent": np.arange(len(document) + len(hot)) >= len(document),
+    })
 
 
 # --- pieces ------------------------------------------------------------------
@@ -204,14 +213,23 @@ _PIECES = "bucket int, texts binary, lengths binary, anchors binary, documents b
 _COVERS = "document bigint, row bigint, first bigint, after bigint"
 
 
+def _portions(batches):
+    """The rows of the batches with about PORTION bytes of text at a time, as each piece is an object here."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PORTION
+        begin = np.flatnonzero(np.append(True, size[1:] != size[:-1])) if len(size) else []
+        for a, b in zip(begin, np.append(begin[1:], len(size))):
+            yield batch.slice(int(a), int(b - a))
+
+
 def _pieces(batches, buckets: int, often: np.ndarray):
-    """Pieces of each batch by bucket. Of equal pieces the earliest document's goes on; the others
+    """Pieces of each portion by bucket. Of equal pieces the earliest document's goes on; the others
     are covered as they are."""
-    for batch in batches:
-        ids, keys, texts, codes, copies = (c.to_pylist() for c in batch.columns[:5])
+    for batch in _portions(batches):
+        ids, keys, texts, copies = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
         whole = [(d, k, 0, len(t)) for d, k, t, c in zip(ids, keys, texts, copies) if k in c]
         texts = [b"" if k in c else t for k, t, c in zip(keys, texts, copies)]
-        wanted = [np.unique(np.frombuffer(b"".join(c), np.uint64)) for c in codes]
+        wanted = [np.unique(c.values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in batch.column(3)]
         seen: dict[tuple, int] = {}
         earliest: list[int] = []
         anchor_of: list[int] = []
@@ -503,11 +521,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FRE
     met = given.select("document", "text").mapInArrow(lambda it: _meet(it, buckets), _MET)
     repeated = settle(met.groupBy("bucket").applyInArrow(lambda table: _repeated(table, often), _REPEATED), "anchors")
     # At most ONE_OF anchors or so can be as frequent as that.
-    hot = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.codes, np.uint64) for r in repeated.where("frequent").collect())]))
+    hot = np.unique(np.array([r.code for r in repeated.where("frequent").collect()], np.int64).view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    told = repeated.where("not frequent").select("document", "codes", F.lit(None).cast("bigint").alias("copy"))
-    told = told.unionAll(copies.select("document", F.lit(None).cast("binary"), "row"))
-    told = told.groupBy("document").agg(F.collect_list("codes").alias("codes"), F.collect_set("copy").alias("copies"))
+    told = repeated.where("not frequent").select("document", "code", F.lit(None).cast("bigint").alias("copy"))
+    told = told.unionAll(copies.select("document", F.lit(None).cast("bigint"), "row"))
+    told = told.groupBy("document").agg(F.collect_list("code").alias("codes"), F.collect_set("copy").alias("copies"))
     # With the same columns as below, so that texts are shuffled once for both.
     pieces = given.join(told, "document").select("document", "row", "text", "codes", "copies", "unnamed").mapInArrow(
         lambda it: _pieces(it, buckets, shared.value), _PIECES
