@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -359,7 +360,7 @@ def test_languages(spark, docs, rows):
     assert len(odd) == len(rows)
     for r in odd:
         text = next(t for d, t, *_ in rows if d == r.doc_id)
-        assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", text or "")) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in text or "")) and 0 <= r.score <= 1
     assert language_id.identify_held_out(docs.limit(0)).count() == 0
     unknown = language_id.identify_held_out(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unknown} == {"und"}
@@ -407,3 +408,9 @@ def test_toxicity_of_odd_rows(spark, docs, rows):
         found = toxicity.score_held_out(docs, known).collect()
         assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
     assert toxicity.score_held_out(docs.limit(0), labels).count() == 0
+
+
+def test_fractions_and_raised_digits_are_no_letters():
+    for text in ("½ ²", "②", "12_3", "", "№"):
+        assert bool(language_id._LETTER.search(text)) == any(unicodedata.category(c)[0] == "L" for c in text)
+    assert all(language_id._LETTER.search(text) for text in ("½ a", "ª", "語", "ǅ"))

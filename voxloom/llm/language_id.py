@@ -11,11 +11,11 @@ another.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 # Languages the driver may hold counts of, BUCKETS each.
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")  # not a fraction or a raised digit
 _SPACE = np.array([b if chr(b).isalpha() or b > 127 else 32 for b in range(256)], np.uint8)
 
 
@@ -189,4 +189,5 @@ def identify_held_out(docs: DataFrame, parts: int = 3, held: int = 1) -> DataFra
     """``identify`` with codes learned from the documents outside one fold of the ids, plus
     ``held_out``. A null doc_id is in no fold: nothing is learned from it, and it is not held out."""
     codes = train(docs.where(fold(F.col("doc_id"), parts) != held))
-    return identify(docs, codes).withColumn("held_out", F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False)))
+    held_out = F.coalesce(fold(F.col("doc_id"), parts) == held, F.lit(False))
+    return identify(docs, codes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
