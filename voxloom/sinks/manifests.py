@@ -101,22 +101,32 @@ def export_manifests(
     Every layout has a folder of its own, since two of them name their manifest alike.
     """
     folders = {layout: f"{path.rstrip('/')}/{check_layout(layout)}" for layout in layouts}
+    if len(folders) == 1:
+        return {layout: export_manifest(clips, layout, path, seed=seed, ordered_splits=ordered_splits) for layout in folders}
     kept = scratch_path(clips.sparkSession, "numbered")
     numbered = manifest_rows(clips, seed=seed, ordered_splits=ordered_splits)
     numbered.write.parquet(kept)
     rows = clips.sparkSession.read.schema(numbered.schema).parquet(kept)
     count = rows.count()
     for layout, folder in folders.items():
-        speakers, speaker_count = settle(speakers_of(rows)) if layout == "vits" else (None, 0)
-        _write_in_order(_lines(rows, layout, speakers), "idx", count, f"{folder}/{MANIFEST_FILES[layout]}")
-        if speakers is not None:
-            speaker_count = speaker_count if speaker_count <= BROADCAST_ROWS else speakers.count()
-            _write_in_order(speaker_lines(speakers), "sid", speaker_count, f"{folder}/{SPEAKER_FILE}")
+        speakers = settle(speakers_of(rows)) if layout == "vits" else None
+        _write_manifest(_lines(rows, layout, speakers and speakers[0]), count, layout, folder, speakers)
     return folders
 
 
+def _write_manifest(lines: DataFrame, count: int, layout: str, folder: str, speakers: tuple[DataFrame, int] | None) -> None:
+    _write_in_order(lines, "idx", count, f"{folder}/{MANIFEST_FILES[layout]}")
+    if speakers is not None:
+        table, known = speakers
+        _write_in_order(speaker_lines(table), "sid", known if known <= BROADCAST_ROWS else table.count(), f"{folder}/{SPEAKER_FILE}")
+
+
 def export_manifest(
     clips: DataFrame, layout: str, path: str, *, seed: int = 42, ordered_splits: bool = False
 ) -> str:
-    """``export_manifests`` of one layout; returns its folder."""
-    return export_manifests(clips, [layout], path, seed=seed, ordered_splits=ordered_splits)[layout]
+    """Write the manifest of one layout as ``export_manifests`` does, straight from the clips; returns its folder."""
+    folder, order = f"{path.rstrip('/')}/{check_layout(layout)}", {"seed": seed, "ordered_splits": ordered_splits}
+    speakers = settle(speaker_ids(clips, **order)) if layout == "vits" else None
+    lines = manifest_lines(clips, layout, speakers=speakers and speakers[0], **order)
+    _write_manifest(lines, clips.count(), layout, folder, speakers)
+    return folder
