@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from voxloom.session import scratch_path
 
@@ -27,6 +28,23 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _holds_map(kind.elementType)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns. Maps, which Spark does not hash, go by their JSON."""
+    columns = zip(columns_of(docs), docs.schema.fields)
+    return F.xxhash64(*(F.to_json(F.struct(c.alias("c"))) if _holds_map(f.dataType) else c for c, f in columns))
+
+
 def hashed_share(key: Column, rows: int, total: int) -> Column:
     """Whether a row belongs to a fixed sample of about ``rows`` of ``total``: by a hash of ``key``, so without a sort."""
     share = min(1.0, rows / max(total, 1))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settle
+from voxloom.llm.common import columns_of, row_hash, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Sets of sources the driver may hold.
@@ -53,48 +53,82 @@ def min_cost_flow(capacity: dict, quotas: dict, repeats: int = 2) -> dict:
     """Tokens from each pattern to each source: {(pattern, source): tokens}.
 
     ``capacity`` maps a pattern (a tuple of sources) to its tokens, which are on offer ``repeats``
-    times at a cost of 0, 1, 2 ... a token. As much as possible of the quotas is met, at the
-    least cost: shortest augmenting paths, each found anew by costs in the residual network.
+    times at a cost of 0, 1, 2 ... a token. As much as possible of the quotas is met, at the least
+    cost. Only the offers cost, and a path that adds flow never takes an offer back, so the flow is
+    made as large as it can be with the offers of one cost after the other: for each, shortest
+    paths by their number of arcs, all those of one length at a time.
     """
-    arcs: list[list] = []  # [to, left, cost]; the arc back is at index ^ 1
-    out: dict = {}
-
-    def arc(a, b, left, cost):
-        for x, y, c, k in ((a, b, left, cost), (b, a, 0, -cost)):
-            out.setdefault(x, []).append(len(arcs))
-            arcs.append([y, c, k])
-
-    links = {}
+    to: list[int] = []
+    left: list[int] = []
+    out: list[list[int]] = [[], []]  # arcs by node; the arc back is at index ^ 1
+    start, end = 0, 1
+
+    def node() -> int:
+        out.append([])
+        return len(out) - 1
+
+    def arc(a: int, b: int, most: int) -> int:
+        to.extend((b, a))
+        left.extend((most, 0))
+        out[a].append(len(to) - 2)
+        out[b].append(len(to) - 1)
+        return len(to) - 2
+
+    sources = {s: node() for s in sorted(quotas, key=repr)}
+    offers, links = [], {}
     for p, tokens in sorted(capacity.items(), key=lambda x: repr(x[0])):
-        for r in range(repeats):
-            arc("from", ("p", p), tokens, r)
+        at = node()
+        offers.append((arc(start, at, 0), tokens))
         for s in p:
-            if s in quotas:
-                links[p, s] = len(arcs)
-                arc(("p", p), ("s", s), repeats * tokens, 0)
-    for s, quota in sorted(quotas.items(), key=lambda x: repr(x[0])):
-        arc(("s", s), "to", quota, 0)
+            if s in sources:
+                links[p, s] = arc(at, sources[s], repeats * tokens)
+    for s, at in sources.items():
+        arc(at, end, quotas[s])
+    for _ in range(repeats):
+        for i, tokens in offers:
+            left[i] += tokens
+        while (level := _levels(to, left, out, start))[end] >= 0:
+            _fill(to, left, out, level, start, end)
+    return {link: left[i ^ 1] for link, i in links.items() if left[i ^ 1]}
+
+
+def _levels(to: list, left: list, out: list, start: int) -> list[int]:
+    """How many arcs each node is from the start, -1 where none with room lead."""
+    level = [-1] * len(out)
+    level[start], queue = 0, deque([start])
+    while queue:
+        x = queue.popleft()
+        for i in out[x]:
+            if left[i] and level[to[i]] < 0:
+                level[to[i]] = level[x] + 1
+                queue.append(to[i])
+    return level
+
+
+def _fill(to: list, left: list, out: list, level: list, start: int, end: int) -> None:
+    """Adds flow along paths that lead one level on with each arc, until each has a full arc."""
+    tried, path, x = [0] * len(out), [], start
     while True:
-        cost, via, queue = {"from": 0}, {}, deque(["from"])
-        while queue:
-            x = queue.popleft()
-            for i in out.get(x, ()):
-                y, left, k = arcs[i]
-                if left and cost[x] + k < cost.get(y, math.inf):
-                    cost[y], via[y] = cost[x] + k, i
-                    if y not in queue:
-                        queue.append(y)
-        if "to" not in via:
-            break
-        path, y = [], "to"
-        while y != "from":
-            path.append(via[y])
-            y = arcs[via[y] ^ 1][0]
-        amount = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= amount
-            arcs[i ^ 1][1] += amount
-    return {link: arcs[i ^ 1][1] for link, i in links.items() if arcs[i ^ 1][1]}
+        if x == end:
+            amount = min(left[i] for i in path)
+            for i in path:
+                left[i] -= amount
+                left[i ^ 1] += amount
+            full = next(n for n, i in enumerate(path) if not left[i])
+            x = to[path[full] ^ 1]
+            del path[full:]
+        elif tried[x] < len(out[x]):
+            i = out[x][tried[x]]
+            if left[i] and level[to[i]] == level[x] + 1:
+                path.append(i)
+                x = to[i]
+            else:
+                tried[x] += 1
+        elif path:
+            x = to[path.pop() ^ 1]
+            tried[x] += 1
+        else:
+            return
 
 
 @dataclass
@@ -119,7 +153,7 @@ def _place(docs: DataFrame, size: Column, seed: int) -> Column:
     in all columns have one place."""
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 1)
     doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    more = F.xxhash64(*docs.columns)
+    more = row_hash(docs)
     return F.struct(key.alias("key"), doc_id.alias("id"), more.alias("more"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"))
 
 
@@ -190,9 +224,11 @@ def mix(
 
 def apply_mix(docs: DataFrame, members: Column, size: Column, ends: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` as often as a mix takes them. ``ends`` has a row for each set of sources
-    (at most MAX_PATTERNS); texts are filtered where they are read and not shuffled."""
+    (at most MAX_PATTERNS); texts are filtered where they are read and not shuffled. Rows with a null
+    doc_id or text are taken like others, rows equal in all columns together as often as the mix takes
+    them; an empty table gives an empty result."""
     held = docs.select(
-        F.struct(*docs.columns).alias("row"), _members(members).alias("members"), _place(docs, size, seed).alias("place")
+        F.struct(*columns_of(docs)).alias("row"), _members(members).alias("members"), _place(docs, size, seed).alias("place")
     ).join(F.broadcast(ends), "members")
     copies = F.when(F.col("place") < F.col("end.place"), F.col("most")).otherwise(F.col("whole"))
     at_end = F.coalesce(F.col("place") == F.col("end.place"), F.lit(False))
@@ -224,6 +260,7 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, **options) -> DataFrame:
-    """``docs`` as ``mix_by_source`` takes them: documents it leaves out go, others may come twice."""
+    """``docs`` as ``mix_by_source`` takes them: documents it leaves out go, others may come twice. Nulls,
+    repeated rows and an empty table are as in ``apply_mix``."""
     ends = settle(mix_by_source(docs, seed=seed, **options).ends, "ends")
     return apply_mix(docs, F.array("source"), word_count(), ends, seed)

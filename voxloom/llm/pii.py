@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import text_of, values
+from voxloom.llm.common import columns_of, text_of, values
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -115,7 +115,6 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def candidates(text: str, base: dict) -> list[tuple[str, int, int]]:
     """Spans of the wider patterns, at most one at each place, and the base spans."""
     found = [(k, *s) for k in KINDS for s in base[k]]
-    taken = sorted((a, b) for _, a, b in found)
     wide = []
     if ("(" in text or "[" in text) and _MARK.search(text):
         wide += [("email", *m.span()) for m in _WRITTEN.finditer(text)]
@@ -124,10 +123,14 @@ def candidates(text: str, base: dict) -> list[tuple[str, int, int]]:
             lo = max(0, start - 1)  # an opening bracket belongs to it
             for kind, pattern in (("ip", _QUADS), ("card", _FOURS), ("phone", _PLUS), ("phone", _GROUPS)):
                 wide += [(kind, *m.span()) for m in pattern.finditer(text, lo, end)]
-    for kind, a, b in wide:
-        if not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
-            found.append((kind, a, b))
+    if wide:
+        taken = bytearray(len(text))  # a mark for each place within a span, so that many spans cost no more each
+        for _, a, b in found:
+            taken[a:b] = b"\1" * (b - a)
+        for kind, a, b in wide:
+            if taken.find(1, a, b) < 0:
+                taken[a:b] = b"\1" * (b - a)
+                found.append((kind, a, b))
     return found
 
 
@@ -293,15 +296,24 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: SpanModel | None = None, column: str = "text") -> DataFrame:
-    """``docs`` with tags in place of all spans in ``column``; null stays null."""
+    """``docs`` with tags in place of all spans in ``column``.
+
+    Null stays null, empty stays empty; rows stay as they are otherwise, repeated ones and those
+    with a null doc_id too, whatever other columns there are. An empty table gives an empty result.
+    """
     model = model or train(docs)
 
-    given = docs.withColumn(column, F.col(column).cast("string"))
+    # Rows travel as one struct: their columns may have any name.
+    columns = [F.col(column).cast("string").alias(column) if n == column else c for c, n in zip(columns_of(docs), docs.columns)]
+    given = docs.select(F.struct(*columns).alias("row"))
 
     def run(batches):
         for batch in batches:
-            i = batch.schema.get_field_index(column)
-            texts = pa.array([t if t is None else redacted(t, spans_of(t, model)[1]) for t in values(batch.column(i))], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:i], texts, *batch.columns[i + 1 :]], names=batch.schema.names)
-
-    return given.mapInArrow(run, given.schema)
+            rows = batch.column(0)
+            fields, i = list(rows.type), rows.type.get_field_index(column)
+            parts = rows.flatten()
+            parts[i] = pa.array([t if t is None else redacted(t, spans_of(t, model)[1]) for t in values(parts[i])], pa.string())
+            fields[i] = pa.field(column, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(parts, fields=fields)], names=["row"])
+
+    return given.mapInArrow(run, given.schema).select("row.*")

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from voxloom.llm.common import settle, text_bytes, values
+from voxloom.llm.common import columns_of, settle, text_bytes, values
 
 CLASSES = 64
 ORDER = 3
@@ -268,10 +269,10 @@ def measures(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *batch.columns[3:]], names=names)
 
-    row = [F.struct(*docs.columns).alias("row")] * carry
+    row = [F.struct(*columns_of(docs)).alias("row")] * carry
     given = docs.select(F.col("doc_id").cast("bigint"), language().alias("language"), text_bytes().alias("bytes"), *row)
-    schema = f"doc_id bigint, language string, {MEASURES}" + f", row {docs.schema.simpleString()}" * carry
-    return given.mapInArrow(run, schema)
+    schema = StructType.fromDDL(f"doc_id bigint, language string, {MEASURES}")
+    return given.mapInArrow(run, schema.add("row", docs.schema) if carry else schema)
 
 
 def base_failed() -> F.Column:
@@ -314,5 +315,6 @@ def judge(docs: DataFrame, carry: bool = False, width: float = BAND_WIDTH) -> Da
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns: repeated rows as often as they come,
+    rows with a null doc_id like others. Null and empty texts go; an empty table gives an empty result."""
     return judge(docs, carry=True).where("kept").select("row.*")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import components, settle, text_bytes, values
+from voxloom.llm.common import columns_of, components, settle, text_bytes, values
 
 SEED = 42
 # Fingerprints of one key compared in a task at once.
@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest doc_id, where null comes after all
-    others, then of the smallest fingerprint, then by hashes of the text and of the other columns."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
+    others, then of the smallest fingerprint, then by hashes of the text and of the other columns. Null and
+    empty texts are one component; of rows equal in all columns one stays. An empty table gives an empty result."""
+    others = [c for c, name in zip(columns_of(docs), docs.columns) if name != "text"]
     marks = {
         "text_hash": F.xxhash64(text_bytes()), "text_check": F.xxhash64(F.lit(1), text_bytes()),
         "others_hash": F.xxhash64(F.to_json(F.struct(F.col("text").isNull().alias("no_text"), F.struct(*others).alias("others")))),
@@ -244,7 +245,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     keys = ["unnamed", "id", *marks]
     id_ = F.col("doc_id").cast("bigint")
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), id_.isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"),
+        F.struct(*columns_of(docs)).alias("row"), id_.isNull().alias("unnamed"), F.coalesce(id_, F.lit(0)).alias("id"),
         *(c.alias(n) for n, c in marks.items()),
     )
     # Only rows equal in all columns share these keys.
