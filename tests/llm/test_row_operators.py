@@ -340,6 +340,74 @@ def test_strange_texts_are_rejected(spark):
     assert len(kept) >= 290
 
 
+def sentences(rng, n, words):
+    out = []
+    while sum(len(s.split()) for s in out) < n:
+        out.append(made(rng, rng.randint(5, 14), words).capitalize() + rng.choice([".", ".", "?"]))
+    return " ".join(out)
+
+
+def test_shuffled_words_are_rejected(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = [(i, sentences(rng, rng.randint(80, 300), words), "en") for i in range(300)]
+    mixed = [(1000 + i, " ".join(rng.sample(t.split(), len(t.split()))), "en") for i, t, _ in rows[:60]]
+    table = spark.createDataFrame(rows + mixed, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(table).where("kept").collect()}
+    assert sum(i >= 1000 for i in kept) <= 6
+    assert sum(i < 1000 for i in kept) >= 290
+
+
+def plain_order_gain(found, model):
+    """By the definition: every pair of words for the mean in random order."""
+    runs = re.findall("[^ab]+", "".join(chr(97 + c) for c in found))
+    p = model.reshape(64, 64, 64)
+    cost = lambda u, v: float(p[ord(u[-1]) - 97, 1, ord(v[0]) - 97])
+    there = [cost(u, v) for u, v in zip(runs, runs[1:])]
+    every = [cost(u, v) for u in runs[:-1] for v in runs[1:]]
+    return sum(there) / len(there) - sum(every) / len(every) if there else 0.0
+
+
+@pytest.mark.parametrize("text", ["", "one", "  two words ", "A b. C d\n\ne f, G", "x " * 50, "é ü. Ñ 1 2 % $"])
+def test_order_gain(text):
+    models = [np.random.default_rng(k).normal(size=64**3).astype(np.float32) for k in (1, 2)]
+    found = quality.classes(text.encode())
+    assert quality.order_gain(found, models) == pytest.approx(max(plain_order_gain(found, m) for m in models), abs=1e-6)
+
+
+def test_bands_do_not_follow_junk(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = [(i, sentences(rng, rng.randint(80, 300), words), "en") for i in range(200)]
+    rows += [(1000 + i, "".join(rng.choice("#%$@!qxzQXZ0123456789 ") for _ in range(900)), "en") for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(table).where("kept").collect()}
+    assert not any(i >= 1000 for i in kept) and len(kept) >= 190
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 9.0], [0.0, 5.0, 5.004, 5.01, 9.0, 40.0], np.random.default_rng(3).normal(9, 1, 501).tolist()])
+def test_closest_half(spark, values):
+    table = spark.createDataFrame([("en", 99, 0, v, v) for v in values], "language string, n_words bigint, n_repeat_words bigint, entropy double, word_order double")
+    found = quality.bands(table, width=1.0, least=0.0).collect()[0]
+    bins = sorted(math.floor(v / quality.BIN) for v in values)
+    half = (len(bins) + 1) // 2
+    shortest = min(bins[i + half - 1] - bins[i] for i in range(len(bins) - half + 1))
+    assert found.below + found.above == pytest.approx(shortest * quality.BIN)
+    low, high = found["median"] - found.below, found["median"] + found.above
+    assert sum(low - quality.BIN <= v <= high + quality.BIN for v in values) >= half
+
+
+def test_any_number_of_languages(spark):
+    rng = random.Random(12)
+    rows = [(i, made(rng, 60), f"l{i % 230}") for i in range(460)] + [(1000 + i, made(rng, 80), "en") for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(2)
+    found = quality.judge(table).collect()
+    assert sorted(r.doc_id for r in found) == sorted(r[0] for r in rows)
+    assert all(r.kept for r in found if r.doc_id >= 1000) and {r.language for r in found} == {r[2] for r in rows}
+    own = {r.language for r in quality.ngram_counts(table).select("language").distinct().collect()}
+    assert len(own) == quality.MAX_LANGUAGES + 1 and "en" in own
+
+
 # --- languages and toxicity --------------------------------------------------
 
 def test_codewords_differ():

@@ -5,7 +5,9 @@ The language model is a modified Kneser-Ney model of character classes, one for
 weights follow from that table by grouping. Characters are mapped to 64 classes, so a model has
 at most 64 ** ORDER n-grams, which bounds what is broadcast: sorted arrays of n-gram codes with
 their log probabilities. Documents are scored by it, and those whose perplexity is outside their
-language's band are rejected. The bands come from the perplexities of all documents.
+language's band are rejected. A second lower band is of what the perplexity gains by the order of
+the words, against that of the same words in random order. The bands come from the half of a
+language's documents that lie closest together, so junk moves them little.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,12 +25,16 @@ from voxloom.llm.common import columns_of, settle, text_bytes, values
 
 CLASSES = 64
 ORDER = 3
-# Languages of which models are made; a model is below 64 ** ORDER * 12 bytes (3 MB).
+# Languages with a model of their own, those with most text; a model is below 64 ** ORDER * 12 bytes (3 MB).
+# All others go by the model of all languages together. Each language has its own bands.
 MAX_LANGUAGES = 200
-# Bands reach this many quartile distances from the median of a language's log perplexities, and at least so
-# far. They are wider for short texts, by the root of 1 + SHORT / words.
-BAND_WIDTH, BAND_LEAST, SHORT = 7.0, 0.5, 100
-BIN = 0.01
+# Bands of log perplexity reach so many times as far from the centre as the closest half of the documents does,
+# and at least so far; likewise the band of word order. They are wider for short texts, by the root of 1 + SHORT / words.
+BAND_WIDTH, BAND_LEAST, SHORT = 6.0, 0.5, 100
+ORDER_WIDTH, ORDER_LEAST = 4.0, 0.2
+BIN, BINS = 0.01, 10_000
+# Languages whose counts a task holds at once.
+COUNTED_AT_ONCE = 32
 # The model of all languages together, and the characters of which each block goes by the better of two models.
 POOLED, BLOCK = "\x01", 64
 SYMBOLS = b"#*$%&|<>"
@@ -77,14 +84,25 @@ def language() -> F.Column:
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(language, code, n): counts of the n-grams of all texts, added up in each task first; and
-    those of all languages together under POOLED."""
+    """(language, code, n): counts of the n-grams of all texts, added up in each task first, for the
+    MAX_LANGUAGES languages with most of them; and those of all languages together under POOLED."""
+
+    def packed(counts):
+        for lang, n in counts.items():
+            code = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n[code])],
+                names=["language", "code", "n"],
+            )
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
                 if lang not in counts:
+                    if len(counts) == COUNTED_AT_ONCE:
+                        yield from packed(counts)
+                        counts.clear()
                     counts[lang] = np.zeros(CLASSES**ORDER, np.int64)
                 found = codes(classes(text))
                 if len(found) > 20_000:
@@ -92,16 +110,13 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 else:
                     code, n = np.unique(found, return_counts=True)
                     counts[lang][code] += n
-        for lang, n in counts.items():
-            code = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(n[code])],
-                names=["language", "code", "n"],
-            )
+        yield from packed(counts)
 
     found = docs.select(language().alias("language"), text_bytes().alias("text")).mapInArrow(run, "language string, code int, n bigint")
     counts = settle(found.groupBy("language", "code").agg(F.sum("n").alias("n")), "ngrams")
-    return counts.unionAll(counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("language"), "code", "n"))
+    most = counts.groupBy("language").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES)
+    own = counts.where(F.col("language").isin([r.language for r in most.collect()]))
+    return own.unionAll(counts.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("language"), "code", "n"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -156,9 +171,7 @@ def sorted_arrays(model: DataFrame) -> dict:
 
     At most 64 ** ORDER rows for each of MAX_LANGUAGES languages come to the driver.
     """
-    names = [r[0] for r in model.where("length = 0").select("language").distinct().limit(MAX_LANGUAGES + 2).collect()]
-    if len(names) > MAX_LANGUAGES + 1:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = [r[0] for r in model.where("length = 0").select("language").distinct().collect()]
     out: dict = {name: {} for name in names}
     table = model.toArrow()
     lang = np.array(table.column("language").to_pylist(), object)
@@ -246,12 +259,25 @@ def nats(found: np.ndarray, own: np.ndarray, pooled: np.ndarray) -> float:
     return -float(np.maximum(*(np.add.reduceat(m[found], starts, dtype=np.float64) for m in (own, pooled))).sum())
 
 
-MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, entropy double"
+def order_gain(found: np.ndarray, models: list[np.ndarray]) -> float:
+    """What the order of a text's words gains by the better model: the mean log probability of a word's first class
+    after the last class of the word before it, above its mean over all pairs of the text's words."""
+    blank = found <= 1
+    last = found[:-1][~blank[:-1] & blank[1:]][:-1]
+    first = found[1:][blank[:-1] & ~blank[1:]][1:]
+    if not len(last):
+        return 0.0
+    of_last, of_first = (np.bincount(x, minlength=CLASSES) / len(x) for x in (last, first))
+    pairs = [m.reshape(CLASSES, CLASSES, CLASSES)[:, 1].astype(np.float64) for m in models]  # after a blank
+    return max(float(p[last, first].mean() - of_last @ p @ of_first) for p in pairs)
+
+
+MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, entropy double, word_order double"
 
 
 def measures(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
-    """doc_id, language and the MEASURES of every row: the counts of the base rules and the log
-    perplexity. With ``carry``, all its columns in a struct ``row``."""
+    """doc_id, language and the MEASURES of every row: the counts of the base rules, the log
+    perplexity and the gain by word order. With ``carry``, all its columns in a struct ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "language", *[m.split()[0] for m in MEASURES.split(", ")], *["row"] * carry]
     known: dict = {}
@@ -260,13 +286,15 @@ def measures(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column(1).to_pylist(), values(batch.column(2))):
-                for name in (lang, POOLED):
+                models = [name if name in shared.value else POOLED for name in (lang, POOLED)]
+                for name in models:
                     if name not in known:
                         known[name] = log_probabilities(shared.value[name])
+                models = [known[name] for name in models]
                 counts, found = _counts(text), classes(text)
-                rows.append((*counts, nats(codes(found), known[lang], known[POOLED]) / max(spoken(found), 1)))
-            columns = list(zip(*rows)) or [()] * 6
-            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()])]
+                rows.append((*counts, nats(codes(found), *models) / max(spoken(found), 1), order_gain(found, models)))
+            columns = list(zip(*rows)) or [()] * 7
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()] * 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *batch.columns[3:]], names=names)
 
     row = [F.struct(*columns_of(docs)).alias("row")] * carry
@@ -279,39 +307,65 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
+def _closest_half(bins: pd.DataFrame) -> pd.DataFrame:
+    """Centre and reach of the shortest stretch of bins that holds half of the documents; of several, the first."""
+    bins = bins.sort_values("bin")
+    at, n = bins["bin"].to_numpy(), bins["n"].to_numpy()
+    upto = n.cumsum()
+    end = np.searchsorted(upto, upto - n + (upto[-1] + 1) // 2)
+    starts = np.flatnonzero(end < len(at))
+    i = starts[np.argmin(at[end[starts]] - at[starts])]
+    j = end[i]
+    middle = at[np.searchsorted(upto, upto[i] - n[i] + (upto[j] - upto[i] + n[i]) / 2)]
+    found = [(middle + 0.5) * BIN, (middle - at[i]) * BIN, (at[j] - middle) * BIN]
+    return pd.DataFrame([[bins["language"].iloc[0], bins["measure"].iloc[0], *found]], columns=["language", "measure", "centre", "below", "above"])
+
+
 def bands(measured: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
-    """(language, median, below, above) of the log perplexity of a word, from the quartiles of all documents that
-    pass the base rules. Exact to a bin of BIN; there are few bins, whatever the number of documents."""
-    bins = measured.where(~base_failed()).groupBy("language", F.floor(F.col("entropy") / BIN).alias("bin")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("language").orderBy("bin"))
-    total = F.sum("n").over(Window.partitionBy("language"))
-    bins = bins.select("language", "bin", upto.alias("upto"), total.alias("total"))
-    quartile = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) * BIN).alias(f"q{int(100 * q)}")
-    q = bins.groupBy("language").agg(quartile(0.25), quartile(0.5), quartile(0.75))
-    return q.select(
-        "language", F.col("q50").alias("median"),
-        F.greatest(width * (F.col("q50") - F.col("q25")), F.lit(least)).alias("below"),
-        F.greatest(width * (F.col("q75") - F.col("q50")), F.lit(least)).alias("above"),
+    """(language, median, below, above, order_median, order_below): centre and reach of the bands of log perplexity
+    and word order, from all documents that pass the base rules. Exact to a bin of BIN; a language has at most
+    2 * BINS bins, whatever the number of documents."""
+    of = lambda m: F.struct(F.lit(m).alias("measure"), F.floor(F.least(F.greatest(m, F.lit(-BINS * BIN / 2)), F.lit(BINS * BIN / 2)) / BIN).alias("bin"))
+    both = measured.where(~base_failed()).select("language", F.explode(F.array(of("entropy"), of("word_order"))).alias("b"))
+    bins = both.groupBy("language", F.col("b.measure").alias("measure"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("n"))
+    found = bins.groupBy("language", "measure").applyInPandas(
+        _closest_half, "language string, measure string, centre double, below double, above double"
+    )
+    one = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    return found.groupBy("language").agg(
+        one("entropy", "centre").alias("median"),
+        F.greatest(width * one("entropy", "below"), F.lit(least)).alias("below"),
+        F.greatest(width * one("entropy", "above"), F.lit(least)).alias("above"),
+        one("word_order", "centre").alias("order_median"),
+        F.greatest(ORDER_WIDTH * one("word_order", "below"), F.lit(ORDER_LEAST)).alias("order_below"),
     )
 
 
 def judge(docs: DataFrame, carry: bool = False, width: float = BAND_WIDTH) -> DataFrame:
-    """Counts of the base rules, perplexity, the language's band and ``kept`` for every row; with
-    ``carry``, also the row itself in a struct ``row``.
+    """Counts of the base rules, ``kept``, perplexity, gain by word order and the language's bands for
+    every row; with ``carry``, also the row itself in a struct ``row``.
 
-    Kept rows pass the base rules and have a perplexity within the band. Null texts count as empty
-    (no words, rejected); a null language is a language of its own; repeated rows and rows with a
-    null doc_id are judged like others. An empty table gives an empty result.
+    Kept rows pass the base rules and have a perplexity and a gain within the bands. Null texts count
+    as empty (no words, rejected); a null language is a language of its own; languages beyond the
+    MAX_LANGUAGES with most text go by the model of all together, each with its own bands; repeated
+    rows and rows with a null doc_id are judged like others. An empty table gives an empty result.
     """
     model = sorted_arrays(settle(kneser_ney(ngram_counts(docs)), "model"))
     measured = settle(measures(docs, model), "measured")
-    found = settle(bands(measured, width), "bands")  # a row for each language, of which there are at most MAX_LANGUAGES
+    found = settle(bands(measured, width), "bands")
     rows = measures(docs, model, True) if carry else measured
     short = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
-    inside = (F.col("entropy") >= F.col("median") - short * F.col("below")) & (F.col("entropy") <= F.col("median") + short * F.col("above"))
-    return rows.join(F.broadcast(found), "language", "left").withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    ).withColumn("perplexity", F.exp("entropy"))
+    inside = (
+        (F.col("entropy") >= F.col("median") - short * F.col("below")) & (F.col("entropy") <= F.col("median") + short * F.col("above"))
+        & (F.col("word_order") >= F.col("order_median") - short * F.col("order_below"))
+    )
+    joined = rows.join(found, "language", "left").withColumn("base_failed", base_failed())
+    return joined.select(
+        "doc_id", *[m.split()[0] for m in MEASURES.split(", ")][:5], "base_failed",
+        (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
+        "entropy", F.exp("entropy").alias("perplexity"), "median", "below", "above", "word_order", "order_median", "order_below",
+        "language", *["row"] * carry,
+    )
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
