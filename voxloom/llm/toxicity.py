@@ -176,4 +176,5 @@ def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``score`` of all rows by what the labels outside one fold of the ids say, plus ``held_out``.
     A null doc_id is in no fold."""
     scored = score(docs, train(docs, labels))
-    return scored.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
