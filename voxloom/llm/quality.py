@@ -6,12 +6,15 @@ weights follow from that table by grouping. Characters are mapped to 64 classes,
 at most 64 ** ORDER n-grams, which bounds what is broadcast: sorted arrays of n-gram codes with
 their log probabilities. Documents are scored by it, and those whose perplexity is outside their
 language's band are rejected. A second lower band is of what the perplexity gains by the order of
-the words, against that of the same words in random order. The bands come from the half of a
-language's documents that lie closest together, so junk moves them little.
+the words, against that of the same words in random order. A second upper band is of the perplexity
+by word pairs (``word_model``), whose n-grams grow with the corpus and stay spread over tasks. It has
+no lower band: low values there are those of copies, which are not junk. The bands come from the half
+of a language's documents that lie closest together, so junk moves them little.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxloom.llm.common import columns_of, settle, text_bytes, values
+from voxloom.llm.word_model import word_entropy
 
 CLASSES = 64
 ORDER = 3
@@ -32,6 +36,7 @@ MAX_LANGUAGES = 200
 # and at least so far; likewise the band of word order. They are wider for short texts, by the root of 1 + SHORT / words.
 BAND_WIDTH, BAND_LEAST, SHORT = 6.0, 0.5, 100
 ORDER_WIDTH, ORDER_LEAST = 4.0, 0.2
+WORD_WIDTH, WORD_LEAST = 4.0, 0.5
 BIN, BINS = 0.01, 10_000
 # Languages whose counts a task holds at once.
 COUNTED_AT_ONCE = 32
@@ -272,12 +277,12 @@ def order_gain(found: np.ndarray, models: list[np.ndarray]) -> float:
     return max(float(p[last, first].mean() - of_last @ p @ of_first) for p in pairs)
 
 
-MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, entropy double, word_order double"
+MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, entropy double, word_order double, digest string"
 
 
 def measures(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
     """doc_id, language and the MEASURES of every row: the counts of the base rules, the log
-    perplexity and the gain by word order. With ``carry``, all its columns in a struct ``row``."""
+    perplexity, the gain by word order and the text's MD5. With ``carry``, all its columns in a struct ``row``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "language", *[m.split()[0] for m in MEASURES.split(", ")], *["row"] * carry]
     known: dict = {}
@@ -292,9 +297,9 @@ def measures(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
                         known[name] = log_probabilities(shared.value[name])
                 models = [known[name] for name in models]
                 counts, found = _counts(text), classes(text)
-                rows.append((*counts, nats(codes(found), *models) / max(spoken(found), 1), order_gain(found, models)))
-            columns = list(zip(*rows)) or [()] * 7
-            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()] * 2)]
+                rows.append((*counts, nats(codes(found), *models) / max(spoken(found), 1), order_gain(found, models), hashlib.md5(text).hexdigest()))
+            columns = list(zip(*rows)) or [()] * 8
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.string()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *batch.columns[3:]], names=names)
 
     row = [F.struct(*columns_of(docs)).alias("row")] * carry
@@ -321,18 +326,22 @@ def _closest_half(bins: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([[bins["language"].iloc[0], bins["measure"].iloc[0], *found]], columns=["language", "measure", "centre", "below", "above"])
 
 
-def bands(measured: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
-    """(language, median, below, above, order_median, order_below): centre and reach of the bands of log perplexity
-    and word order, from all documents that pass the base rules. Exact to a bin of BIN; a language has at most
-    2 * BINS bins, whatever the number of documents."""
+def closest_halves(measured: DataFrame, *names: str) -> DataFrame:
+    """(language, measure, centre, below, above) of some measures, from all documents that pass the base rules. Exact
+    to a bin of BIN; a language has at most BINS bins for each measure, whatever the number of documents."""
     of = lambda m: F.struct(F.lit(m).alias("measure"), F.floor(F.least(F.greatest(m, F.lit(-BINS * BIN / 2)), F.lit(BINS * BIN / 2)) / BIN).alias("bin"))
-    both = measured.where(~base_failed()).select("language", F.explode(F.array(of("entropy"), of("word_order"))).alias("b"))
-    bins = both.groupBy("language", F.col("b.measure").alias("measure"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("n"))
-    found = bins.groupBy("language", "measure").applyInPandas(
+    each = measured.where(~base_failed()).select("language", F.explode(F.array(*map(of, names))).alias("b"))
+    bins = each.groupBy("language", F.col("b.measure").alias("measure"), F.col("b.bin").alias("bin")).agg(F.count("*").alias("n"))
+    return bins.groupBy("language", "measure").applyInPandas(
         _closest_half, "language string, measure string, centre double, below double, above double"
     )
+
+
+def bands(measured: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LEAST) -> DataFrame:
+    """(language, median, below, above, order_median, order_below): centre and reach of the bands of log perplexity
+    and word order."""
     one = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
-    return found.groupBy("language").agg(
+    return closest_halves(measured, "entropy", "word_order").groupBy("language").agg(
         one("entropy", "centre").alias("median"),
         F.greatest(width * one("entropy", "below"), F.lit(least)).alias("below"),
         F.greatest(width * one("entropy", "above"), F.lit(least)).alias("above"),
@@ -341,30 +350,48 @@ def bands(measured: DataFrame, width: float = BAND_WIDTH, least: float = BAND_LE
     )
 
 
+def word_bands(measured: DataFrame) -> DataFrame:
+    """(language, word_median, word_above): centre and upper reach of the band of log perplexity by word pairs."""
+    return closest_halves(measured, "word_entropy").select(
+        "language", F.col("centre").alias("word_median"), F.greatest(WORD_WIDTH * F.col("above"), F.lit(WORD_LEAST)).alias("word_above")
+    )
+
+
+def shortness() -> F.Column:
+    """How much wider bands are for short texts."""
+    return F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
+
+
 def judge(docs: DataFrame, carry: bool = False, width: float = BAND_WIDTH) -> DataFrame:
-    """Counts of the base rules, ``kept``, perplexity, gain by word order and the language's bands for
-    every row; with ``carry``, also the row itself in a struct ``row``.
+    """Counts of the base rules, ``kept``, perplexity by classes and by word pairs, gain by word order and the
+    language's bands for every row. With ``carry``, also the row itself in a struct ``row``, but no perplexity by
+    word pairs and no rows that it rejects.
 
-    Kept rows pass the base rules and have a perplexity and a gain within the bands. Null texts count
+    Kept rows pass the base rules and have perplexities and a gain within the bands. Null texts count
     as empty (no words, rejected); a null language is a language of its own; languages beyond the
     MAX_LANGUAGES with most text go by the model of all together, each with its own bands; repeated
     rows and rows with a null doc_id are judged like others. An empty table gives an empty result.
     """
     model = sorted_arrays(settle(kneser_ney(ngram_counts(docs)), "model"))
-    measured = settle(measures(docs, model), "measured")
-    found = settle(bands(measured, width), "bands")
-    rows = measures(docs, model, True) if carry else measured
-    short = F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
+    words = settle(word_entropy(docs), "word_entropy")
+    measured = settle(measures(docs, model).join(words, "digest", "left"), "measured")
+    found = settle(bands(measured, width).join(word_bands(measured), "language"), "bands")
+    high = F.coalesce(F.col("word_entropy") > F.col("word_median") + shortness() * F.col("word_above"), F.lit(False))
+    if carry:  # whole rows meet only the few texts that the band of word pairs rejects
+        rejected = measured.join(found, "language").where(~base_failed() & high).select("language", "digest").distinct()
+        rows = measures(docs, model, True).join(settle(rejected, "rejected"), ["language", "digest"], "left_anti").withColumn("word_entropy", F.lit(None).cast("double"))
+    else:
+        rows = measured
     inside = (
-        (F.col("entropy") >= F.col("median") - short * F.col("below")) & (F.col("entropy") <= F.col("median") + short * F.col("above"))
-        & (F.col("word_order") >= F.col("order_median") - short * F.col("order_below"))
+        (F.col("entropy") >= F.col("median") - shortness() * F.col("below")) & (F.col("entropy") <= F.col("median") + shortness() * F.col("above"))
+        & (F.col("word_order") >= F.col("order_median") - shortness() * F.col("order_below")) & ~high
     )
     joined = rows.join(found, "language", "left").withColumn("base_failed", base_failed())
     return joined.select(
         "doc_id", *[m.split()[0] for m in MEASURES.split(", ")][:5], "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
         "entropy", F.exp("entropy").alias("perplexity"), "median", "below", "above", "word_order", "order_median", "order_below",
-        "language", *["row"] * carry,
+        "word_entropy", F.exp("word_entropy").alias("word_perplexity"), "word_median", "word_above", "language", *["row"] * carry,
     )
 
 
