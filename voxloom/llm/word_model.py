@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from voxloom.llm.common import hashed_share, settle, text_bytes, values
 
 # Words of the texts that are taken together, and the distinct ones among them.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 4_500_000
+# Words that are scored at once: of whole texts, so one at least.
+SCORED_WORDS = 500_000
 # Ranges of pair hashes, at least; a session with more shuffle partitions has as many ranges. Four ranges to one of words.
-RANGES = 256
+RANGES = 64
 # The most frequent words of a sample of about HOT_ROWS texts: the pairs they start are dealt over all ranges.
 # This changes only who counts what, never a result.
 HOT_WORDS, HOT_ROWS = 1000, 20_000
@@ -99,19 +101,37 @@ class Block:
         return before << np.uint64(32) | word
 
     def packed(self) -> tuple[bytes, ...]:
-        return pack(self.hashes), pack(self.ids), pack(self.lengths), b"".join(self.digests)
+        return pack(steps(self.hashes)), pack(self.ids), pack(self.lengths), b"".join(self.digests)
 
 
 def unpacked(a: bytes, b: bytes, c: bytes, d: bytes) -> Block:
-    return Block([d[i : i + 16] for i in range(0, len(d), 16)], unpack(c, np.int64), unpack(b, np.uint32), unpack(a, np.uint32))
+    return Block([d[i : i + 16] for i in range(0, len(d), 16)], unpack(c, np.int64), unpack(b, np.uint32), np.cumsum(unpack(a, np.uint32), dtype=np.uint32))
 
 
-def blocks(batches):
+def renumbered(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and the hash of each so that frequent words have small numbers and equally frequent ones go by hash."""
+    order = np.lexsort((hashes, -np.bincount(ids, minlength=len(hashes))))
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    return number[ids], hashes[order]
+
+
+def pack_words(words: np.ndarray) -> tuple[bytes, bytes]:
+    distinct, ids = np.unique(words, return_inverse=True)
+    ids, hashes = renumbered(ids, distinct)
+    return pack(steps(hashes)), pack(ids)
+
+
+def unpack_words(hashes: bytes, ids: bytes) -> np.ndarray:
+    return np.cumsum(unpack(hashes, np.uint32), dtype=np.uint32)[unpack(ids, np.uint32)]
+
+
+def blocks(batches, block_words: int):
     """Blocks of the texts of a task, in their order; texts of no words are left out."""
     def block():
         lengths = np.array([len(x) for x in ids], np.int64)
         hashes = np.fromiter(map(word_hash, known), np.uint32, len(known))
-        return Block(digests, lengths, np.concatenate(ids), hashes)
+        return Block(digests, lengths, *renumbered(np.concatenate(ids), hashes))
 
     known: defaultdict = defaultdict()
     known.default_factory = known.__len__
@@ -124,7 +144,7 @@ def blocks(batches):
             digests.append(hashlib.md5(text).digest())
             ids.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
             size += len(words)
-            if size >= BLOCK_WORDS:
+            if size >= block_words:
                 yield block()
                 known.clear()
                 digests, ids, size = [], [], 0
@@ -149,19 +169,19 @@ def among(numbers: np.ndarray, those: np.ndarray) -> np.ndarray:
     return those[np.minimum(np.searchsorted(those, numbers), len(those) - 1)] == numbers
 
 
-def _ask(hot: np.ndarray, ranges: int):
+def _ask(hot: np.ndarray, ranges: int, block_words: int):
     """For each block and range, the block's distinct pairs there with counts; likewise its words."""
     word_slots = ranges // 4
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, block_words):
             pairs, n = np.unique(block.pairs(), return_counts=True)
             order, ends = by_slot(pair_slots(pairs, hot, ranges), ranges)
             rows = []
             for slot in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
                 at = order[ends[slot] : ends[slot + 1]]
                 first, second = (pairs[at] >> np.uint64(32)).astype(np.uint32), pairs[at].astype(np.uint32)
-                rows.append(row("pairs", block.name, slot, pack(steps(first)), pack(second), pack(n[at])))
+                rows.append(row("pairs", block.name, slot, pack(steps(first)), *pack_words(second), pack(n[at])))
             words = np.unique(block.hashes)
             order, ends = by_slot(spread(words, word_slots), word_slots)
             for slot in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
@@ -194,10 +214,10 @@ def _count_range(hot: np.ndarray, ranges: int):
             return group
         slot, names = key[1].as_py(), group.column("block").to_pylist()
         asked = []
-        for a, b in zip(group.column("a"), group.column("b")):
+        for a, b, c in zip(*(group.column(x) for x in "abc")):
             first = np.cumsum(unpack(a.as_py(), np.uint32), dtype=np.uint32).astype(np.uint64)
-            asked.append(first << np.uint64(32) | unpack(b.as_py(), np.uint32))
-        n = np.concatenate([unpack(c.as_py(), np.int64) for c in group.column("c")])
+            asked.append(first << np.uint64(32) | unpack_words(b.as_py(), c.as_py()))
+        n = np.concatenate([unpack(d.as_py(), np.int64) for d in group.column("d")])
         pairs, at = np.unique(np.concatenate(asked), return_inverse=True)
         counts = np.bincount(at, weights=n, minlength=len(pairs)).astype(np.int64)
         del n, at
@@ -256,24 +276,24 @@ def left_over(met: np.ndarray) -> float:
     return float(met[:2] @ discounts(met)[1:3] + (met[4] - met[0] - met[1]) * discounts(met)[3])
 
 
-def surprise(lengths, which, pairs, counts, firsts, of_first, words, befores, met, met_before) -> np.ndarray:
+def surprise(lengths, which, counts, first, of_first, word, befores, met, met_before) -> np.ndarray:
     """The mean of -log p of each text's words, by the model of all other rows.
 
-    ``which`` are the places in ``pairs`` of the texts' pairs, one text after another.
+    ``which`` are the numbers of the texts' pairs, one text after another; ``counts``, ``first`` and ``word`` tell the
+    count of each pair and the numbers of its words in ``of_first`` and ``befores``.
     """
     d, e = discounts(met), discounts(met_before)
     less = lambda n, by: by[np.minimum(n, 3)]
     text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    both, own = np.unique(text * len(pairs) + which, return_counts=True)
-    text, at = both // len(pairs), both % len(pairs)
+    both, own = np.unique(text * len(counts) + which, return_counts=True)
+    text, at = both // len(counts), both % len(counts)
     others = counts[at] - own
-    first = np.searchsorted(firsts, pairs >> np.uint64(32))[at]
+    first = first[at]
     starts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (first[1:] != first[:-1])])
     of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(at)]))
     left = less(np.arange(1, 4), d) @ of_first[1:][:, first[starts]] - np.add.reduceat(less(counts[at], d) - less(others, d), starts)
     total = of_first[0][first[starts]] - np.add.reduceat(own, starts)
-    word = np.searchsorted(words, pairs & np.uint64(0xFFFFFFFF))[at]
-    before, word = befores[word], text * len(words) + word
+    before, word = befores[word[at]], text * len(befores) + word[at]
     alone, lost = np.unique(word[others == 0], return_counts=True)  # pairs of no other row
     there = among(word, alone)
     before[there] -= lost[np.searchsorted(alone, word[there])]
@@ -282,7 +302,7 @@ def surprise(lengths, which, pairs, counts, firsts, of_first, words, befores, me
     return -np.bincount(text, weights=own * np.log(np.maximum(p, 1e-300)), minlength=len(lengths)) / lengths
 
 
-def _judge(hot: np.ndarray, ranges: int, hot_words: np.ndarray, hot_totals: np.ndarray, met: np.ndarray, met_before: np.ndarray):
+def _judge(hot: np.ndarray, ranges: int, scored_words: int, hot_words: np.ndarray, hot_totals: np.ndarray, met: np.ndarray, met_before: np.ndarray):
     word_slots = ranges // 4
 
     def run(group):
@@ -313,13 +333,20 @@ def _judge(hot: np.ndarray, ranges: int, hot_words: np.ndarray, hot_totals: np.n
         order, _ = by_slot(spread(words, word_slots), word_slots)
         befores = np.empty(len(words), np.int64)
         befores[order] = np.concatenate([unpack(r["a"], np.int64) for r in sorted(rows["befores"], key=lambda r: r["slot"])])
-        found = surprise(block.lengths, which, pairs, counts, all_firsts, of_first, words.astype(np.uint64), befores, met, met_before)
+        del rows, told
+        first, word = np.searchsorted(all_firsts, pairs >> np.uint64(32)), np.searchsorted(words, pairs.astype(np.uint32))
+        upto = np.cumsum(block.lengths)
+        ends = [0, *np.searchsorted(upto, np.arange(scored_words, upto[-1], scored_words)).tolist(), len(upto)]
+        found = np.concatenate([
+            surprise(block.lengths[a:b], which[upto[a] - block.lengths[a] : upto[b - 1]], counts, first, of_first, word, befores, met, met_before)
+            for a, b in zip(ends, ends[1:]) if b > a
+        ])
         return pa.table({"digest": pa.array([x.hex() for x in block.digests], pa.string()), "word_entropy": found})
 
     return run
 
 
-def word_entropy(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def word_entropy(docs: DataFrame, ranges: int | None = None, block_words: int = BLOCK_WORDS, scored_words: int = SCORED_WORDS) -> DataFrame:
     """(digest, word_entropy): for each different text with a word its MD5, lowercase hex, and the mean
     of -log p of its words by a modified Kneser-Ney model of the word pairs of all other rows.
 
@@ -331,7 +358,7 @@ def word_entropy(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ranges = ranges or max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = frequent_words(docs)
     texts = docs.select(text_bytes().alias("text"))
-    asked = texts.mapInArrow(_ask(hot, ranges), ROW)
+    asked = texts.mapInArrow(_ask(hot, ranges, block_words), ROW)
     counted = settle(asked.groupBy("kind", "slot").applyInArrow(_count_range(hot, ranges), ROW), "pairs")
     words = counted.where(F.col("kind").isin("before", "words", "hot")).groupBy("slot").applyInArrow(_count_words, ROW)
     words = settle(words, "words")
@@ -346,9 +373,9 @@ def word_entropy(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     by = np.argsort(hot_words)
 
     def again(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, block_words):
             yield from table([row("texts", block.name, 0, *block.packed())]).to_batches()
 
     told = counted.where("kind = 'counts'").unionAll(words.where("kind = 'befores'")).unionAll(texts.mapInArrow(again, ROW))
-    judged = told.groupBy("block").applyInArrow(_judge(hot, ranges, hot_words[by], hot_totals[:, by], met, met_before), "digest string, word_entropy double")
+    judged = told.groupBy("block").applyInArrow(_judge(hot, ranges, scored_words, hot_words[by], hot_totals[:, by], met, met_before), "digest string, word_entropy double")
     return judged.groupBy("digest").agg(F.max("word_entropy").alias("word_entropy"))
