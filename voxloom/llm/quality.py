@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from voxloom.llm.common import columns_of, settle, text_bytes, values
-from voxloom.llm.word_model import BLOCK_WORDS, word_entropy
+from voxloom.llm.word_model import BLOCK_WORDS, settle_alone, word_entropy
 
 CLASSES = 64
 ORDER = 3
@@ -373,7 +373,7 @@ def judge(docs: DataFrame, carry: bool = False, width: float = BAND_WIDTH, block
     rows and rows with a null doc_id are judged like others. An empty table gives an empty result.
     """
     model = sorted_arrays(settle(kneser_ney(ngram_counts(docs)), "model"))
-    words = settle(word_entropy(docs, block_words=block_words), "word_entropy")
+    words = settle_alone(word_entropy(docs, block_words=block_words), "word_entropy")
     measured = settle(measures(docs, model).join(words, "digest", "left"), "measured")
     found = settle(bands(measured, width).join(word_bands(measured), "language"), "bands")
     high = F.coalesce(F.col("word_entropy") > F.col("word_median") + shortness() * F.col("word_above"), F.lit(False))

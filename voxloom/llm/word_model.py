@@ -346,6 +346,17 @@ def _judge(hot: np.ndarray, ranges: int, scored_words: int, hot_words: np.ndarra
     return run
 
 
+def settle_alone(df: DataFrame, name: str) -> DataFrame:
+    """``df`` settled; the files its shuffles left are removed when it is written, not some time later."""
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting, None)
+    conf.set(setting, "true")
+    try:
+        return settle(df, name)
+    finally:
+        conf.unset(setting) if before is None else conf.set(setting, before)
+
+
 def word_entropy(docs: DataFrame, ranges: int | None = None, block_words: int = BLOCK_WORDS, scored_words: int = SCORED_WORDS) -> DataFrame:
     """(digest, word_entropy): for each different text with a word its MD5, lowercase hex, and the mean
     of -log p of its words by a modified Kneser-Ney model of the word pairs of all other rows.
@@ -359,9 +370,9 @@ def word_entropy(docs: DataFrame, ranges: int | None = None, block_words: int =
     hot = frequent_words(docs)
     texts = docs.select(text_bytes().alias("text"))
     asked = texts.mapInArrow(_ask(hot, ranges, block_words), ROW)
-    counted = settle(asked.groupBy("kind", "slot").applyInArrow(_count_range(hot, ranges), ROW), "pairs")
+    counted = settle_alone(asked.groupBy("kind", "slot").applyInArrow(_count_range(hot, ranges), ROW), "pairs")
     words = counted.where(F.col("kind").isin("before", "words", "hot")).groupBy("slot").applyInArrow(_count_words, ROW)
-    words = settle(words, "words")
+    words = settle_alone(words, "words")
     read = lambda t, kind: [r.a for r in t.where(F.col("kind") == kind).select("a").collect()]
     met, met_before = (
         sum((np.frombuffer(a, np.int64) for a in read(t, kind)), np.zeros(6, np.int64))
