@@ -103,3 +103,29 @@ def test_all_layouts_share_one_numbering(built, tmp_path, monkeypatch):
     for layout, file in vx.MANIFEST_FILES.items():
         by_clips = [r.value for r in vx.manifest_lines(built, layout).orderBy("idx").collect()]
         assert lines(f"{folders[layout]}/{file}") == by_clips
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    # Few lines, some of them long: a file is bounded by what its lines hold, not by their number.
+    monkeypatch.setattr(manifests, "BYTES_PER_FILE", 4000)
+    rows = [(1, f"c{i:03}", "train", (b"x", "p"), "long " * 200 if i % 3 else "short", f"L{i % 7}", "GH", 1.0, "iso", "s") for i in range(120)]
+    clips = spark.createDataFrame(rows, BUILT)
+    folders = vx.export_manifests(clips, list(vx.MANIFEST_FILES), str(tmp_path / "bytes"))
+    speakers = lines(f"{folders['vits']}/speakers.txt")
+    for layout, file in vx.MANIFEST_FILES.items():
+        sizes = [len(open(part, encoding="utf-8").read()) for part in glob.glob(f"{folders[layout]}/{file}/part-*")]
+        assert len(sizes) > 20 and max(sizes) < 4000 + 2100  # one line more at most
+        assert lines(f"{folders[layout]}/{file}") == [r.value for r in vx.manifest_lines(clips, layout).orderBy("idx").collect()]
+    assert [line.split("\t")[0] for line in speakers] == [str(i) for i in range(7)]
+
+
+def test_blocks_of_lines_are_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(manifests, "BYTES_PER_FILE", 100)
+    monkeypatch.setattr(manifests, "BLOCKS", 4)
+    rows = [(1, f"c{i:03}", "train", (b"x", "p"), "t" * i, "L", "GH", 1.0, "iso", "s") for i in range(50)]
+    clips = spark.createDataFrame(rows, BUILT)
+    folder = vx.export_manifest(clips, "piper", str(tmp_path / "blocks"))
+    assert len(glob.glob(f"{folder}/metadata.csv/part-*")) == 4
+    assert lines(f"{folder}/metadata.csv") == [r.value for r in vx.manifest_lines(clips, "piper").orderBy("idx").collect()]
+    empty = vx.export_manifest(clips.where("false"), "vits", str(tmp_path / "none"))
+    assert lines(f"{empty}/filelist.txt") == lines(f"{empty}/speakers.txt") == []
