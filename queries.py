@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,16 +76,26 @@ def _(spark, sf):
     return vx.refresh_catalog(st.item_clips(spark, sf), known, listed=labels.select("subset").unionAll(nations))
 
 
+# Clips one task writes, and so those of a file.
+CLIPS_PER_FILE = 1_000_000
+
+
+def dealt_over_files(clips: DataFrame, fewest: int, total: int) -> DataFrame:
+    """Some of ``total`` clips, dealt over as many files as those ask for. A file holds a stretch of subsets, so it adds few rows to a ledger."""
+    return clips.repartitionByRange(max(fewest, math.ceil(total / CLIPS_PER_FILE)), "subset", "id")
+
+
 @query("catalog_refresh_files")
 def _(spark, sf):
     # Half of the files come first. Then one of them is changed, and the others come.
     path, ledger = scratch_path(spark, "clips"), scratch_path(spark, "ledger")
     clips = st.item_clips(spark, sf)
+    total = clips.count()
     half = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
-    clips.where(half).withColumn("duration", F.lit(7.0)).repartition(3).write.parquet(f"{path}/part=0")
+    dealt_over_files(clips.where(half).withColumn("duration", F.lit(7.0)), 3, total).write.parquet(f"{path}/part=0")
     vx.refresh_files(spark, path, ledger, use_samples=False)
-    clips.where(half).repartition(2).write.mode("overwrite").parquet(f"{path}/part=0")
-    clips.where(~half).repartition(3).write.parquet(f"{path}/part=1")
+    dealt_over_files(clips.where(half), 2, total).write.mode("overwrite").parquet(f"{path}/part=0")
+    dealt_over_files(clips.where(~half), 3, total).write.parquet(f"{path}/part=1")
     return vx.refresh_files(spark, path, ledger, st.item_labels(spark, sf), use_samples=False)
 
 

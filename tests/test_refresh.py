@@ -1,3 +1,8 @@
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+import queries
+import standins as st
 import voxloom as vx
 from voxloom.operators import refresh
 
@@ -94,3 +99,23 @@ def test_stored_sample_counts_spare_reading_samples(spark, tmp_path):
     assert refreshed.collect() == vx.refresh_catalog(clips).collect()
     plan = refreshed._jdf.queryExecution().executedPlan().toString()
     assert "sampling_rate" in plan and "array" not in plan.split("ReadSchema")[1]
+
+
+def test_files_of_the_query_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    n, sf, scratch = 4000, str(tmp_path / "sf"), tmp_path / "scratch"
+    line = ["id AS l_orderkey", "id % 7 AS l_partkey", "IF(id % 3 = 0, 0, id % 400) AS l_suppkey", "CAST(id % 5 AS int) AS l_linenumber",
+            "CAST(id % 50 AS double) AS l_quantity", "substring('NRA', 1 + int(id % 3), 1) AS l_returnflag"]
+    spark.range(n).selectExpr(*line).write.parquet(f"{sf}/lineitem.parquet")
+    spark.range(400).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "CAST(0 AS int) AS s_nationkey").write.parquet(f"{sf}/supplier.parquet")
+    spark.range(1).selectExpr("CAST(0 AS int) AS n_nationkey", "'NATION_0' AS n_name").write.parquet(f"{sf}/nation.parquet")
+    monkeypatch.setattr(queries, "CLIPS_PER_FILE", 200)
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: str(scratch / name))
+
+    found = queries.FOUND["catalog_refresh_files"](spark, sf)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, st.item_catalog(spark, sf).collect()))
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in (scratch / "clips").rglob("*.parquet")]
+    assert sum(sizes) == n and max(sizes) <= 2 * 200  # the largest subset, a third of the clips, is split too
+    # A subset lies in few files, so the ledger does not grow with files times subsets.
+    ledger = spark.read.parquet(str(scratch / "ledger" / "turn=0"))
+    pairs = st.item_clips(spark, sf).select("subset", "split").distinct().count()
+    assert ledger.where(F.col("clips").isNotNull()).count() <= 2 * pairs + 6 * len(sizes)
