@@ -14,8 +14,8 @@ from voxloom.llm.queries import tokenizer
 # Texts that go to a Python worker at once. Spark's own limit of 64 MB, times what is copied of a batch on
 # either side, is much for executors of a few GB that run one stage after another.
 BATCH_BYTES = 4 << 20
-# Likewise the words that the language model takes at once.
-BLOCK_WORDS = 1_000_000
+# Likewise the words that the language model takes at once, and scores at once.
+BLOCK_WORDS, SCORED_WORDS = 500_000, 100_000
 
 
 def in_small_batches(stage):
@@ -30,7 +30,7 @@ def in_small_batches(stage):
 @in_small_batches
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language's perplexity band."""
-    return quality.kept_documents(docs, block_words=BLOCK_WORDS)
+    return quality.kept_documents(docs, block_words=BLOCK_WORDS, scored_words=SCORED_WORDS)
 
 
 @in_small_batches

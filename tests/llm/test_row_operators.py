@@ -210,6 +210,13 @@ def test_mix_by_source(docs, rows):
     assert sorted(size(r.text) for r in mixed.collect()) == sorted(n for _, n, _, _, _, c in result for _ in range(c))
 
 
+def test_a_mix_starts_no_python_workers(docs):
+    # Rows given as a list would be read through Python workers, which then stand beside those of other stages.
+    for found in (mixing.mixed_sizes(docs), mixing.mix_by_source(docs).ends):
+        plan = found._jdf.queryExecution().toString()
+        assert "LocalRelation" in plan and "ExistingRDD" not in plan
+
+
 def plain_targets(sizes, weights, most=2.0):
     """Water level by bisection."""
     total = 1.5 * sum(sizes.values())

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from voxloom.llm import quality, word_model
+from voxloom.llm import common, quality, word_model
 
 
 def words_of(text):
@@ -115,3 +115,28 @@ def test_copies_are_kept(spark):
     copied = [r for r in found if r.doc_id < 4 or r.doc_id >= 200]
     assert all(r.word_entropy < r.word_median - r.word_above and r.kept for r in copied)
     assert sum(r.kept for r in found) >= 215
+
+
+def test_portions_change_no_kept_row(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, range(400, 0, -1), k=rng.randint(40, 200))) for _ in range(60)]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").coalesce(1)
+    whole = sorted(quality.kept_documents(table).collect())
+    assert len(whole) > 40
+    assert sorted(quality.kept_documents(table, block_words=300, scored_words=40).collect()) == whole
+
+
+def test_memory_goes_back_when_a_task_ends(monkeypatch):
+    steps = []
+    monkeypatch.setattr(common, "give_back", lambda: steps.append("back"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch
+        steps.append("end")
+
+    assert list(common.giving_back(run)(iter([1, 2]))) == [1, 2]
+    assert steps == ["end", "back"]
+    monkeypatch.undo()
+    common.give_back()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -19,6 +22,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Memory that this Python worker holds but does not use goes back to the system. A worker lives on after its task, beside
+    those of other stages and the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """A function over the batches of a task that gives memory back at its end."""
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def text_bytes(name: str = "text") -> Column:
     """A text as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")

@@ -13,7 +13,8 @@ import math
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.common import columns_of, row_hash, settle
@@ -23,6 +24,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_PATTERNS = 100_000
 
 
+def _local_table(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """Rows of the driver as a local relation. Rows given as a list would be read by Python workers of a kind of their own."""
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items())}))
+
+
 def word_count(name: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(name).cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
 
@@ -194,7 +201,8 @@ def mix(
                 at += n
                 shares.append((at, s))
         rows.append((list(p), capacity[p], at, shares))
-    plan = spark.createDataFrame(rows, "members array<string>, total bigint, flow bigint, shares array<struct<at:bigint,source:string>>")
+    shares_kind = pa.list_(pa.struct([("at", pa.int64()), ("source", pa.string())]))
+    plan = _local_table(spark, rows, members=pa.list_(pa.string()), total=pa.int64(), flow=pa.int64(), shares=shares_kind)
 
     # As many slots as a slot has rows: neither window grows faster than the root of the documents.
     bits = math.ceil(math.log2(max([1, *(r.n for r in found)])) / 2)
@@ -251,8 +259,9 @@ def mix_by_source(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of ``mix_by_source``, one row per document."""
     found = mix_by_source(docs, **options)
-    sizes = docs.sparkSession.createDataFrame(
-        [([s], n, float(found.wanted[s])) for s, n in found.tokens.items()], "members array<string>, source_size bigint, target double"
+    sizes = _local_table(
+        docs.sparkSession, [([s], n, float(found.wanted[s])) for s, n in found.tokens.items()],
+        members=pa.list_(pa.string()), source_size=pa.int64(), target=pa.float64(),
     )
     return found.taken.join(F.broadcast(sizes), "members").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settle, text_of, values
+from voxloom.llm.common import giving_back, settle, text_of, values
 
 # Pieces packed by one task at once.
 SHARD_PIECES = 40_000
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end_id: int = 1,
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
     return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(
-        run, schema + ", ids binary" * with_ids
+        giving_back(run), schema + ", ids binary" * with_ids
     )
 
 

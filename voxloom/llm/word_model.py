@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import hashed_share, settle, text_bytes, values
+from voxloom.llm.common import give_back, giving_back, hashed_share, settle, text_bytes, values
 
 # Words of the texts that are taken together, and the distinct ones among them.
 BLOCK_WORDS = 4_500_000
@@ -306,6 +306,11 @@ def _judge(hot: np.ndarray, ranges: int, scored_words: int, hot_words: np.ndarra
     word_slots = ranges // 4
 
     def run(group):
+        found = judged(group)
+        give_back()
+        return found
+
+    def judged(group):
         rows = {kind: [] for kind in ("texts", "counts", "befores")}
         for r in group.to_pylist():
             rows[r["kind"]].append(r)
@@ -369,7 +374,7 @@ def word_entropy(docs: DataFrame, ranges: int | None = None, block_words: int =
     ranges = ranges or max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = frequent_words(docs)
     texts = docs.select(text_bytes().alias("text"))
-    asked = texts.mapInArrow(_ask(hot, ranges, block_words), ROW)
+    asked = texts.mapInArrow(giving_back(_ask(hot, ranges, block_words)), ROW)
     counted = settle_alone(asked.groupBy("kind", "slot").applyInArrow(_count_range(hot, ranges), ROW), "pairs")
     words = counted.where(F.col("kind").isin("before", "words", "hot")).groupBy("slot").applyInArrow(_count_words, ROW)
     words = settle_alone(words, "words")
@@ -387,6 +392,6 @@ def word_entropy(docs: DataFrame, ranges: int | None = None, block_words: int =
         for block in blocks(batches, block_words):
             yield from table([row("texts", block.name, 0, *block.packed())]).to_batches()
 
-    told = counted.where("kind = 'counts'").unionAll(words.where("kind = 'befores'")).unionAll(texts.mapInArrow(again, ROW))
+    told = counted.where("kind = 'counts'").unionAll(words.where("kind = 'befores'")).unionAll(texts.mapInArrow(giving_back(again), ROW))
     judged = told.groupBy("block").applyInArrow(_judge(hot, ranges, scored_words, hot_words[by], hot_totals[:, by], met, met_before), "digest string, word_entropy double")
     return judged.groupBy("digest").agg(F.max("word_entropy").alias("word_entropy"))
