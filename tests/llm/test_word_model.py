@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxloom.llm import common, quality, word_model
@@ -140,3 +141,70 @@ def test_memory_goes_back_when_a_task_ends(monkeypatch):
     assert steps == ["end", "back"]
     monkeypatch.undo()
     common.give_back()
+
+
+def batch_of(texts):
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+
+
+def test_short_words_are_hashed_without_a_call_for_each(monkeypatch):
+    rng = random.Random(2)
+    short = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(50)).encode() for _ in range(40)]
+    called = []
+    plain = word_model.xxhash.xxh32_intdigest
+    monkeypatch.setattr(word_model.xxhash, "xxh32_intdigest", lambda word: called.append(bytes(word)) or plain(word))
+    assert len(list(word_model.blocks([batch_of([*short, b"here 0123456789abcdef"])], 1000))) == 3
+    assert called == [b"0123456789abcdef"]
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_word_hashes(kind):
+    rng = random.Random(3)
+    word = lambda n: bytes(rng.choice([c for c in range(1, 256) if not bytes([c]).isspace()]) for _ in range(n))
+    texts = [b"", b" ", b"x", b" \t\v\fa  b\r\n", *(b" ".join(word(n) for _ in range(3)) for n in range(1, 40)), b"\xff\xfe\x00 \x1c\x85 y"]
+    for given in (texts, texts[:2], texts[7:8]):
+        n, hashes = word_model.hashed_words(pa.array([b"before", *given], kind)[1:])
+        assert n.tolist() == [len(t.split()) for t in given]
+        assert hashes.tolist() == [word_model.word_hash(w) for t in given for w in t.split()]
+
+
+@pytest.mark.parametrize("bits", [20, 62])
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_distinct(bits, n):
+    numbers = np.random.default_rng(n).integers(0, 300, n).astype(np.uint64) << np.uint64(bits - 9)
+    found, which = word_model.distinct(numbers, bits)
+    assert found.tolist() == sorted(set(numbers.tolist())) and found[which].tolist() == numbers.tolist()
+
+
+def test_blocks_do_not_depend_on_portions(monkeypatch):
+    texts = [t.encode() for t in some_texts(random.Random(6), 60)] + [b"", b" ", b"last"]
+    found = []
+    for size in (1, 200, 1 << 20):
+        monkeypatch.setattr(common, "PORTION_BYTES", size)
+        assert b"".join(t for part in common.portions(batch_of(texts).column(0)) for t in part.to_pylist()) == b"".join(texts)
+        blocks = list(word_model.blocks([batch_of(texts[:25]), batch_of(texts[25:])], 100))
+        assert sum(len(b.digests) for b in blocks) == len(texts) - 2
+        found.append([(b.name, b.lengths.tolist(), b.words.tolist()) for b in blocks])
+    assert found[0] == found[1] == found[2]
+    size, ends = 0, []
+    for t in filter(bytes.strip, texts):
+        size += len(t.split())
+        if size >= 100:
+            ends, size = [*ends, size], 0
+    assert [sum(lengths) for _, lengths, _ in found[0]] == ends + [size] * (size > 0)
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_repeated_windows_by_hashes(alike):
+    """With words that all share a hash every window may come twice; the count stays that of the words."""
+    rng = random.Random(8)
+    texts = ["", "a", "a b", "a b c", "a b c a b c", "a a a a", "x y z w x y z", *(" ".join(rng.choices("abcdefgh", k=k)) for k in range(40))]
+    texts = [t.encode() for t in texts]
+    n, words = word_model.hashed_words(pa.array(texts, pa.binary()))
+    places = list(quality.may_repeat(n, np.ones_like(words) if alike else words))
+    for text, k, at in zip(texts, n.tolist(), places, strict=True):
+        windows = list(zip(*(text.split()[i:] for i in range(3))))
+        covered = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        assert quality._counts(text, k, at) == quality._counts(text)
+        assert quality._counts(text)[4] == len(covered)
+        assert alike or [i for i, w in enumerate(windows) if windows.count(w) > 1] == at.tolist()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
@@ -78,6 +80,20 @@ def values(column):
         yield value.as_py()
 
 
+# Bytes of the values that are worked on together in a task.
+PORTION_BYTES = 4 << 20
+
+
+def portions(column, size: int | None = None):
+    """Slices of a binary Arrow column, one value at least and below ``size`` bytes otherwise."""
+    upto = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = done = 0
+    while start < len(column):
+        stop = max(int(np.searchsorted(upto, done + (size or PORTION_BYTES), side="right")), start + 1)
+        yield column.slice(start, stop - start)
+        start, done = stop, upto[stop - 1]
+
+
 def _star(pairs: DataFrame) -> tuple[int, object]:
     """A count and an order-free sum that tell one set of pairs from another."""
     row = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

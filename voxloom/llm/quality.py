@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from voxloom.llm.common import columns_of, giving_back, settle, text_bytes, values
-from voxloom.llm.word_model import BLOCK_WORDS, SCORED_WORDS, settle_alone, word_entropy
+from voxloom.llm.common import columns_of, giving_back, portions, settle, text_bytes, values
+from voxloom.llm.word_model import BLOCK_WORDS, SCORED_WORDS, among, hashed_words, settle_alone, word_entropy
 
 CLASSES = 64
 ORDER = 3
@@ -40,9 +40,13 @@ WORD_WIDTH, WORD_LEAST = 4.0, 0.5
 BIN, BINS = 0.01, 10_000
 # Languages whose counts a task holds at once.
 COUNTED_AT_ONCE = 32
+# N-grams of a language that a task counts at once.
+CODES_AT_ONCE = 200_000
 # The model of all languages together, and the characters of which each block goes by the better of two models.
 POOLED, BLOCK = "\x01", 64
 SYMBOLS = b"#*$%&|<>"
+# Bytes that begin no character of a word: white space and the later bytes of a character.
+NO_CHARACTERS = b" \t\n\r\v\f" + bytes(range(0x80, 0xC0))
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
@@ -63,6 +67,7 @@ def _class_table() -> np.ndarray:
 
 
 TABLE = _class_table()
+SOUNDS = np.array([2 <= c <= 30 or c >= 44 for c in range(CLASSES)])
 
 
 def classes(text: bytes) -> np.ndarray:
@@ -78,9 +83,10 @@ def classes(text: bytes) -> np.ndarray:
 
 def codes(found: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The n-grams of some classes as numbers, the earliest class in the highest bits."""
-    out = np.zeros(len(found) - order + 1, np.int32)
-    for i in range(order):
-        out = out << 6 | found[i : i + len(out)]
+    out = found[: max(len(found) - order + 1, 0)].astype(np.int32)
+    for i in range(1, order):
+        out <<= 6
+        out |= found[i : i + len(out)]
     return out
 
 
@@ -102,20 +108,32 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        sizes: dict[str, int] = {}
+
+        def count(lang):
+            if waiting[lang]:
+                counts[lang] += np.bincount(np.concatenate(waiting[lang]), minlength=CLASSES**ORDER)
+            waiting[lang], sizes[lang] = [], 0
+
+        def all_counted():
+            for lang in counts:
+                count(lang)
+            yield from packed(counts)
+            counts.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), values(batch.column(1))):
                 if lang not in counts:
                     if len(counts) == COUNTED_AT_ONCE:
-                        yield from packed(counts)
-                        counts.clear()
-                    counts[lang] = np.zeros(CLASSES**ORDER, np.int64)
+                        yield from all_counted()
+                    counts[lang], waiting[lang], sizes[lang] = np.zeros(CLASSES**ORDER, np.int64), [], 0
                 found = codes(classes(text))
-                if len(found) > 20_000:
-                    counts[lang] += np.bincount(found, minlength=CLASSES**ORDER)
-                else:
-                    code, n = np.unique(found, return_counts=True)
-                    counts[lang][code] += n
-        yield from packed(counts)
+                waiting[lang].append(found)
+                sizes[lang] += len(found)
+                if sizes[lang] >= CODES_AT_ONCE:
+                    count(lang)
+        yield from all_counted()
 
     found = docs.select(language().alias("language"), text_bytes().alias("text")).mapInArrow(run, "language string, code int, n bigint")
     counts = settle(found.groupBy("language", "code").agg(F.sum("n").alias("n")), "ngrams")
@@ -190,13 +208,11 @@ def sorted_arrays(model: DataFrame) -> dict:
     return out
 
 
-def _look_up(arrays, wanted: np.ndarray, column: int) -> np.ndarray:
-    """Values of n-grams by binary search; NaN where there are none."""
-    keys, values = arrays[0], arrays[1 + column]
-    if not len(keys):
-        return np.full(len(wanted), np.nan, np.float32)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], np.nan)
+def _by_code(arrays, length: int, column: int) -> np.ndarray:
+    """Values of all n-grams of a length, by their code; NaN where there are none."""
+    out = np.full(CLASSES**length, np.nan, np.float32)
+    out[arrays[0]] = arrays[1 + column]
+    return out
 
 
 def log_probabilities(model: dict) -> np.ndarray:
@@ -206,41 +222,62 @@ def log_probabilities(model: dict) -> np.ndarray:
     out = np.full(len(every), -math.log(CLASSES), np.float32)
     for k in range(ORDER + 1):
         if k:
-            left = _look_up(model[k - 1], every >> 6 & ((1 << 6 * (k - 1)) - 1), 1)
+            left = _by_code(model[k - 1], k - 1, 1)[every >> 6 & ((1 << 6 * (k - 1)) - 1)]
             out += np.nan_to_num(left, nan=0.0)
-            own = _look_up(model[k], every & ((1 << 6 * k) - 1), 0)
+            own = _by_code(model[k], k, 0)[every & ((1 << 6 * k) - 1)]
             out = np.where(np.isnan(own), out, own)
     return out
 
 
-def repeated_words(words: list[bytes], window: int = 3) -> int:
-    """Words in windows that are found twice or more, the first ones included."""
-    if len(words) <= window:
+def repeated_words(words: list[bytes], window: int = 3, at: np.ndarray | None = None) -> int:
+    """Words in windows that are found twice or more, the first ones included. ``at`` are the places of windows among
+    which are all that come twice; else all are looked at."""
+    at = np.arange(len(words) - window + 1) if at is None else at
+    if len(at) < 2:
         return 0
+    there = np.zeros(len(words), bool)
+    for i in range(window):
+        there[at + i] = True
     ids: dict[bytes, int] = {}
-    number = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
-    key = number[: len(number) - window + 1].copy()
+    number = np.zeros(len(words), np.int64)
+    number[there] = [ids.setdefault(words[i], len(ids)) for i in np.flatnonzero(there).tolist()]
+    key = number[at]
     for i in range(1, window):  # ranks of longer and longer windows
-        key = key * len(ids) + number[i : i + len(key)]
+        key = key * len(ids) + number[at + i]
         if i < window - 1:
             key = np.unique(key, return_inverse=True)[1] if len(ids) ** (i + 2) > 2**62 else key
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    if not same.any():
-        return 0
     twice = np.zeros(len(key), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     covered = np.zeros(len(words), bool)
     for i in range(window):
-        covered[i : i + len(key)] |= twice
+        covered[at[twice] + i] = True
     return int(covered.sum())
 
 
-def _counts(text: bytes) -> tuple[int, int, int, int, int]:
-    words = text.split()
-    raw = np.frombuffer(text, np.uint8)
-    characters = int(((raw & 0xC0) != 0x80).sum()) - int(((raw == 32) | ((raw >= 9) & (raw <= 13))).sum())
+def may_repeat(lengths: np.ndarray, words: np.ndarray, window: int = 3):
+    """For each text the places of windows of words that may come twice in it, by the hashes of all their words, one text
+    after another. Windows at no such place come once."""
+    key = np.zeros(max(len(words) - window + 1, 0), np.uint64)
+    for i in range(window):
+        key = (key ^ key >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(key)]
+    ends = np.cumsum(lengths)
+    for start, end in zip((ends - lengths).tolist(), (ends - window + 1).tolist()):
+        own = key[start : max(end, start)]
+        by_key = np.sort(own)
+        same = by_key[1:] == by_key[:-1]
+        yield np.flatnonzero(among(own, by_key[1:][same])) if same.any() else np.zeros(0, np.int64)
+
+
+def _counts(text: bytes, n_words: int | None = None, at: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
+    """Counts of the base rules. If known, ``n_words`` and the places ``at`` of windows of words that may come twice."""
+    if n_words is None or len(at):
+        words = text.split()
+        n_words, n_repeated = len(words), repeated_words(words, at=at)
+    else:
+        n_repeated = 0
     seen: set[bytes] = set()
     repeated = 0
     for line in text.split(b"\n"):
@@ -248,33 +285,44 @@ def _counts(text: bytes) -> tuple[int, int, int, int, int]:
             repeated += 1
         elif line.strip():
             seen.add(line)
-    return len(words), characters, sum(text.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))), repeated, repeated_words(words)
+    characters, n_symbols = len(text.translate(None, NO_CHARACTERS)), len(text) - len(text.translate(None, SYMBOLS))
+    return n_words, characters, n_symbols, repeated, n_repeated
 
 
-def spoken(found: np.ndarray) -> int:
+def word_ends(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and the last class of each word in a text's classes."""
+    blank = found <= 1
+    change = np.flatnonzero(blank[1:] != blank[:-1])  # a text's ends are blank
+    return change[::2] + 1, change[1::2]
+
+
+def spoken(found: np.ndarray, starts: np.ndarray | None = None) -> int:
     """Words with a letter or digit, from a text's classes."""
-    sounds = (found >= 2) & (found <= 30) | (found >= 44)
-    starts = np.flatnonzero((found[1:] > 1) & (found[:-1] <= 1)) + 1
-    return int(np.maximum.reduceat(sounds, starts).sum()) if len(starts) else 0
+    starts = word_ends(found)[0] if starts is None else starts
+    return int(np.count_nonzero(np.logical_or.reduceat(SOUNDS[found], starts))) if len(starts) else 0
 
 
 def nats(found: np.ndarray, own: np.ndarray, pooled: np.ndarray) -> float:
     """What a text costs by its language's model; blocks in another language go by that of all languages."""
     starts = np.arange(0, len(found), BLOCK)
-    return -float(np.maximum(*(np.add.reduceat(m[found], starts, dtype=np.float64) for m in (own, pooled))).sum())
+    return -float(np.maximum(*(np.add.reduceat(m.take(found).astype(np.float64), starts) for m in (own, pooled))).sum())
+
 
+def after_blank(model: np.ndarray) -> np.ndarray:
+    """Log probabilities of each class after each other one and a blank."""
+    return model.reshape(CLASSES, CLASSES, CLASSES)[:, 1].astype(np.float64)
 
-def order_gain(found: np.ndarray, models: list[np.ndarray]) -> float:
+
+def order_gain(found: np.ndarray, models: list[np.ndarray], ends: tuple | None = None) -> float:
     """What the order of a text's words gains by the better model: the mean log probability of a word's first class
-    after the last class of the word before it, above its mean over all pairs of the text's words."""
-    blank = found <= 1
-    last = found[:-1][~blank[:-1] & blank[1:]][:-1]
-    first = found[1:][blank[:-1] & ~blank[1:]][1:]
+    after the last class of the word before it, above its mean over all pairs of the text's words. Models are whole ones or
+    what ``after_blank`` makes of them."""
+    starts, stops = word_ends(found) if ends is None else ends
+    last, first = found[stops[:-1]], found[starts[1:]]
     if not len(last):
         return 0.0
     of_last, of_first = (np.bincount(x, minlength=CLASSES) / len(x) for x in (last, first))
-    pairs = [m.reshape(CLASSES, CLASSES, CLASSES)[:, 1].astype(np.float64) for m in models]  # after a blank
-    return max(float(p[last, first].mean() - of_last @ p @ of_first) for p in pairs)
+    return max(float(p[last, first].mean() - of_last @ p @ of_first) for p in (m if m.ndim == 2 else after_blank(m) for m in models))
 
 
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, entropy double, word_order double, digest string"
@@ -287,17 +335,26 @@ def measures(docs: DataFrame, model: dict, carry: bool = False) -> DataFrame:
     names = ["doc_id", "language", *[m.split()[0] for m in MEASURES.split(", ")], *["row"] * carry]
     known: dict = {}
 
+    def of(lang):
+        for name in (lang, POOLED):
+            if name not in known and name in shared.value:
+                whole = log_probabilities(shared.value[name])
+                known[name] = whole, after_blank(whole)
+        return list(zip(known.get(lang, known[POOLED]), known[POOLED]))
+
+    def measured(lang, text, n_words, at):
+        (whole, pairs), found = of(lang), classes(text)
+        ends = word_ends(found)
+        cost = nats(codes(found), *whole) / max(spoken(found, ends[0]), 1)
+        return *_counts(text, n_words, at), cost, order_gain(found, pairs, ends), hashlib.md5(text).hexdigest()
+
     def run(batches):
         for batch in batches:
             rows = []
-            for lang, text in zip(batch.column(1).to_pylist(), values(batch.column(2))):
-                models = [name if name in shared.value else POOLED for name in (lang, POOLED)]
-                for name in models:
-                    if name not in known:
-                        known[name] = log_probabilities(shared.value[name])
-                models = [known[name] for name in models]
-                counts, found = _counts(text), classes(text)
-                rows.append((*counts, nats(codes(found), *models) / max(spoken(found), 1), order_gain(found, models), hashlib.md5(text).hexdigest()))
+            langs = iter(batch.column(1).to_pylist())
+            for part in portions(batch.column(2)):
+                n, words = hashed_words(part)
+                rows += [measured(next(langs), text, k, at) for text, k, at in zip(values(part), n.tolist(), may_repeat(n, words))]
             columns = list(zip(*rows)) or [()] * 8
             arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.string()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, *batch.columns[3:]], names=names)

@@ -15,16 +15,16 @@ before it; a word never met elsewhere has a share of what the discounts leave.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import give_back, giving_back, hashed_share, settle, text_bytes, values
+from voxloom.llm.common import give_back, giving_back, hashed_share, portions, settle, text_bytes, values
 
 # Words of the texts that are taken together, and the distinct ones among them.
 BLOCK_WORDS = 4_500_000
@@ -70,6 +70,73 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word) or 1
 
 
+PRIMES = [np.uint32(p) for p in (2654435761, 2246822519, 3266489917, 668265263, 374761393)]
+
+
+def _mixed(hashes: np.ndarray, added: np.ndarray, bits: int, prime: np.uint32) -> np.ndarray:
+    hashes = hashes + added
+    return (hashes << np.uint32(bits) | hashes >> np.uint32(32 - bits)) * prime
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """``word_hash`` of each word, those below 16 bytes at once, length by length: XXH32 takes them by 4 bytes, then by single ones."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    fours = np.ndarray((max(len(raw) - 3, 0),), "<u4", raw.data, strides=(1,)) if len(raw) > 3 else None
+    lengths = np.minimum(np.diff(ends), 16).astype(np.uint8)
+    order = np.argsort(lengths, kind="stable")
+    upto = np.cumsum(np.bincount(lengths, minlength=17))
+    out = np.empty(len(words), np.uint32)
+    for n in range(16):
+        at = order[upto[n - 1] if n else 0 : upto[n]]
+        starts = ends[:-1][at]
+        found = np.full(len(at), PRIMES[4] + np.uint32(n), np.uint32)
+        for i in range(n // 4 * len(at[:1])):
+            found = _mixed(found, fours[starts + 4 * i] * PRIMES[2], 17, PRIMES[3])
+        for i in range(n // 4 * 4, n * len(at[:1])):
+            found = _mixed(found, raw[starts + i].astype(np.uint32) * PRIMES[4], 11, PRIMES[0])
+        for bits, prime in ((15, PRIMES[1]), (13, PRIMES[2])):
+            found = (found ^ found >> np.uint32(bits)) * prime
+        out[at] = found ^ found >> np.uint32(16)
+    data = memoryview(raw)
+    for i in order[upto[15] :].tolist():
+        out[i] = xxhash.xxh32_intdigest(data[ends[i] : ends[i + 1]])
+    return np.maximum(out, 1)
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the hashes of all their words, one text after another."""
+    texts = texts.cast(pa.binary())
+    plain = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset)  # only ASCII signs are looked at
+    parts = pc.ascii_split_whitespace(plain)
+    words = parts.flatten()
+    there = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(there.to_numpy(zero_copy_only=False))))
+    ends = parts.offsets.to_numpy()
+    return np.diff(upto[ends - ends[0]]), word_hashes(words.filter(there))
+
+
+def run_starts(sorted_numbers: np.ndarray) -> np.ndarray:
+    """Where each number starts in sorted ones."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(sorted_numbers), 1), bool), sorted_numbers[1:] != sorted_numbers[:-1])))
+
+
+def distinct(numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct ones of some numbers below 2 ** ``bits``, and which of them each number is. Numbers are sorted
+    with their places behind them where both fit in 64 bits."""
+    places = len(numbers).bit_length()
+    if bits + places > 64:
+        return np.unique(numbers, return_inverse=True)
+    both = numbers.astype(np.uint64) << np.uint64(places) | np.arange(len(numbers), dtype=np.uint64)
+    both.sort()
+    place = (both & np.uint64((1 << places) - 1)).astype(np.int64)
+    both >>= np.uint64(places)
+    starts = run_starts(both)
+    which = np.empty(len(numbers), np.uint32)
+    which[place] = np.repeat(np.arange(len(starts), dtype=np.uint32), np.diff(starts, append=len(both)))
+    return both[starts].astype(numbers.dtype), which
+
+
 def spread(hashes: np.ndarray, slots: int) -> np.ndarray:
     return ((hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(slots)
 
@@ -81,31 +148,38 @@ def by_slot(slot: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_slots(pairs: np.ndarray, hot: np.ndarray, ranges: int) -> np.ndarray:
+    """The ranges of sorted pairs."""
     first = pairs >> np.uint64(32)
-    return np.where(among(first, hot), spread(pairs ^ pairs >> np.uint64(29), ranges), spread(first, ranges))
+    starts = run_starts(first)
+    n = np.diff(starts, append=len(first))
+    first = first[starts]
+    return np.where(np.repeat(among(first, hot), n), spread(pairs ^ pairs >> np.uint64(29), ranges), np.repeat(spread(first, ranges), n))
 
 
 class Block:
-    """Some texts: their digests, numbers of words, and word numbers, with the hash of each number."""
+    """Some texts: their digests, numbers of words, and the hashes of their words."""
 
-    def __init__(self, digests: list[bytes], lengths: np.ndarray, ids: np.ndarray, hashes: np.ndarray):
-        self.digests, self.lengths, self.ids, self.hashes = digests, lengths, ids, hashes
+    def __init__(self, digests: list[bytes], lengths: np.ndarray, words: np.ndarray):
+        self.digests, self.lengths, self.words = digests, lengths, words
         self.name = hashlib.md5(b"".join(digests)).hexdigest()
 
     def pairs(self) -> np.ndarray:
         """The hash of each word and the one before it."""
-        word = self.hashes[self.ids].astype(np.uint64)
-        before = np.concatenate((np.zeros(1, np.uint64), word[:-1]))
-        starts = np.cumsum(self.lengths) - self.lengths
-        before[starts[self.lengths > 0]] = START
-        return before << np.uint64(32) | word
+        return after(self.words, self.lengths, 32)
 
     def packed(self) -> tuple[bytes, ...]:
-        return pack(steps(self.hashes)), pack(self.ids), pack(self.lengths), b"".join(self.digests)
+        return *pack_words(self.words), pack(self.lengths), b"".join(self.digests)
 
 
-def unpacked(a: bytes, b: bytes, c: bytes, d: bytes) -> Block:
-    return Block([d[i : i + 16] for i in range(0, len(d), 16)], unpack(c, np.int64), unpack(b, np.uint32), np.cumsum(unpack(a, np.uint32), dtype=np.uint32))
+def after(words: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
+    """Each word number, with that of the word before it, or START, in higher bits."""
+    out = words.astype(np.uint64)
+    before = np.concatenate((np.zeros(min(len(out), 1), np.uint64), out[:-1]))
+    starts = np.cumsum(lengths) - lengths
+    before[starts[lengths > 0]] = START
+    before <<= np.uint64(bits)
+    out |= before
+    return out
 
 
 def renumbered(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +191,8 @@ def renumbered(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def pack_words(words: np.ndarray) -> tuple[bytes, bytes]:
-    distinct, ids = np.unique(words, return_inverse=True)
-    ids, hashes = renumbered(ids, distinct)
+    hashes, ids = distinct(words, 32)
+    ids, hashes = renumbered(ids, hashes)
     return pack(steps(hashes)), pack(ids)
 
 
@@ -128,28 +202,27 @@ def unpack_words(hashes: bytes, ids: bytes) -> np.ndarray:
 
 def blocks(batches, block_words: int):
     """Blocks of the texts of a task, in their order; texts of no words are left out."""
-    def block():
-        lengths = np.array([len(x) for x in ids], np.int64)
-        hashes = np.fromiter(map(word_hash, known), np.uint32, len(known))
-        return Block(digests, lengths, *renumbered(np.concatenate(ids), hashes))
-
-    known: defaultdict = defaultdict()
-    known.default_factory = known.__len__
-    digests, ids, size = [], [], 0
+    digests, lengths, words, size = [], [], [], 0
     for batch in batches:
-        for text in values(batch.column(0)):
-            words = text.split()
-            if not words:
-                continue
-            digests.append(hashlib.md5(text).digest())
-            ids.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-            size += len(words)
-            if size >= block_words:
-                yield block()
-                known.clear()
-                digests, ids, size = [], [], 0
+        for part in portions(batch.column(0)):
+            n, hashes = hashed_words(part)
+            own = [hashlib.md5(text).digest() for text, k in zip(values(part), n.tolist()) if k]
+            n = n[n > 0]
+            upto = np.cumsum(n)
+            start = 0
+            while start < len(n):
+                done = upto[start] - n[start]
+                stop = min(int(np.searchsorted(upto, done + block_words - size)) + 1, len(n))
+                digests += own[start:stop]
+                lengths.append(n[start:stop])
+                words.append(hashes[done : upto[stop - 1]])
+                size += int(upto[stop - 1] - done)
+                if size >= block_words:
+                    yield Block(digests, np.concatenate(lengths), np.concatenate(words))
+                    digests, lengths, words, size = [], [], [], 0
+                start = stop
     if digests:
-        yield block()
+        yield Block(digests, np.concatenate(lengths), np.concatenate(words))
 
 
 def frequent_words(docs: DataFrame) -> np.ndarray:
@@ -182,7 +255,8 @@ def _ask(hot: np.ndarray, ranges: int, block_words: int):
                 at = order[ends[slot] : ends[slot + 1]]
                 first, second = (pairs[at] >> np.uint64(32)).astype(np.uint32), pairs[at].astype(np.uint32)
                 rows.append(row("pairs", block.name, slot, pack(steps(first)), *pack_words(second), pack(n[at])))
-            words = np.unique(block.hashes)
+            words = np.sort(block.words)
+            words = words[run_starts(words)]
             order, ends = by_slot(spread(words, word_slots), word_slots)
             for slot in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
                 rows.append(row("words", block.name, slot, pack(steps(words[order[ends[slot] : ends[slot + 1]]]))))
@@ -194,7 +268,8 @@ def _ask(hot: np.ndarray, ranges: int, block_words: int):
 
 def totals(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted first words: each one, and (total, pairs met once, twice, more often)."""
-    words, starts = np.unique(first, return_index=True)
+    starts = run_starts(first)
+    words = first[starts]
     met = [counts, counts == 1, counts == 2, counts > 2]
     return words, np.stack([np.add.reduceat(m.astype(np.int64), starts) for m in met]) if len(words) else np.zeros((4, 0), np.int64)
 
@@ -217,20 +292,25 @@ def _count_range(hot: np.ndarray, ranges: int):
         for a, b, c in zip(*(group.column(x) for x in "abc")):
             first = np.cumsum(unpack(a.as_py(), np.uint32), dtype=np.uint32).astype(np.uint64)
             asked.append(first << np.uint64(32) | unpack_words(b.as_py(), c.as_py()))
-        n = np.concatenate([unpack(d.as_py(), np.int64) for d in group.column("d")])
-        pairs, at = np.unique(np.concatenate(asked), return_inverse=True)
-        counts = np.bincount(at, weights=n, minlength=len(pairs)).astype(np.int64)
-        del n, at
+        pairs = np.sort(np.concatenate(asked))
+        pairs = pairs[run_starts(pairs)]
+        counts = np.zeros(len(pairs), np.int64)
+        asked = [np.searchsorted(pairs, own).astype(np.uint32 if len(pairs) < 1 << 32 else np.int64) for own in asked]
+        for own, n in zip(asked, group.column("d")):
+            counts[own] += unpack(n.as_py(), np.int64)  # a block's pairs are distinct
         firsts = pairs >> np.uint64(32)
-        often = among(firsts, hot)
         words, of_word = totals(firsts, counts)
+        hot_words = among(words, hot)
+        of_words = np.diff(run_starts(firsts), append=len(firsts))
+        often, number = np.repeat(hot_words, of_words), np.repeat(np.arange(len(words), dtype=np.uint32), of_words)
         rows = [row("met", "", slot, times_met(counts).tobytes())]
         for name, own in zip(names, asked):
-            told = np.searchsorted(words, np.unique((own >> np.uint64(32))))
-            told = told[~among(words[told], hot)]
-            rows.append(row("counts", name, slot, pack(counts[np.searchsorted(pairs, own)]), *(pack(x[told]) for x in of_word)))
+            told = number[own]
+            told = told[run_starts(told)]
+            told = told[~hot_words[told]]
+            rows.append(row("counts", name, slot, pack(counts[own]), *(pack(x[told]) for x in of_word)))
         for kind, these, numbers in (
-            ("before", *(lambda w, k: (w, [k]))(*np.unique(pairs & np.uint64(0xFFFFFFFF), return_counts=True))),
+            ("before", *(lambda w, k: (w, [k]))(*np.unique(pairs.astype(np.uint32), return_counts=True))),
             ("hot", *(lambda w, k: (w, list(k)))(*totals(firsts[often], counts[often]))),
         ):
             order, ends = by_slot(spread(these, word_slots), word_slots)
@@ -285,18 +365,21 @@ def surprise(lengths, which, counts, first, of_first, word, befores, met, met_be
     d, e = discounts(met), discounts(met_before)
     less = lambda n, by: by[np.minimum(n, 3)]
     text = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    both, own = np.unique(text * len(counts) + which, return_counts=True)
-    text, at = both // len(counts), both % len(counts)
+    bits = len(counts).bit_length()
+    both, own = np.unique(text << bits | which, return_counts=True)
+    text, at = both >> bits, both & ((1 << bits) - 1)
     others = counts[at] - own
     first = first[at]
     starts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (first[1:] != first[:-1])])
     of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(at)]))
     left = less(np.arange(1, 4), d) @ of_first[1:][:, first[starts]] - np.add.reduceat(less(counts[at], d) - less(others, d), starts)
     total = of_first[0][first[starts]] - np.add.reduceat(own, starts)
-    before, word = befores[word[at]], text * len(befores) + word[at]
-    alone, lost = np.unique(word[others == 0], return_counts=True)  # pairs of no other row
-    there = among(word, alone)
-    before[there] -= lost[np.searchsorted(alone, word[there])]
+    word = word[at]
+    before = befores[word]
+    bits = len(befores).bit_length()
+    alone = others == 0  # pairs of no other row
+    _, of_text = distinct(text << bits | word, bits + len(lengths).bit_length())
+    before -= np.bincount(of_text, weights=alone).astype(np.int64)[of_text]
     shorter = (np.maximum(before - less(before, e), 0) + left_over(met_before) / (met_before[4] + 1)) / met_before[5]
     p = np.where(total[of] > 0, (np.maximum(others - less(others, d), 0) + left[of] * shorter) / np.maximum(total[of], 1), shorter)
     return -np.bincount(text, weights=own * np.log(np.maximum(p, 1e-300)), minlength=len(lengths)) / lengths
@@ -317,36 +400,44 @@ def _judge(hot: np.ndarray, ranges: int, scored_words: int, hot_words: np.ndarra
         if not rows["texts"] or not rows["counts"]:
             raise RuntimeError("the texts came in other blocks when read again; write them to a table first")
         texts = rows["texts"][0]
-        block = unpacked(*(texts[c] for c in "abcd"))
+        digests, lengths = [texts["d"][i : i + 16] for i in range(0, len(texts["d"]), 16)], unpack(texts["c"], np.int64)
+        hashes, ids = np.cumsum(unpack(texts["a"], np.uint32), dtype=np.uint32), unpack(texts["b"], np.uint32)
+        order = np.argsort(hashes)
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
+        words, bits = hashes[order], len(order).bit_length()  # START, then the words by their hashes
         if len(rows["texts"]) > 1:  # blocks of the same texts ask alike, and are told the same
             rows["counts"] = list({r["slot"]: r for r in rows["counts"]}.values())
             rows["befores"] = list({r["slot"]: r for r in rows["befores"]}.values())
-        pairs, which = np.unique(block.pairs(), return_inverse=True)
-        order, _ = by_slot(pair_slots(pairs, hot, ranges), ranges)
+        pairs, which = distinct(after(number[ids], lengths, bits), 2 * bits)
+        first, word = (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64) - 1
+        hashes = np.concatenate((np.array([START], np.uint64), words.astype(np.uint64)))
+        del ids, pairs
+        order, _ = by_slot(pair_slots(hashes[first] << np.uint64(32) | hashes[word + 1], hot, ranges), ranges)
         told = sorted(rows["counts"], key=lambda r: r["slot"])
-        counts = np.empty(len(pairs), np.int64)
+        counts = np.empty(len(first), np.int64)
         counts[order] = np.concatenate([unpack(r["a"], np.int64) for r in told])
-        all_firsts = np.unique(pairs >> np.uint64(32))
-        firsts = all_firsts[~among(all_firsts, hot)]
+        starts = run_starts(first)
+        all_firsts = hashes[first[starts]]
+        first = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(first)))
+        seldom = ~among(all_firsts, hot)
+        firsts = all_firsts[seldom]
         by, _ = by_slot(spread(firsts, ranges), ranges)
         of_first = np.zeros((4, len(all_firsts)), np.int64)
         for i, c in enumerate("bcde"):
-            of_first[i, np.searchsorted(all_firsts, firsts[by])] = np.concatenate([unpack(r[c], np.int64) for r in told])
-        often = all_firsts[among(all_firsts, hot)]
-        of_first[:, np.searchsorted(all_firsts, often)] = hot_totals[:, np.searchsorted(hot_words, often)]
-        words = np.unique(block.hashes)
+            of_first[i, np.flatnonzero(seldom)[by]] = np.concatenate([unpack(r[c], np.int64) for r in told])
+        of_first[:, ~seldom] = hot_totals[:, np.searchsorted(hot_words, all_firsts[~seldom])]
         order, _ = by_slot(spread(words, word_slots), word_slots)
         befores = np.empty(len(words), np.int64)
         befores[order] = np.concatenate([unpack(r["a"], np.int64) for r in sorted(rows["befores"], key=lambda r: r["slot"])])
         del rows, told
-        first, word = np.searchsorted(all_firsts, pairs >> np.uint64(32)), np.searchsorted(words, pairs.astype(np.uint32))
-        upto = np.cumsum(block.lengths)
+        upto = np.cumsum(lengths)
         ends = [0, *np.searchsorted(upto, np.arange(scored_words, upto[-1], scored_words)).tolist(), len(upto)]
         found = np.concatenate([
-            surprise(block.lengths[a:b], which[upto[a] - block.lengths[a] : upto[b - 1]], counts, first, of_first, word, befores, met, met_before)
+            surprise(lengths[a:b], which[upto[a] - lengths[a] : upto[b - 1]], counts, first, of_first, word, befores, met, met_before)
             for a, b in zip(ends, ends[1:]) if b > a
         ])
-        return pa.table({"digest": pa.array([x.hex() for x in block.digests], pa.string()), "word_entropy": found})
+        return pa.table({"digest": pa.array([x.hex() for x in digests], pa.string()), "word_entropy": found})
 
     return run
 
