@@ -2,9 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 
 from voxloom.llm import suffix_dedup as sd
 
@@ -98,3 +102,71 @@ def test_very_long_text(spark, monkeypatch):
 def test_no_rows(spark):
     found = sd.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string"), with_text=True)
     assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"] and found.count() == 0
+
+
+def all_wanted(texts, buckets=3):
+    """A batch of documents whose anchors all come in other documents, too, and its anchors."""
+    codes = [[] for _ in texts]
+    for i, _, _, anchor in sd.runs(texts):
+        for k in np.unique(i).tolist():
+            codes[k].append(sd._codes(anchor[i == k], buckets).view(np.int64))
+    codes = [np.concatenate(c) if c else sd.EMPTY for c in codes]
+    columns = [
+        pa.array(range(len(texts)), pa.int64()), pa.array([1000 + i for i in range(len(texts))], pa.int64()), pa.array(texts, pa.binary()),
+        pa.array([c.tolist() for c in codes], pa.list_(pa.int64())), pa.array([[]] * len(texts), pa.list_(pa.int64())), pa.array([False] * len(texts)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["document", "row", "text", "codes", "copies", "unnamed"]), np.unique(np.concatenate(codes).view(np.uint64))
+
+
+def compared(found, buckets=3):
+    table = pa.Table.from_batches(found)
+    buckets_of = [table.filter(pc.equal(table["bucket"], b)) for b in range(buckets)]
+    return [tuple(r.values()) for t in buckets_of if len(t) for r in sd._compare(t).to_pylist()]
+
+
+@pytest.mark.parametrize("often", [1, 2, 1000])
+def test_pieces_a_few_at_a_time(monkeypatch, often):
+    # Every how many anchors one is frequent. Pieces are held, cut out and sorted in many small shares.
+    for name, value in {"HELD": 100, "AT_ONCE": 7, "PORTION": 9000, "SORTED": 3000}.items():
+        monkeypatch.setattr(sd, name, value)
+    docs = made(random.Random(8), 90)
+    batch, codes = all_wanted([t.encode() for _, t in docs])
+    covers = compared(list(sd._pieces([batch], 3, codes[::often])))
+    found = []
+    for d, text in docs:
+        kept, spans = sd._kept(text.encode(), [(a, b) for e, row, a, b in covers if e == d and row == 1000 + d])
+        found.append((d, len(text.encode()), len(text.encode()) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    assert sorted(found, key=repr) == brute(docs)
+
+
+def test_pieces_with_one_digest():
+    raw = b"abcabcabdabc"
+    at, size = np.array([0, 3, 6, 9, 0]), np.array([3, 3, 3, 3, 2])
+    heads, piece = sd._equal(raw, at, size, np.zeros(5, np.uint64), np.zeros(5, np.int64))
+    assert heads.tolist() == [0, 2, 4] and piece.tolist() == [0, 0, 1, 0, 2]
+    heads, piece = sd._equal(raw, at, size, np.zeros(5, np.uint64), np.array([0, 1, 0, 0, 0]))
+    assert heads.tolist() == [0, 1, 2, 4] and piece.tolist() == [0, 1, 2, 0, 3]
+
+
+def peak_of(run):
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_memory_where_all_is_met_again(monkeypatch):
+    # In a large corpus nearly each anchor is met again, so that all of a portion's text is cut into pieces.
+    monkeypatch.setattr(sd, "CHUNK", 1 << 16)
+    monkeypatch.setattr(sd, "SORTED", 1 << 17)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=500)).encode() for _ in range(700)]
+    batch, _ = all_wanted(texts)
+    none = sd.EMPTY.view(np.uint64)
+    assert peak_of(lambda: [None for _ in sd._pieces([batch], 3, none)]) < 18 * sum(map(len, texts))
+    table = pa.Table.from_batches(list(sd._pieces([batch], 3, none)))
+    table = table.filter(pc.equal(table["bucket"], 1))
+    share = sum(len(zstandard.decompress(t)) for t in table["texts"].to_pylist() if t)
+    assert peak_of(lambda: sd._compare(table)) < 7 * share

@@ -30,14 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import settle, text_bytes
+from voxloom.llm.common import give_back, giving_back, settle, text_bytes, values
 
 LENGTH = 50
 KMER = 16
 # Windows in a piece at most, bytes looked at or sorted at once, and text for each bucket.
 RUN, CHUNK, SORTED, BUCKET = 64, 1 << 20, 1 << 21, 12 << 20
-# Text whose pieces a task holds at once.
-PORTION = 16 << 20
+# Text whose pieces a task holds at once, and pieces held at once; frequent anchors make many of little text.
+PORTION, HELD = 16 << 20, 1 << 20
 # An anchor is frequent from so many pieces on, or from one of so many anchors of the corpus if that is more.
 FREQUENT, ONE_OF = 20_000, 1_000_000
 
@@ -151,6 +151,7 @@ def _meet(batches, buckets: int):
         if not found:
             continue
         document, code = (np.concatenate(x) for x in zip(*found))
+        del found
         order = np.lexsort((document, code))
         document, code = document[order], code[order]
         begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
@@ -214,7 +215,7 @@ _COVERS = "document bigint, row bigint, first bigint, after bigint"
 
 
 def _portions(batches):
-    """The rows of the batches with about PORTION bytes of text at a time, as each piece is an object here."""
+    """The rows of the batches with about PORTION bytes of text at a time."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PORTION
         begin = np.flatnonzero(np.append(True, size[1:] != size[:-1])) if len(size) else []
@@ -222,72 +223,131 @@ def _portions(batches):
             yield batch.slice(int(a), int(b - a))
 
 
+def _wanted_runs(texts: list[bytes], wanted: list[np.ndarray], often: np.ndarray, buckets: int):
+    """(text, place, size, anchor code, single) of the pieces of each slice; runs of a frequent anchor are single windows."""
+    for document, first, last, anchor in runs(texts):
+        code = _codes(anchor, buckets)
+        hit = np.zeros(len(code), bool)
+        cut = np.flatnonzero(np.append(True, document[1:] != document[:-1]))
+        for b, e in zip(cut.tolist(), np.append(cut[1:], len(document)).tolist()):
+            known = wanted[document[b]]
+            if len(known):
+                hit[b:e] = known[np.minimum(np.searchsorted(known, code[b:e]), len(known) - 1)] == code[b:e]
+        document, first, last, code = document[hit], first[hit], last[hit], code[hit]
+        single = np.isin(code, often)
+        times = np.where(single, last - first + 1, 1)
+        run = np.repeat(np.arange(len(code)), times)
+        into = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+        size = np.where(single, 0, last - first) + LENGTH
+        yield document[run].astype(np.int32), (first[run] + into).astype(np.int32), size[run].astype(np.uint8), code[run], single[run]
+
+
 def _pieces(batches, buckets: int, often: np.ndarray):
     """Pieces of each portion by bucket. Of equal pieces the earliest document's goes on; the others
     are covered as they are."""
     for batch in _portions(batches):
-        ids, keys, texts, copies = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
-        whole = [(d, k, 0, len(t)) for d, k, t, c in zip(ids, keys, texts, copies) if k in c]
-        texts = [b"" if k in c else t for k, t, c in zip(keys, texts, copies)]
+        ids, keys = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+        texts, copies = (batch.column(i).to_pylist() for i in (2, 4))
+        copied = [k in c for k, c in zip(keys.tolist(), copies)]
+        whole = [(d, k, 0, len(t)) for d, k, t, c in zip(ids.tolist(), keys.tolist(), texts, copied) if c]
+        texts = [b"" if c else t for t, c in zip(texts, copied)]
         wanted = [np.unique(c.values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in batch.column(3)]
-        seen: dict[tuple, int] = {}
-        earliest: list[int] = []
-        anchor_of: list[int] = []
-        piece, where = [], []
-        for document, first, last, anchor in runs(texts):
-            code = _codes(anchor, buckets)
-            cut = np.flatnonzero(np.append(True, document[1:] != document[:-1]))
-            for b, e in zip(cut, np.append(cut[1:], len(document))):
-                i, own = int(document[b]), code[b:e]
-                if not len(wanted[i]):
-                    continue
-                at = np.minimum(np.searchsorted(wanted[i], own), len(wanted[i]) - 1)
-                hit = np.flatnonzero(wanted[i][at] == own)
-                if not len(hit):
-                    continue
-                single = np.isin(own[hit], often)
-                text, d = texts[i], ids[i]
-                for s, t, c, one in zip(first[b:e][hit].tolist(), last[b:e][hit].tolist(), own[hit].tolist(), single.tolist()):
-                    for u, v in [(w, w) for w in range(s, t + 1)] if one else [(s, t)]:
-                        part = text[u : v + LENGTH]
-                        n = seen.setdefault((part, one), len(seen))
-                        if n == len(earliest):
-                            earliest.append(d)
-                            anchor_of.append(xxhash.xxh64_intdigest(part) if one else c * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-                        elif d < earliest[n]:
-                            earliest[n] = d
-                        piece.append(n)
-                        where.append((d, keys[i], u, v + LENGTH))
-        out = []
-        for lines in np.array_split(np.array(whole, np.int64).reshape(-1, 4), 1 + len(whole) // 50_000):
-            if len(lines):
-                out.append({"bucket": int(lines[0, 1] % buckets), "covers": _packed(lines)})
-        if not piece:
-            yield pa.RecordBatch.from_pylist(out, schema=_PIECES_SCHEMA)
-            continue
-        piece, where = np.array(piece), np.array(where, np.int64)
-        low, anchor_of = np.array(earliest, np.int64), np.array(anchor_of, np.uint64)
-        later = where[:, 0] > low[piece]
-        bucket_of = (anchor_of >> np.uint64(20)).astype(np.int64) % buckets
-        names = [k[0] for k in seen]
-        order = np.argsort(piece[~later], kind="stable")
-        member, own = piece[~later][order], where[~later][order]
-        for b, chosen in _split(bucket_of):
-            take = np.isin(member, chosen) if len(chosen) < len(low) else np.ones(len(member), bool)
-            out.append({
-                "bucket": b, "texts": zstandard.compress(b"".join([names[i] for i in chosen.tolist()]), 3),
-                "lengths": _packed(np.array([len(names[i]) for i in chosen.tolist()], np.uint8)),
-                "anchors": _packed(anchor_of[chosen].astype(np.uint16)), "documents": _steps(low[chosen]),
-                "members": _steps(np.searchsorted(chosen, member[take]).astype(np.int32)),
-                "rows": _packed(own[take, 1]), "starts": _packed(own[take, 2].astype(np.int64)), "covers": None,
-            })
-        for lines in np.array_split(_joined(where[later]), max(1, int(later.sum()) // 50_000)):
-            if len(lines):
-                out.append({"bucket": int(lines[0, 1] % buckets), "covers": _packed(lines)})
-        yield pa.RecordBatch.from_pylist(out, schema=_PIECES_SCHEMA)
-
-
-_PIECES_SCHEMA = pa.schema([("bucket", pa.int32())] + [(x.split()[0], pa.binary()) for x in _PIECES.split(", ")[1:]])
+        yield from _whole_covers(np.array(whole, np.int64).reshape(-1, 4), buckets)
+        raw = b"".join(texts)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(lengths) - lengths
+        held, count = [], 0
+        for found in _wanted_runs(texts, wanted, often, buckets):
+            held.append(list(found))
+            count += len(found[0])
+            if count >= HELD:
+                yield from _by_bucket(raw, base, ids, keys, held, buckets)
+                held, count = [], 0
+        if count:
+            yield from _by_bucket(raw, base, ids, keys, held, buckets)
+
+
+def _by_bucket(raw: bytes, base: np.ndarray, ids: np.ndarray, keys: np.ndarray, held: list, buckets: int):
+    """Rows of _PIECES for pieces as ``_wanted_runs`` gives them, of texts that start in ``raw`` at ``base``."""
+    text, start, size, code, single = (np.concatenate([x.pop(0) for x in held]) for _ in range(5))
+    at = base[text] + start
+    digest = _digests(raw, at, size)
+    heads, piece = _equal(raw, at, size, digest, single)
+    low = np.full(len(heads), np.iinfo(np.int64).max)
+    np.minimum.at(low, piece, ids[text])
+    anchor = np.where(single, digest, code * _ODD[0])[heads]
+    later = ids[text] > low[piece]
+    covers = np.stack((ids[text[later]], keys[text[later]], start[later], start[later] + size[later].astype(np.int64)), axis=1)
+    own = np.flatnonzero(~later)
+    own = own[np.argsort(piece[own], kind="stable")]
+    member = piece[own]
+    ends = np.searchsorted(member, np.arange(len(heads) + 1))
+    for b, chosen in _split((anchor >> np.uint64(20)).astype(np.int64) % buckets):
+        times = ends[chosen + 1] - ends[chosen]
+        take = np.repeat(ends[chosen] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        yield pa.RecordBatch.from_pylist([{
+            "bucket": b, "texts": _joined_texts(raw, at[heads[chosen]], size[heads[chosen]]),
+            "lengths": _packed(size[heads[chosen]]),
+            "anchors": _packed(anchor[chosen].astype(np.uint16)), "documents": _steps(low[chosen]),
+            "members": _steps(np.repeat(np.arange(len(chosen), dtype=np.int32), times)),
+            "rows": _packed(keys[text[own[take]]]), "starts": _packed(start[own[take]].astype(np.int64)), "covers": None,
+        }], schema=_PIECES_SCHEMA)
+    yield from _whole_covers(_joined(covers), buckets)
+
+
+def _whole_covers(covers: np.ndarray, buckets: int):
+    """Rows of _PIECES for covers that are known already."""
+    for lines in np.array_split(covers, 1 + len(covers) // 50_000):
+        if len(lines):
+            yield pa.RecordBatch.from_pylist([{"bucket": int(lines[0, 1] % buckets), "covers": _packed(lines)}], schema=_PIECES_SCHEMA)
+
+
+# --- equal pieces --------------------------------------------------------------
+
+# Pieces are told apart by place and size within one string of bytes: an object for each would take several times its text.
+AT_ONCE = 1 << 16
+
+
+def _cuts(raw: bytes, at: np.ndarray, size: np.ndarray):
+    """The pieces one by one."""
+    for i in range(0, len(at), AT_ONCE):
+        for a, n in zip(at[i : i + AT_ONCE].tolist(), size[i : i + AT_ONCE].tolist()):
+            yield raw[a : a + n]
+
+
+def _digests(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, _cuts(raw, at, size)), np.uint64, len(at))
+
+
+def _equal(raw: bytes, at: np.ndarray, size: np.ndarray, digest: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal pieces of one kind, and for each piece the number of its set.
+
+    Pieces are compared with the first one of their digest, byte by byte. One that has only the digest in common stays by itself.
+    """
+    order = np.lexsort((kind, digest))
+    new = np.append(True, (digest[order[1:]] != digest[order[:-1]]) | (kind[order[1:]] != kind[order[:-1]]))[: len(order)]
+    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    again = np.flatnonzero(~new)
+    pairs = zip(_cuts(raw, at[order[again]], size[order[again]]), _cuts(raw, at[head[again]], size[head[again]]))
+    other = again[np.fromiter((a != b for a, b in pairs), bool, len(again))]
+    head[other] = order[other]
+    first = np.empty(len(order), np.int64)
+    first[order] = head
+    heads = np.flatnonzero(first == np.arange(len(first)))
+    number = np.empty(len(first), np.int32)
+    number[heads] = np.arange(len(heads))
+    return heads, number[first]
+
+
+def _joined_texts(raw: bytes, at: np.ndarray, size: np.ndarray) -> bytes:
+    """The pieces one after another, compressed."""
+    to = zstandard.ZstdCompressor(level=3).compressobj(size=int(size.sum(dtype=np.int64)))
+    out = [to.compress(b"".join(_cuts(raw, at[i : i + AT_ONCE], size[i : i + AT_ONCE]))) for i in range(0, len(at), AT_ONCE)]
+    return b"".join([*out, to.flush()])
+
+
+_PIECE_COLUMNS = [x.split()[0] for x in _PIECES.split(", ")[1:]]
+_PIECES_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _PIECE_COLUMNS])
 
 
 def _split(bucket: np.ndarray):
@@ -432,43 +492,42 @@ def repeats(parts: list[bytes], documents: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _compare(table):
     """Covers of the pieces of one bucket: (document, row, first, after)."""
-    covers, seen = [], {}
-    low, anchors, members = [], [], []
-    for texts, lengths, anchor, document, member, rows, starts, cover in zip(*(table.column(c.split()[0]).to_pylist() for c in _PIECES.split(", ")[1:])):
+    covers, texts, pieces, members, count = [], [], [], [], 0
+    for i in range(table.num_rows):
+        text, lengths, anchor, document, member, rows, starts, cover = (table.column(c)[i].as_py() for c in _PIECE_COLUMNS)
         if cover is not None:
             covers.append(_unpacked(cover, np.int64).reshape(-1, 4))
             continue
-        ends = np.cumsum(_unpacked(lengths, np.uint8), dtype=np.int64)
-        texts = zstandard.decompress(texts)
-        anchor, document = _unpacked(anchor, np.uint16), _summed(document, np.int64)
-        number = np.zeros(len(ends), np.int64)
-        for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-            n = seen.setdefault((texts[a:b], int(anchor[i])), len(seen))
-            if n == len(low):
-                low.append(int(document[i]))
-                anchors.append(int(anchor[i]))
-            elif document[i] < low[n]:
-                low[n] = int(document[i])
-            number[i] = n
-        at = _summed(member, np.int32)
-        members.append(np.stack((number[at], document[at], _unpacked(rows, np.int64), _unpacked(starts, np.int64)), axis=1))
-    if low:
-        parts = [k[0] for k in seen]
-        low, anchors, members = np.array(low, np.int64), np.array(anchors, np.uint16), np.concatenate(members)
-        sizes = np.array([len(p) for p in parts])
-        later = members[:, 1] > low[members[:, 0]]
-        m = members[later]
-        covers.append(np.stack((m[:, 1], m[:, 2], m[:, 3], m[:, 3] + sizes[m[:, 0]]), axis=1))
-        first = members[~later]
-        first = first[np.argsort(first[:, 0], kind="stable")]
+        texts.append(zstandard.decompress(text))
+        document, at = _summed(document, np.int64), _summed(member, np.int32)
+        pieces.append((_unpacked(lengths, np.uint8), _unpacked(anchor, np.uint16), document))
+        members.append((at + count, document[at], _unpacked(rows, np.int64), _unpacked(starts, np.int64)))
+        count += len(document)
+    if count:
+        raw = b"".join(texts)
+        del texts
+        sizes, anchors, document = (np.concatenate(x) for x in zip(*pieces))
+        sizes = sizes.astype(np.int64)
+        at = np.cumsum(sizes) - sizes
+        heads, number = _equal(raw, at, sizes, _digests(raw, at, sizes), anchors)
+        low = np.full(len(heads), np.iinfo(np.int64).max)
+        np.minimum.at(low, number, document)
+        at, sizes, anchors = at[heads], sizes[heads], anchors[heads]
+        member, document, row, start = (np.concatenate(x) for x in zip(*members))
+        del pieces, members
+        member = number[member]
+        later = document > low[member]
+        covers.append(_joined(np.stack((document[later], row[later], start[later], start[later] + sizes[member[later]]), axis=1)))
+        first = np.flatnonzero(~later)
+        first = first[np.argsort(member[first], kind="stable")]
+        member, document, row, start = member[first], document[first], row[first], start[first]
         for chosen in _sorted_parts(anchors, sizes):
-            part, offset = repeats([parts[i] for i in chosen.tolist()], low[chosen])
+            part, offset = repeats(list(_cuts(raw, at[chosen], sizes[chosen])), low[chosen])
             part = chosen[part]
-            a, b = np.searchsorted(first[:, 0], part), np.searchsorted(first[:, 0], part, side="right")
+            a, b = np.searchsorted(member, part), np.searchsorted(member, part, side="right")
             again = np.repeat(np.arange(len(part)), b - a)
-            m = first[np.repeat(a, b - a) + np.arange(len(again)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
-            start = m[:, 3] + offset[again]
-            covers.append(np.stack((m[:, 1], m[:, 2], start, start + LENGTH), axis=1))
+            m = np.repeat(a, b - a) + np.arange(len(again)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+            covers.append(_joined(np.stack((document[m], row[m], start[m] + offset[again], start[m] + offset[again] + LENGTH), axis=1)))
     found = _joined(np.concatenate(covers)) if covers else np.zeros((0, 4), np.int64)
     return pa.table({c.split()[0]: pa.array(np.ascontiguousarray(found[:, i])) for i, c in enumerate(_COVERS.split(", "))})
 
@@ -497,6 +556,25 @@ def _kept(text: bytes, covers: list) -> tuple[bytes, int]:
     return b"".join([*out, text[at:]]), spans
 
 
+def _found(covers):
+    """The covers of each document as an array of (row, first, after): an object for each would take several times the room."""
+    flat = covers.values
+    flat = np.stack([flat.field(name).to_numpy(zero_copy_only=False) for name in ("row", "first", "after")], axis=1)
+    begin = covers.offsets.to_numpy()
+    for known, a, b in zip(covers.is_valid().to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
+        yield flat[a : b if known else a]
+
+
+def _each(run):
+    """``run`` over the groups of a task, giving memory back after each."""
+    def whole(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return whole
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FREQUENT, bucket_bytes: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs``.
 
@@ -518,8 +596,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FRE
     size = prints.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(1, size // bucket_bytes)
     often = max(frequent, 2 * size // (LENGTH - KMER + 2) // ONE_OF)
-    met = given.select("document", "text").mapInArrow(lambda it: _meet(it, buckets), _MET)
-    repeated = settle(met.groupBy("bucket").applyInArrow(lambda table: _repeated(table, often), _REPEATED), "anchors")
+    met = given.select("document", "text").mapInArrow(giving_back(lambda it: _meet(it, buckets)), _MET)
+    repeated = settle(met.groupBy("bucket").applyInArrow(_each(lambda table: _repeated(table, often)), _REPEATED), "anchors")
     # At most ONE_OF anchors or so can be as frequent as that.
     hot = np.unique(np.array([r.code for r in repeated.where("frequent").collect()], np.int64).view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -528,17 +606,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FRE
     told = told.groupBy("document").agg(F.collect_list("code").alias("codes"), F.collect_set("copy").alias("copies"))
     # With the same columns as below, so that texts are shuffled once for both.
     pieces = given.join(told, "document").select("document", "row", "text", "codes", "copies", "unnamed").mapInArrow(
-        lambda it: _pieces(it, buckets, shared.value), _PIECES
+        giving_back(lambda it: _pieces(it, buckets, shared.value)), _PIECES
     )
-    covers = pieces.groupBy("bucket").applyInArrow(_compare, _COVERS)
+    covers = pieces.groupBy("bucket").applyInArrow(_each(_compare), _COVERS)
     covers = covers.groupBy("document").agg(F.collect_list(F.struct("row", "first", "after")).alias("covers"))
 
     def finish(batches):
-        for batch in batches:
+        for batch in _portions(batches):
             out = []
-            for text, row, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                kept, spans = _kept(text, [(c["first"], c["after"]) for c in found or () if c["row"] == row])
-                out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+            for text, row, found in zip(values(batch.column(2)), values(batch.column(3)), _found(batch.column(4))):
+                kept, spans = _kept(text, found[found[:, 0] == row, 1:].tolist())
+                out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             columns = list(zip(*out)) or [()] * 5
             ids = [None if u else d for d, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
@@ -546,4 +624,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, frequent: int = FRE
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return given.join(covers, "document", "left").select("document", "unnamed", "text", "row", "covers").mapInArrow(finish, schema)
+    return given.join(covers, "document", "left").select("document", "unnamed", "text", "row", "covers").mapInArrow(giving_back(finish), schema)
