@@ -148,6 +148,22 @@ def test_pieces_with_one_digest():
     assert heads.tolist() == [0, 1, 2, 4] and piece.tolist() == [0, 1, 2, 0, 3]
 
 
+def test_anchors_of_long_texts_are_met_in_portions(monkeypatch):
+    # Arrow bounds a batch by rows; long texts make it large.
+    monkeypatch.setattr(sd, "MET", 2000)
+    docs = made(random.Random(4), 40)
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t.encode() for _, t in docs], pa.binary())], names=["document", "text"])
+    met = list(sd._meet([batch], 1))
+    assert len(met) > 3
+    found = sd._repeated(pa.Table.from_batches([b.filter(pc.equal(b["bucket"], 0)) for b in met]), 10**6)
+    of: dict = {}
+    for i, _, _, anchor in sd.runs([t.encode() for _, t in docs]):
+        for d, c in zip(i.tolist(), sd._codes(anchor, 1).view(np.int64).tolist()):
+            of.setdefault(c, set()).add(docs[d][0])
+    expected = {(d, c) for c, many in of.items() if len(many) > 1 for d in many}
+    assert set(zip(found["document"].to_pylist(), found["code"].to_pylist())) == expected
+
+
 def peak_of(run):
     tracemalloc.start()
     run()

@@ -38,6 +38,8 @@ KMER = 16
 RUN, CHUNK, SORTED, BUCKET = 64, 1 << 20, 1 << 21, 12 << 20
 # Text whose pieces a task holds at once, and pieces held at once; frequent anchors make many of little text.
 PORTION, HELD = 16 << 20, 1 << 20
+# Text whose anchors are put in order at once.
+MET = 40 << 20
 # An anchor is frequent from so many pieces on, or from one of so many anchors of the corpus if that is more.
 FREQUENT, ONE_OF = 20_000, 1_000_000
 
@@ -145,7 +147,7 @@ def _by_document(documents: np.ndarray, codes: np.ndarray) -> list[tuple[int, by
 def _meet(batches, buckets: int):
     """Anchors of each batch by bucket, one entry for each, with the number of its documents here;
     and for documents that share an anchor already here, which these are."""
-    for batch in batches:
+    for batch in _portions(batches, 1, MET):
         ids = np.array(batch.column(0).to_pylist(), np.int64)
         found = [(ids[i], _codes(a, buckets)) for i, _, _, a in runs(batch.column(1).to_pylist())]
         if not found:
@@ -153,7 +155,9 @@ def _meet(batches, buckets: int):
         document, code = (np.concatenate(x) for x in zip(*found))
         del found
         order = np.lexsort((document, code))
-        document, code = document[order], code[order]
+        document = document[order]
+        code = code[order]
+        del order
         begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         end = np.append(begin[1:], len(code))
         several = document[begin] != document[end - 1]
@@ -214,10 +218,10 @@ _PIECES = "bucket int, texts binary, lengths binary, anchors binary, documents b
 _COVERS = "document bigint, row bigint, first bigint, after bigint"
 
 
-def _portions(batches):
-    """The rows of the batches with about PORTION bytes of text at a time."""
+def _portions(batches, column: int = 2, most: int | None = None):
+    """The rows of the batches with about ``most`` bytes of text at a time, PORTION if not given."""
     for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PORTION
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // (most or PORTION)
         begin = np.flatnonzero(np.append(True, size[1:] != size[:-1])) if len(size) else []
         for a, b in zip(begin, np.append(begin[1:], len(size))):
             yield batch.slice(int(a), int(b - a))
